@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as T
@@ -58,6 +58,8 @@ class WordPiece:
 
         return encode(T.pretokens(text))
 
-    def windows(self, text: Column, max_length: int = WINDOW_LENGTH) -> Column:
+    def windows(self, df: DataFrame, text_col: str = "text", out: str = "windows", max_length: int = WINDOW_LENGTH) -> DataFrame:
+        """Add the framed windows of each text."""
         v = self.vocabulary
-        return id_windows(self.ids(text), v[START], v[END], v.get(PADDING, 0), max_length)
+        framed = id_windows(F.col("_ids"), v[START], v[END], v.get(PADDING, 0), max_length)
+        return df.withColumn("_ids", self.ids(F.col(text_col))).withColumn(out, framed).drop("_ids")
