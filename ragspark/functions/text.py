@@ -40,6 +40,11 @@ def tokens(text: Column, max_token_length: int = MAX_TOKEN_LENGTH) -> Column:
     return F.regexp_extract_all(text, F.lit(token_pattern(max_token_length)), F.lit(0))
 
 
+def token_count(text: Column, max_token_length: int = MAX_TOKEN_LENGTH) -> Column:
+    """Number of tokens, without building them."""
+    return F.regexp_count(text, F.lit(token_pattern(max_token_length)))
+
+
 def pretokens(text: Column) -> Column:
     """Lowercased letter runs, number runs and single symbols."""
     return F.regexp_extract_all(F.lower(text), F.lit(PRETOKEN_PATTERN), F.lit(0))
@@ -176,9 +181,9 @@ CONTENT_RANGE = r"^bytes\s+(\d+)-(\d+)/(\d+)$"
 
 def content_range(value: Column) -> Column:
     """``struct<start,end_inclusive,total>`` of a full match, else null (wildcards, overflow)."""
-    v = trim_all(value)
-    part = [F.regexp_extract(v, CONTENT_RANGE, i).try_cast("bigint") for i in (1, 2, 3)]
-    ok = v.rlike(CONTENT_RANGE) & part[0].isNotNull() & part[1].isNotNull() & part[2].isNotNull()
+    parts = F.split(F.regexp_replace(trim_all(value), CONTENT_RANGE, "$1,$2,$3"), ",")
+    part = [F.get(parts, i).try_cast("bigint") for i in range(3)]
+    ok = (F.size(parts) == 3) & value.contains("bytes") & part[0].isNotNull() & part[1].isNotNull() & part[2].isNotNull()
     return F.when(ok, F.struct(part[0].alias("start"), part[1].alias("end_inclusive"), part[2].alias("total")))
 
 

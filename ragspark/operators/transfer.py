@@ -18,12 +18,19 @@ def _is_retryable(code: Column) -> Column:
     return code.isin(408, 425, 429) | code.between(500, 599)
 
 
-def response_plan(offset: Column, total: Column, code: Column, range_header: Column, length: Column) -> Column:
+def plan_responses(rows: DataFrame, offset: Column, total: Column, code: Column, range_header: Column, length: Column) -> DataFrame:
+    """Add ``plan, expected_bytes, error`` per response; the range header is parsed once, where it matters."""
+    parsed = rows.withColumn("_range", F.when(code == 206, T.content_range(range_header)))
+    planned = parsed.withColumn("_plan", response_plan(offset, total, code, F.col("_range"), length))
+    return planned.select(*rows.columns, "_plan.*")
+
+
+def response_plan(offset: Column, total: Column, code: Column, r: Column, length: Column) -> Column:
     """``struct<plan,expected_bytes,error>``: APPEND, RESTART, RETRY or FATAL for one response.
 
-    An unknown body length is negative.  A full response to a resumed request restarts it.
+    ``r`` is the parsed content range.  An unknown body length is negative.  A full response to a
+    resumed request restarts it.
     """
-    r = T.content_range(range_header)
     want = r["end_inclusive"] - r["start"] + 1
 
     def out(plan: str, expected: Column | None = None, error: Column | str | None = None) -> Column:

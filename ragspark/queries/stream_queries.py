@@ -10,8 +10,9 @@ from ragspark.functions import geometry as G
 from ragspark.functions import text as T
 from ragspark.operators import sequences as Q
 from ragspark.operators import translation as L
+from ragspark.operators.chunking import chunk_text
 from ragspark.operators.ordered import Ordering, range_bucket
-from ragspark.queries.registry import documents, events, plain, query, sql_trim, table
+from ragspark.queries.registry import documents, events, plain, query, sql_chunks, sql_trim, table
 
 HOUR_MS = 3_600_000
 _W = "PARTITION BY user_id ORDER BY epoch_ms(ts), event_id"
@@ -118,19 +119,18 @@ def distinct_states(spark, folder):
     return Q.drop_repeats(e.withColumn("high", F.col("value") > 50), by, ["high"]).select("user_id", "event_id", "high")
 
 
-# Audio: the order lines of an order are one frame of samples -----------------------------------
+# Audio: the words of a chunk are the samples of one frame ---------------------------------------
 
-_SAMPLES = """s AS (SELECT l_orderkey, list(CAST(l_partkey * 37 % 65536 - 32768 AS SMALLINT) ORDER BY l_partkey, l_suppkey, l_linenumber) AS x FROM lineitem GROUP BY 1)"""
+_SAMPLES = f"""{sql_chunks()}, s AS (SELECT doc_id, ordinal, list_transform(string_split(text, ' '), lambda x: CAST((ascii(x) * 7919 + len(x) * 104729) % 65536 - 32768 AS BIGINT)) AS x FROM chunks)"""
 
 
-@query("audio_rms", f"""WITH {_SAMPLES} SELECT l_orderkey, round(CAST(CAST(sqrt(list_sum(list_transform(x, lambda v: (v / 32767.0::DOUBLE) * (v / 32767.0::DOUBLE))) / len(x)) AS FLOAT) AS DOUBLE), 6) AS loudness,
+@query("audio_rms", f"""WITH {_SAMPLES} SELECT doc_id, ordinal, round(CAST(CAST(sqrt(list_sum(list_transform(x, lambda v: (v / 32767.0::DOUBLE) * (v / 32767.0::DOUBLE))) / len(x)) AS FLOAT) AS DOUBLE), 6) AS loudness,
   round(list_sum(list_transform(x, lambda v: CAST(CAST(v / 32768.0::DOUBLE AS FLOAT) AS DOUBLE))), 6) AS total FROM s""")
 def audio_rms(spark, folder):
-    li = table(spark, folder, "lineitem")
-    sample = (F.col("l_partkey") * 37 % 65536 - 32768).cast("smallint")
-    rows = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber", sample.alias("v")))), lambda r: r["v"]).alias("x"))
+    sample = F.transform(F.split("text", " "), lambda w: ((F.ascii(w) * 7919 + F.length(w) * 104729) % 65536 - 32768).cast("smallint"))
+    rows = chunk_text(documents(spark, folder), "doc_id").select("doc_id", "ordinal", sample.alias("x"))
     return plain(rows.select(
-        "l_orderkey", A.rms(F.col("x")).alias("loudness"),
+        "doc_id", "ordinal", A.rms(F.col("x")).alias("loudness"),
         F.aggregate(A.pcm_to_float(F.col("x")), F.lit(0.0), lambda a, v: a + v.cast("double")).alias("total"),
     ))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as T
+from ragspark.functions.vectors import active_tokens
 from ragspark.operators import chunking as K
 from ragspark.operators.wordpiece import WordPiece
 from ragspark.queries.registry import PRE, SQL_TOKENS, documents, plain, query, sql_chunks, table
@@ -17,22 +18,25 @@ def _name() -> object:
 
 @query("token_stats", f"""WITH {SQL_TOKENS}
 SELECT doc_id, CASE WHEN doc_id % 8 = 3 OR doc_id % 4 = 0 THEN 'TXT' WHEN doc_id % 4 = 1 THEN 'PDF' WHEN doc_id % 4 = 2 THEN 'DOCX' END AS format,
-  len(t) AS n_tokens, list_max(list_transform(t, lambda x: len(x))) AS longest, md5(array_to_string(t, ' ')) AS tokens_md5 FROM toks""")
+  len(t) AS n_tokens, list_max(list_transform(t, lambda x: len(x))) AS longest, CAST(list_sum(list_transform(t, lambda x: len(x))) AS BIGINT) AS total_chars
+FROM toks WHERE len(t) > 0""")
 def token_stats(spark, folder):
-    t = T.tokens(F.col("text"))
+    """Token facts from disjoint windows, so a huge document is never one array."""
     mime = F.when(F.col("doc_id") % 8 == 3, T.TEXT_MIME).otherwise("")
-    rows = documents(spark, folder).select("doc_id", T.document_format(_name(), mime).alias("format"), t.alias("t"))
-    return plain(rows.select(
-        "doc_id", "format", F.size("t").alias("n_tokens"), F.array_max(F.transform("t", F.length)).alias("longest"),
-        F.md5(F.array_join("t", " ")).alias("tokens_md5"),
-    ))
+    parts = K.chunk_text(documents(spark, folder), "doc_id", size=4096, overlap=0)
+    lengths = F.transform(F.split("text", " "), F.length)
+    facts = parts.select("doc_id", lengths.alias("l")).select(
+        "doc_id", F.size("l").alias("n"), F.array_max("l").alias("m"), F.aggregate("l", F.lit(0), lambda a, x: a + x).alias("s")
+    ).groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.max("m").alias("longest"), F.sum("s").alias("total_chars"))
+    return plain(facts.withColumn("format", T.document_format(_name(), mime)))
 
 
-@query("long_run_split", r"""SELECT doc_id, len(p) AS n_pieces, md5(array_to_string(p, ' ')) AS pieces_md5
-FROM (SELECT doc_id, regexp_extract_all(text, '[^\p{Z}\x09-\x0D\x1C-\x1F]{1,8}') AS p FROM documents)""")
+@query("long_run_split", r"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[^\p{Z}\x09-\x0D\x1C-\x1F]{1,8}') AS p FROM documents)
+SELECT doc_id, i AS ordinal, array_to_string(p[i*4096+1 : i*4096+4096], ' ') AS pieces FROM p, LATERAL unnest(range(0, CAST(ceil(len(p) / 4096.0) AS BIGINT))) u(i)""")
 def long_run_split(spark, folder):
-    rows = documents(spark, folder).select("doc_id", T.tokens(F.col("text"), 8).alias("p"))
-    return plain(rows.select("doc_id", F.size("p").alias("n_pieces"), F.md5(F.array_join("p", " ")).alias("pieces_md5")))
+    """Tokens cut at eight characters, in disjoint windows."""
+    rows = K.chunk_text(documents(spark, folder), "doc_id", size=4096, overlap=0, max_token_length=8)
+    return plain(rows.select("doc_id", "ordinal", F.col("text").alias("pieces")))
 
 
 @query("chunk_documents", f"WITH {sql_chunks()} SELECT doc_id, ordinal, start_token, end_token, text FROM chunks")
@@ -52,64 +56,64 @@ def chunk_coverage_audit(spark, folder):
     return plain(K.coverage_audit(K.chunk_text(documents(spark, folder), "doc_id"), "doc_id"))
 
 
-@query("basic_pretokens", f"""SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS n_distinct, md5(array_to_string(w, ' ')) AS words_md5
-FROM (SELECT doc_id, regexp_extract_all(lower(text), '{PRE}') AS w FROM documents)""")
+@query("basic_pretokens", f"""WITH {sql_chunks()} SELECT doc_id, ordinal, len(w) AS n, len(list_distinct(w)) AS n_distinct, md5(array_to_string(w, ' ')) AS words_md5
+FROM (SELECT doc_id, ordinal, regexp_extract_all(lower(text), '{PRE}') AS w FROM chunks)""")
 def basic_pretokens(spark, folder):
-    rows = documents(spark, folder).select("doc_id", T.pretokens(F.col("text")).alias("w"))
+    rows = _chunk_rows(spark, folder).select("doc_id", "ordinal", T.pretokens(F.col("text")).alias("w"))
     return plain(rows.select(
-        "doc_id", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("n_distinct"),
+        "doc_id", "ordinal", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("n_distinct"),
         F.md5(F.array_join("w", " ")).alias("words_md5"),
     ))
 
 
+def _chunk_rows(spark, folder):
+    return K.chunk_text(documents(spark, folder), "doc_id").select("doc_id", "ordinal", "text")
+
+
 _HEX_ID = "CAST('0x' || substr(md5(x), 1, 6) AS BIGINT) % 30000 + 1000"
 
 
-@query("id_windows", f"""WITH {SQL_TOKENS}, ids AS (SELECT doc_id, list_transform(t, lambda x: {_HEX_ID}) AS a FROM toks),
-w AS (SELECT doc_id, i AS window_no, a[i*62+1 : i*62+62] AS part FROM ids,
+@query("id_windows", f"""WITH {sql_chunks()}, ids AS (SELECT doc_id, ordinal, list_transform(string_split(text, ' '), lambda x: {_HEX_ID}) AS a FROM chunks),
+w AS (SELECT doc_id, ordinal, i AS window_no, a[i*62+1 : i*62+62] AS part FROM ids,
   LATERAL unnest(range(0, greatest(1, CAST(ceil(len(a) / 62.0) AS BIGINT)))) u(i))
-SELECT doc_id, window_no, len(part) + 2 AS n_active,
+SELECT doc_id, ordinal, window_no, len(part) + 2 AS n_active,
   md5('101,' || CASE WHEN len(part) > 0 THEN array_to_string(part, ',') || ',' ELSE '' END || '102' || repeat(',0', 62 - len(part))) AS ids_md5,
   repeat('1', len(part) + 2) || repeat('0', 62 - len(part)) AS mask FROM w""")
 def id_windows(spark, folder):
-    ids = F.transform(
-        T.tokens(F.col("text")), lambda x: F.conv(F.substring(F.md5(x), 1, 6), 16, 10).cast("bigint") % 30000 + 1000
-    )
+    """Framed id windows of every chunk."""
+    ids = F.transform(F.split("text", " "), lambda x: F.conv(F.substring(F.md5(x), 1, 6), 16, 10).cast("bigint") % 30000 + 1000)
     windows = K.id_windows(F.col("ids"), 101, 102, 0, 64)
-    rows = documents(spark, folder).select("doc_id", ids.alias("ids")).select("doc_id", F.posexplode(windows).alias("window_no", "w"))
-    from ragspark.functions.vectors import active_tokens
+    rows = _chunk_rows(spark, folder).select("doc_id", "ordinal", ids.alias("ids"))
+    rows = rows.select("doc_id", "ordinal", F.posexplode(windows).alias("window_no", "w"))
     return plain(rows.select(
-        "doc_id", "window_no", active_tokens(F.col("w.attention_mask")).alias("n_active"),
+        "doc_id", "ordinal", "window_no", active_tokens(F.col("w.attention_mask")).alias("n_active"),
         F.md5(F.array_join("w.input_ids", ",")).alias("ids_md5"), F.array_join("w.attention_mask", "").alias("mask"),
     ))
 
 
-def letter_vocabulary(spark, folder) -> dict[str, int]:
-    """A vocabulary from the documents' own letters: single characters and pairs, whole and continued.
+def letter_vocabulary(spark, folder, size: int = 30_000) -> dict[str, int]:
+    """The ``size`` most frequent word pieces of the corpus: letters, continued letters, short heads.
 
-    Pairs of a fixed alphabet bound its size, whatever the number of documents.
+    Words are counted first, so the shuffle moves each distinct word once per task.
     """
-    word = table(spark, folder, "documents").select(F.explode(F.array_distinct(T.pretokens(F.col("text")))).alias("w"))
-    starts = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(F.col("w"), i, F.lit(1)))
-    heads = F.array(F.substring("w", 1, 2), F.substring("w", 1, 3))
-    pieces = word.select(F.explode(F.concat(
-        starts, F.transform(starts, lambda c: F.concat(F.lit("##"), c)), heads
-    )).alias("p"))
-    common = pieces.groupBy("p").count().where("count >= 5").select("p")
-    limit = 100_000
-    rows = [r["p"] for r in common.orderBy("p").limit(limit + 1).collect()]
-    if len(rows) > limit:
-        raise ValueError("vocabulary is too large to share with every executor")
-    return {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *rows])}
+    words = _chunk_rows(spark, folder).select(F.explode(T.pretokens(F.col("text"))).alias("w")).groupBy("w").count()
+    letters = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(F.col("w"), i, F.lit(1)))
+    pieces = F.array_distinct(F.concat(
+        letters, F.transform(letters, lambda c: F.concat(F.lit("##"), c)), F.array(F.substring("w", 1, 2), F.substring("w", 1, 3))
+    ))
+    counted = words.select(F.explode(pieces).alias("p"), "count").groupBy("p").agg(F.sum("count").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "p").limit(size).collect()
+    return {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *[r["p"] for r in rows]])}
 
 
 @query("wordpiece_windows")
 def wordpiece_windows(spark, folder):
+    """Framed WordPiece windows of every chunk."""
     pieces = WordPiece(spark, letter_vocabulary(spark, folder))
-    rows = pieces.windows(documents(spark, folder)).select("doc_id", F.posexplode("windows").alias("window_no", "w"))
+    rows = pieces.windows(_chunk_rows(spark, folder)).select("doc_id", "ordinal", F.posexplode("windows").alias("window_no", "w"))
     return plain(rows.select(
-        "doc_id", "window_no", F.md5(F.array_join("w.input_ids", ",")).alias("ids_md5"),
-        F.aggregate("w.attention_mask", F.lit(0).cast("bigint"), lambda a, m: a + m).alias("n_active"),
+        "doc_id", "ordinal", "window_no", F.md5(F.array_join("w.input_ids", ",")).alias("ids_md5"),
+        active_tokens(F.col("w.attention_mask")).alias("n_active"),
     ))
 
 
@@ -118,7 +122,7 @@ def wordpiece_windows(spark, folder):
 SELECT doc_id, CASE WHEN n - start < 0 THEN 'CHANGED' WHEN done = 0 THEN 'CONTINUE' WHEN start = 0 AND n > 0 AND n <= 50 THEN 'COMPLETE'
   WHEN n - start < 50 THEN 'CHANGED' WHEN n - start = 50 THEN 'COMPLETE' ELSE 'CONTINUE' END AS replay FROM r""")
 def resume_replay(spark, folder):
-    n, done = F.size(T.tokens(F.col("text"))), F.col("doc_id") % 3
+    n, done = T.token_count(F.col("text")), F.col("doc_id") % 3
     start = F.when(done == 0, 0).otherwise(F.greatest(F.lit(0), F.least((done - 1) * 462 + 512, F.col("n")) - 50))
     rows = documents(spark, folder).select("doc_id", n.alias("n"))
     return rows.select("doc_id", K.replay_status(F.col("n") + (F.col("doc_id") % 5 - 2) * 30, start, done).alias("replay"))

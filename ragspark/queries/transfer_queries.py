@@ -66,10 +66,8 @@ def content_range_parse(spark, folder):
   WHEN code IN (408, 425, 429) OR code BETWEEN 500 AND 599 THEN 'RETRY|Model server returned HTTP ' || code ELSE 'FATAL|Model download failed with HTTP ' || code END AS o FROM v)
 SELECT {_KEY}, split_part(o, '|', 1) AS plan, CASE WHEN o = 'APPEND|' THEN CASE WHEN code = 200 THEN total ELSE b - a + 1 END END AS expected_bytes, nullif(split_part(o, '|', 2), '') AS error FROM e""")
 def transfer_plan(spark, folder):
-    plan = TR.response_plan(F.col("offs"), F.col("total"), F.col("code"), F.col("header"), F.col("len"))
-    rows = _grid(spark, folder).withColumn("p", plan)
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("p.plan").alias("plan"),
-                       F.col("p.expected_bytes").alias("expected_bytes"), F.col("p.error").alias("error"))
+    rows = TR.plan_responses(_grid(spark, folder), F.col("offs"), F.col("total"), F.col("code"), F.col("header"), F.col("len"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "plan", "expected_bytes", "error")
 
 
 @query("body_check", f"WITH {_GRID} SELECT {_KEY}, CASE WHEN len < 60 THEN 'RETRY' WHEN len > 60 THEN 'FATAL' ELSE 'OK' END AS verdict FROM g")
