@@ -181,10 +181,15 @@ CONTENT_RANGE = r"^bytes\s+(\d+)-(\d+)/(\d+)$"
 
 def content_range(value: Column) -> Column:
     """``struct<start,end_inclusive,total>`` of a full match, else null (wildcards, overflow)."""
-    parts = F.split(F.regexp_replace(trim_all(value), CONTENT_RANGE, "$1,$2,$3"), ",")
-    part = [F.get(parts, i).try_cast("bigint") for i in range(3)]
-    ok = (F.size(parts) == 3) & value.contains("bytes") & part[0].isNotNull() & part[1].isNotNull() & part[2].isNotNull()
-    return F.when(ok, F.struct(part[0].alias("start"), part[1].alias("end_inclusive"), part[2].alias("total")))
+    split = F.split(F.regexp_replace(trim_all(value), CONTENT_RANGE, "$1,$2,$3"), ",")
+
+    def parsed(parts: Column) -> Column:
+        numbers = [F.get(parts, i).try_cast("bigint") for i in range(3)]
+        ok = (F.size(parts) == 3) & numbers[0].isNotNull() & numbers[1].isNotNull() & numbers[2].isNotNull()
+        return F.when(ok, F.struct(*[n.alias(name) for n, name in zip(numbers, ("start", "end_inclusive", "total"))]))
+
+    # the lambda binds the split, so the pattern runs once
+    return F.when(value.contains("bytes"), F.transform(F.array(split), parsed)[0])
 
 
 def file_token(uri: Column, size: Column, modified_ms: Column) -> Column:

@@ -18,55 +18,68 @@ def _is_retryable(code: Column) -> Column:
     return code.isin(408, 425, 429) | code.between(500, 599)
 
 
-def plan_responses(rows: DataFrame, offset: Column, total: Column, code: Column, range_header: Column, length: Column) -> DataFrame:
-    """Add ``plan, expected_bytes, error`` per response; the range header is parsed once, where it matters."""
-    parsed = rows.withColumn("_range", F.when(code == 206, T.content_range(range_header)))
-    planned = parsed.withColumn("_plan", response_plan(offset, total, code, F.col("_range"), length))
-    return planned.select(*rows.columns, "_plan.*")
+# Outcomes of a response, in the order their rules are tried.  ``{}`` marks are filled in.
+RESPONSE_RULES = (
+    ("FATAL", "Manifest size must be greater than zero"),
+    ("FATAL", "Download offset is outside the manifest size"),
+    ("RESTART", None),
+    ("FATAL", "Server returned more bytes than the manifest allows"),
+    ("RETRY", "Server declared a response shorter than the manifest"),
+    ("APPEND", None),
+    ("FATAL", "206 response did not include a valid Content-Range"),
+    ("FATAL", "Content-Range starts at {}, expected {}"),
+    ("FATAL", "Content-Range total {} differs from manifest {}"),
+    ("FATAL", "Content-Range end is outside the manifest"),
+    ("FATAL", "206 response length exceeds Content-Range"),
+    ("RETRY", "206 response declared fewer bytes than Content-Range"),
+    ("APPEND", None),
+    ("RETRY", "Model server returned HTTP {}"),
+    ("FATAL", "Model download failed with HTTP {}"),
+)
 
 
-def response_plan(offset: Column, total: Column, code: Column, r: Column, length: Column) -> Column:
-    """``struct<plan,expected_bytes,error>``: APPEND, RESTART, RETRY or FATAL for one response.
+def plan_responses(rows: DataFrame, offset: Column, total: Column, code: Column, range_header: Column, length: Column) -> DataFrame:
+    """Add ``plan`` (APPEND, RESTART, RETRY, FATAL), ``expected_bytes`` and ``error`` per response.
 
-    ``r`` is the parsed content range.  An unknown body length is negative.  A full response to a
-    resumed request restarts it.
+    An unknown body length is negative.  A full response to a resumed request restarts it.  The header
+    is parsed once; the rules give a rule number, and the outcome is looked up, which keeps the compiled
+    code small enough for the JIT.
     """
+    r = F.col("_range")
     want = r["end_inclusive"] - r["start"] + 1
-
-    def out(plan: str, expected: Column | None = None, error: Column | str | None = None) -> Column:
-        message = error if isinstance(error, Column) else F.lit(error)
-        return F.struct(
-            F.lit(plan).alias("plan"), (F.lit(None) if expected is None else expected).cast("bigint").alias("expected_bytes"),
-            message.cast("string").alias("error"),
-        )
-
-    def text(c: Column) -> Column:
-        return c.cast("string")
-
-    partial = (
-        F.when(r.isNull(), out("FATAL", error="206 response did not include a valid Content-Range"))
-        .when(r["start"] != offset, out("FATAL", error=F.concat(
-            F.lit("Content-Range starts at "), text(r["start"]), F.lit(", expected "), text(offset))))
-        .when(r["total"] != total, out("FATAL", error=F.concat(
-            F.lit("Content-Range total "), text(r["total"]), F.lit(" differs from manifest "), text(total))))
-        .when((r["end_inclusive"] < r["start"]) | (r["end_inclusive"] >= r["total"]),
-              out("FATAL", error="Content-Range end is outside the manifest"))
-        .when(length > want, out("FATAL", error="206 response length exceeds Content-Range"))
-        .when((length >= 0) & (length < want), out("RETRY", error="206 response declared fewer bytes than Content-Range"))
-        .otherwise(out("APPEND", want))
+    full, partial = code == 200, code == 206
+    conditions = (
+        total <= 0, (offset < 0) | (offset >= total),
+        full & (offset > 0), full & (length > total), full & (length >= 0) & (length < total), full,
+        partial & r.isNull(), partial & (r["start"] != offset), partial & (r["total"] != total),
+        partial & ((r["end_inclusive"] < r["start"]) | (r["end_inclusive"] >= r["total"])),
+        partial & (length > want), partial & (length >= 0) & (length < want), partial,
+        _is_retryable(code), F.lit(True),
     )
-    full = (
-        F.when(offset > 0, out("RESTART"))
-        .when(length > total, out("FATAL", error="Server returned more bytes than the manifest allows"))
-        .when((length >= 0) & (length < total), out("RETRY", error="Server declared a response shorter than the manifest"))
-        .otherwise(out("APPEND", total))
+    rule = F.when(conditions[0], 0)
+    for i, condition in enumerate(conditions[1:], start=1):
+        rule = rule.when(condition, i)
+
+    def lookup(values: list[str | None]) -> Column:
+        return F.get(F.array(*[F.lit(v).cast("string") for v in values]), F.col("_rule"))
+
+    def filled(i: int, *values: Column) -> Column:
+        parts = RESPONSE_RULES[i][1].split("{}")
+        text = [F.lit(parts[0])]
+        for value, after in zip(values, parts[1:]):
+            text += [value.cast("string"), F.lit(after)]
+        return F.concat(*text)
+
+    number = F.col("_rule")
+    error = (
+        F.when(number == 7, filled(7, r["start"], offset)).when(number == 8, filled(8, r["total"], total))
+        .when(number == 13, filled(13, code)).when(number == 14, filled(14, code))
+        .otherwise(lookup([message for _, message in RESPONSE_RULES]))
     )
-    return (
-        F.when(total <= 0, out("FATAL", error="Manifest size must be greater than zero"))
-        .when((offset < 0) | (offset >= total), out("FATAL", error="Download offset is outside the manifest size"))
-        .when(code == 200, full).when(code == 206, partial)
-        .when(_is_retryable(code), out("RETRY", error=F.concat(F.lit("Model server returned HTTP "), text(code))))
-        .otherwise(out("FATAL", error=F.concat(F.lit("Model download failed with HTTP "), text(code))))
+    ruled = rows.withColumn("_range", F.when(code == 206, T.content_range(range_header))).withColumn("_rule", rule)
+    return ruled.select(
+        *rows.columns, lookup([plan for plan, _ in RESPONSE_RULES]).alias("plan"),
+        F.when(number == 5, total).when(number == 12, want).alias("expected_bytes"), error.alias("error"),
     )
 
 

@@ -10,7 +10,7 @@ from ragspark.functions import vectors as V
 from ragspark.operators import catalog as C
 from ragspark.operators.chunking import chunk_text, first_and_last
 from ragspark.operators.ordered import Ordering, with_index
-from ragspark.operators.embedding import HashedBagOfWords, with_embedding
+from ragspark.operators.embedding import HashedBagOfWords
 from ragspark.plans.ingestion import ingest
 from ragspark.queries.registry import documents, plain, query, sql_chunks, table
 
@@ -313,7 +313,8 @@ SELECT s.document_id, s.status, CASE s.status WHEN 'UNCHANGED' THEN 'SKIPPED' WH
 def incremental_ingest(spark, folder):
     """One incremental run over a mutated listing, starting from chunks with holes."""
     embedder = HashedBagOfWords(DIM)
-    stored = with_embedding(_chunks(spark, folder), embedder).withColumn("embedding", F.when(F.col("ok"), F.col("embedding"))).drop("ok")
+    vector = F.array_repeat(F.lit(0.125).cast("float"), DIM)  # what a stored vector is does not matter here
+    stored = _chunks(spark, folder).withColumn("embedding", F.when(F.col("ok"), vector)).drop("ok")
     catalog = _catalog(spark, folder).withColumn("chunk_count", F.lit(0))
     texts = documents(spark, folder).select(F.col("doc_id").alias("document_id"), "text")
     texts = texts.unionByName(texts.where("document_id % 10 = 3").withColumn("document_id", F.col("document_id") + 10_000_000))

@@ -47,9 +47,9 @@ v AS (SELECT *, a IS NOT NULL AND b IS NOT NULL AND t IS NOT NULL AS ok FROM r)"
 
 @query("content_range_parse", f"""WITH {_GRID}, {_PARSED} SELECT {_KEY}, CASE WHEN ok THEN a END AS start, CASE WHEN ok THEN b END AS end_inclusive, CASE WHEN ok THEN t END AS total_bytes FROM v""")
 def content_range_parse(spark, folder):
-    r = T.content_range(F.col("header"))
-    return _grid(spark, folder).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r["start"].alias("start"), r["end_inclusive"].alias("end_inclusive"), r["total"].alias("total_bytes")
+    rows = _grid(spark, folder).withColumn("r", T.content_range(F.col("header")))
+    return rows.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "r.start", "r.end_inclusive", F.col("r.total").alias("total_bytes")
     )
 
 
