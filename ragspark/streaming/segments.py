@@ -33,10 +33,11 @@ def _save(machine: SpeechSegmenter) -> tuple:
     )
 
 
-def utterances_stream(frames: DataFrame, key: str = "stream_id", idle_ms: int = 60_000) -> DataFrame:
+def utterances_stream(frames: DataFrame, key: str = "stream_id", idle_ms: int | None = 60_000) -> DataFrame:
     """Segments of ``frames(stream_id, seq, speech, n_samples, time_ms)`` as they close.
 
     Frames of a trigger are put in sequence order; a stream idle for ``idle_ms`` is flushed and forgotten.
+    Without ``idle_ms`` streams never end, and the query can run once over what is available.
     """
     dtype = frames.schema[key].dataType.simpleString()
 
@@ -51,7 +52,8 @@ def utterances_stream(frames: DataFrame, key: str = "stream_id", idle_ms: int =
             for seq, speech, n, now in zip(rows["seq"], rows["speech"], rows["n_samples"], rows["time_ms"]):
                 out += machine.push(int(seq), bool(speech), int(n), int(now))
             state.update(_save(machine))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         if out:
             result = pd.DataFrame(out, columns=_COLUMNS)
             result.insert(0, key, group[0])
@@ -59,5 +61,5 @@ def utterances_stream(frames: DataFrame, key: str = "stream_id", idle_ms: int =
 
     return frames.groupBy(key).applyInPandasWithState(
         step, f"{key} {dtype}, kind string, start_seq bigint, end_seq bigint, n_frames int, n_samples int, reason string",
-        _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout,
+        _STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )

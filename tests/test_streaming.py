@@ -22,12 +22,17 @@ def _stream(spark, df, tmp_path, parts=3, order="id"):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
 
 
-def _run(df, name, tmp_path, mode="append"):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).start()
+def _finish(writer):
+    """Run once over what is there."""
+    q = writer.trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(60), "query did not finish"
     finally:
         q.stop()
+
+
+def _run(df, name, tmp_path, mode="append"):
+    _finish(df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")))
     return df.sparkSession.table(name)
 
 
@@ -62,31 +67,27 @@ def test_segments_keep_their_state_between_triggers(spark, tmp_path):
         want += machine.push(seq, f, 320, seq * 20)
     rows = [("s", seq, f, 320, seq * 20) for seq, f in enumerate(frames, 1)]
     df = spark.createDataFrame(rows, "stream_id string, seq long, speech boolean, n_samples int, time_ms long")
-    out = _run(segments.utterances_stream(_stream(spark, df, tmp_path, 4, "seq")), "speech", tmp_path)
+    out = _run(segments.utterances_stream(_stream(spark, df, tmp_path, 4, "seq"), idle_ms=None), "speech", tmp_path)
     got = [tuple(r)[1:] for r in out.orderBy("end_seq", F.desc("kind")).collect()]
     assert sorted(got) == sorted(want) and want
 
 
 def test_history_and_chunk_sinks(spark, tmp_path):
     df = spark.createDataFrame([(0, "hi", "hallo"), (1, " ", "x"), (2, "yo", "")], "id int, source_text string, translated_text string")
-    q = sinks.history_sink(_stream(spark, df, tmp_path, 2), str(tmp_path / "out"), str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    _finish(sinks.history_sink(_stream(spark, df, tmp_path, 2), str(tmp_path / "out"), str(tmp_path / "cp")))
     assert [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [0]
 
     docs = spark.createDataFrame([("d1", "one two"), ("d2", "three")], "document_id string, text string")
-    q = sinks.chunk_sink(_stream(spark, docs, tmp_path / "c", 2, "document_id"), HashedBagOfWords(8), str(tmp_path / "chunks"), str(tmp_path / "cp2")).start()
-    q.processAllAvailable()
-    q.stop()
+    source = _stream(spark, docs, tmp_path / "c", 2, "document_id")
+    _finish(sinks.chunk_sink(source, HashedBagOfWords(8), str(tmp_path / "chunks"), str(tmp_path / "cp2")))
     assert sorted((r.document_id, r.ordinal) for r in spark.read.parquet(str(tmp_path / "chunks")).collect()) == [("d1", 0), ("d2", 0)]
 
 
 def test_observers_see_every_change(spark, tmp_path):
     df = spark.createDataFrame([(i, i % 2) for i in range(6)], "id int, k int")
     seen = []
-    q = sinks.observe(_stream(spark, df, tmp_path).groupBy("k").count(), lambda b, i: seen.append(sorted(map(tuple, b.collect()))), str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    counts = _stream(spark, df, tmp_path).groupBy("k").count()
+    _finish(sinks.observe(counts, lambda b, i: seen.append(sorted(map(tuple, b.collect()))), str(tmp_path / "cp")))
     assert seen[-1] == [(0, 3), (1, 3)] and len(seen) == 3
 
 
