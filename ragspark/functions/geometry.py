@@ -70,3 +70,11 @@ def recognizer(tag: Column) -> Column:
         F.when(t.isin("zh", "zh-cn", "zh-tw"), "CHINESE").when(t == "ja", "JAPANESE")
         .when(t == "ko", "KOREAN").otherwise("LATIN")
     )
+
+
+def recognised_lines(blocks: Column) -> Column:
+    """Lines of ``array<struct<lines:array<struct<text,box>>>>`` in reading order; lines without a box drop out."""
+    lines = F.flatten(F.transform(blocks, lambda b: b["lines"]))
+    return F.transform(F.filter(lines, lambda x: x["box"].isNotNull()), lambda x: F.struct(
+        x["text"].alias("text"), *[x["box"][side].alias(side) for side in ("left", "top", "right", "bottom")]
+    ))

@@ -21,6 +21,11 @@ def guard_error(size: Column, name: Column, mime: Column) -> Column:
     return F.when(size > X.DOCUMENT_BYTES, X.TOO_LARGE).when(~T.is_supported_document(name, mime), X.UNSUPPORTED_TYPE)
 
 
+def records(catalog: DataFrame) -> DataFrame:
+    """The public view of the catalog: headers without the change-detection time."""
+    return catalog.drop("modified_ms")
+
+
 def same_metadata(left: str, right: str) -> Column:
     same = F.lit(True)
     for c in METADATA:

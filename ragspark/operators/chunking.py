@@ -95,6 +95,13 @@ def chunk_text(
     )
 
 
+def rebase(chunks: DataFrame, ordinals: int, overlap: int = CHUNK_OVERLAP, size: int = CHUNK_SIZE) -> DataFrame:
+    """Chunks of a resumed source renumbered to follow ``ordinals`` finished ones."""
+    tokens = ordinals * (size - overlap)
+    shift = {"ordinal": ordinals, "start_token": tokens, "end_token": tokens}
+    return chunks.select(*[(F.col(c) + shift[c]).alias(c) if c in shift else F.col(c) for c in chunks.columns])
+
+
 def coverage_audit(chunks: DataFrame, id_col: str, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Per document: chunk count, covered tokens, contiguous ordinals and exact overlaps.
 

@@ -265,6 +265,11 @@ def first_requests(requests: DataFrame, keys: list[str], order: list[str]) -> Da
     return requests.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
 
 
+def work_outcome(error: Column, is_io_error: Column) -> Column:
+    """SUCCESS, RETRY for transport errors, FAILURE for the rest."""
+    return F.when(error.isNull(), "SUCCESS").when(is_io_error, "RETRY").otherwise("FAILURE")
+
+
 def required_ready(states: DataFrame, group: list[str], required: DataFrame, id_col: str, ready: Column) -> DataFrame:
     """Per group: are all required ids present and ready (relational division)."""
     n = required.select(id_col).distinct().agg(F.count("*").alias("_need"))

@@ -8,7 +8,7 @@ from ragspark.functions import fixed as X
 from ragspark.functions import text as T
 from ragspark.functions import vectors as V
 from ragspark.operators import catalog as C
-from ragspark.operators.chunking import chunk_text, first_and_last
+from ragspark.operators.chunking import chunk_text, first_and_last, rebase
 from ragspark.operators.ordered import Ordering, with_index
 from ragspark.operators.embedding import HashedBagOfWords
 from ragspark.plans.ingestion import ingest
@@ -89,7 +89,12 @@ def health_audit(spark, folder):
 @query("chunk_rebase", f"""WITH {_KNOCKED} SELECT document_id, ordinal + 3 AS ordinal, end_token + 1386 AS end_token FROM k""")
 def chunk_rebase(spark, folder):
     """Chunks of a resumed source moved behind three finished ones."""
-    return plain(_chunks(spark, folder).select("document_id", (F.col("ordinal") + 3).alias("ordinal"), (F.col("end_token") + 3 * 462).alias("end_token")))
+    return plain(rebase(_chunks(spark, folder), 3).select("document_id", "ordinal", "end_token"))
+
+
+@query("document_records", f"WITH {_LISTING} SELECT document_id, display_name, size_bytes, mime_type, indexed FROM catalog")
+def document_records(spark, folder):
+    return C.records(_catalog(spark, folder))
 
 
 _FILES = """files AS (SELECT doc_id, source AS folder, 'file:/' || source || '/' || doc_id || '.txt' AS uri, 'file:/' || source || '/' || doc_id || '.txt|' || n_chars || '|' || doc_id * 10 AS token,

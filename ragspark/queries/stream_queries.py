@@ -286,3 +286,20 @@ def image_sizes(spark, folder):
         "p_partkey", G.sample_size(w, h).alias("sample"), G.oriented_size(w, h, F.col("p_size") % 9).alias("s"), G.recognizer(tag).alias("script")
     )
     return plain(rows.select("p_partkey", "sample", F.col("s.width").alias("width"), F.col("s.height").alias("height"), "script"))
+
+
+@query("ocr_lines", f"""WITH b AS (SELECT conv_id, turn, unnest(string_split(text, '. ')) AS line, unnest(range(len(string_split(text, '. ')))) AS i FROM conversations)
+SELECT conv_id, turn, count(*) AS n_lines, CAST(sum(len(line)) AS BIGINT) AS lefts, string_agg(line, '|' ORDER BY i) AS body FROM b WHERE (len(line) + i) % 3 <> 0 GROUP BY ALL""")
+def ocr_lines(spark, folder):
+    """Sentences of a turn as the lines of two layout blocks; some lines have no box."""
+    line = F.transform(F.split("text", "\\. "), lambda x, i: F.struct(x.alias("text"), F.when((F.length(x) + i) % 3 != 0, F.struct(
+        F.length(x).cast("float").alias("left"), i.cast("float").alias("top"), F.lit(1.0).alias("right"), F.lit(1.0).alias("bottom")
+    )).alias("box")))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", line.alias("l"))
+    halves = F.array(F.struct(F.slice("l", 1, 2).alias("lines")), F.struct(F.slice("l", F.lit(3), F.greatest(F.size("l"), F.lit(1))).alias("lines")))
+    lines = rows.select("conv_id", "turn", G.recognised_lines(halves).alias("x")).where(F.size("x") > 0)
+    return plain(lines.select(
+        "conv_id", "turn", F.size("x").alias("n_lines"),
+        F.aggregate("x", F.lit(0.0), lambda a, e: a + e["left"].cast("double")).cast("bigint").alias("lefts"),
+        F.array_join(F.transform("x", lambda e: e["text"]), "|").alias("body"),
+    ))

@@ -176,6 +176,12 @@ def required_ready(spark, folder):
     return TR.required_ready(o, ["o_custkey"], required, "o_orderpriority", F.col("o_orderstatus") == "F")
 
 
+@query("work_outcomes", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'SUCCESS' WHEN event_id % 2 = 0 THEN 'RETRY' ELSE 'FAILURE' END AS outcome FROM events""")
+def work_outcomes(spark, folder):
+    i = F.col("event_id")
+    return table(spark, folder, "events").select("event_id", TR.work_outcome(F.when(i % 3 != 0, "failed"), i % 2 == 0).alias("outcome"))
+
+
 @query("first_requests", """SELECT user_id, event_type, min(event_id) AS event_id, round(arg_min(value, ts), 6) AS value FROM events GROUP BY ALL""")
 def first_requests(spark, folder):
     e = table(spark, folder, "events").select("user_id", "event_type", "event_id", "ts", "value")

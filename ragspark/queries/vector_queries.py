@@ -388,7 +388,7 @@ def terminal_failures(spark, folder):
 
 
 @query("route_questions", f"""WITH {SQL_HITS}, web AS (SELECT item_id, string_agg('[web:' || p || '] Page ' || page_id || chr(10) || 'URL: ' || url || chr(10) || '{X.UNTRUSTED_MARKER}' || chr(10) || substr(html, 1, 100), chr(10) || chr(10) ORDER BY p) AS body
-  FROM (SELECT item_id, page_id, url, html, row_number() OVER (PARTITION BY item_id ORDER BY page_id) AS p FROM benchmark JOIN pages ON page_id % 40 = item_id % 50) WHERE p <= 3 GROUP BY item_id),
+  FROM (SELECT item_id, page_id, url, html, row_number() OVER (PARTITION BY item_id ORDER BY page_id) AS p FROM benchmark JOIN pages ON page_id % 40 = item_id) WHERE p <= 3 GROUP BY item_id),
 best AS (SELECT item_id, max(score) AS s FROM hits GROUP BY item_id)
 SELECT b.item_id AS question_id, CASE WHEN best.s >= CAST(0.95 AS FLOAT) THEN 'LOCAL' WHEN b.item_id % 2 = 1 THEN 'WITHHELD' WHEN web.body IS NOT NULL THEN 'WEB' ELSE 'FAILED' END AS route,
   CASE WHEN best.s < CAST(0.95 AS FLOAT) AND b.item_id % 2 = 0 THEN web.body END AS web_context
@@ -397,9 +397,10 @@ def route_questions(spark, folder):
     """Questions whose best score is under 0.95 are misses; even ones may use the web (pages)."""
     contexts = R.answer_contexts(_named_documents(spark, folder), _questions(spark, folder), EMBEDDER, minimum=0.95)
     from ragspark.operators.web import top_results
-    asked = _questions(spark, folder).withColumn("slot", F.col("question_id") % 50)
-    pages = table(spark, folder, "pages").withColumn("slot", F.col("page_id") % 40)
-    web = top_results(asked.join(pages, "slot"), ["question_id"], ["page_id"]).select(
+    # every page answers one question at most
+    pages = table(spark, folder, "pages").withColumn("question_id", F.col("page_id") % 40)
+    asked = _questions(spark, folder).select("question_id")
+    web = top_results(pages.join(asked, "question_id", "left_semi"), ["question_id"], ["page_id"]).select(
         "question_id", "position", F.lit("").alias("source_id"), F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"),
         "url", F.substring("html", 1, 100).alias("content"),
     )
