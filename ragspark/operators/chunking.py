@@ -139,33 +139,51 @@ def replay_status(n_tokens: Column, resume_start: Column, next_ordinal: Column,
     )
 
 
+def _payload(max_length: int) -> int:
+    if max_length < 3:
+        raise ValueError("max_length must allow special tokens")
+    return max_length - 2
+
+
+def _last_window(ids: Column, payload: int) -> Column:
+    return F.greatest(F.lit(0), F.call_function("div", F.size(ids) - 1, F.lit(payload)).cast("int"))
+
+
+def _framed(ids: Column, i: Column, cls_id: int, sep_id: int, pad_id: int, max_length: int) -> list[Column]:
+    payload = _payload(max_length)
+
+    def long(v: int) -> Column:
+        return F.lit(v).cast("bigint")
+
+    part = F.slice(ids, i * payload + 1, F.lit(payload)).cast("array<bigint>")
+    length = F.least(F.size(ids) - i * payload, F.lit(payload))
+    pad = F.lit(payload) - length
+    return [
+        F.concat(F.array(long(cls_id)), part, F.array(long(sep_id)), F.array_repeat(long(pad_id), pad)).alias("input_ids"),
+        F.concat(F.array_repeat(long(1), length + 2), F.array_repeat(long(0), pad)).alias("attention_mask"),
+        F.array_repeat(long(0), max_length).alias("token_type_ids"),
+    ]
+
+
 def id_windows(ids: Column, cls_id: int, sep_id: int, pad_id: int = 0, max_length: int = WINDOW_LENGTH) -> Column:
     """Disjoint framed windows of token ids; an empty input still yields one window.
 
     ``array<struct<input_ids, attention_mask, token_type_ids>>``, each of ``max_length`` longs.
     """
-    if max_length < 3:
-        raise ValueError("max_length must allow special tokens")
-    payload = max_length - 2
-    last = F.greatest(F.lit(0), F.call_function("div", F.size(ids) - 1, F.lit(payload)).cast("int"))
+    each = F.sequence(F.lit(0), _last_window(ids, _payload(max_length)))
+    return F.transform(each, lambda i: F.struct(*_framed(ids, i, cls_id, sep_id, pad_id, max_length)))
 
-    def long(v: int) -> Column:
-        return F.lit(v).cast("bigint")
 
-    def window(i: Column) -> Column:
-        part = F.slice(ids, i * payload + 1, F.lit(payload))
-        pad = F.lit(payload) - F.size(part)
-        framed = F.concat(
-            F.array(long(cls_id)), F.transform(part, lambda t: t.cast("bigint")), F.array(long(sep_id)),
-            F.array_repeat(long(pad_id), pad),
-        )
-        mask = F.concat(F.array_repeat(long(1), F.size(part) + 2), F.array_repeat(long(0), pad))
-        return F.struct(
-            framed.alias("input_ids"), mask.alias("attention_mask"),
-            F.array_repeat(long(0), max_length).alias("token_type_ids"),
-        )
-
-    return F.transform(F.sequence(F.lit(0), last), window)
+def window_rows(df: DataFrame, ids_col: str, cls_id: int, sep_id: int, pad_id: int = 0, max_length: int = WINDOW_LENGTH) -> DataFrame:
+    """The same windows as rows ``(..., window_no, input_ids, attention_mask, token_type_ids)``.
+
+    Windows are built one at a time after the explode, never as an array of all of them.
+    """
+    ids = F.col(ids_col)
+    each = F.sequence(F.lit(0), _last_window(ids, _payload(max_length)))
+    kept = [c for c in df.columns if c != ids_col]
+    numbered = df.select(*kept, ids_col, F.explode(each).alias("window_no"))
+    return numbered.select(*kept, "window_no", *_framed(ids, F.col("window_no"), cls_id, sep_id, pad_id, max_length))
 
 
 def single_window(windows: Column) -> Column:

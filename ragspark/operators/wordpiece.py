@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as T
-from ragspark.operators.chunking import WINDOW_LENGTH, id_windows
+from ragspark.operators.chunking import WINDOW_LENGTH, id_windows, window_rows
 
 UNKNOWN, PADDING, START, END = "[UNK]", "[PAD]", "[CLS]", "[SEP]"
 UNKNOWN_ID, MAX_WORD = 100, 100  # fixed values
@@ -63,3 +63,9 @@ class WordPiece:
         v = self.vocabulary
         framed = id_windows(F.col("_ids"), v[START], v[END], v.get(PADDING, 0), max_length)
         return df.withColumn("_ids", self.ids(F.col(text_col))).withColumn(out, framed).drop("_ids")
+
+    def window_rows(self, df: DataFrame, text_col: str = "text", max_length: int = WINDOW_LENGTH) -> DataFrame:
+        """One row per framed window of each text."""
+        v = self.vocabulary
+        encoded = df.withColumn("_ids", self.ids(F.col(text_col)))
+        return window_rows(encoded, "_ids", v[START], v[END], v.get(PADDING, 0), max_length)

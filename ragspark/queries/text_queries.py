@@ -82,12 +82,10 @@ SELECT doc_id, ordinal, window_no, len(part) + 2 AS n_active,
 def id_windows(spark, folder):
     """Framed id windows of every chunk."""
     ids = F.transform(F.split("text", " "), lambda x: F.conv(F.substring(F.md5(x), 1, 6), 16, 10).cast("bigint") % 30000 + 1000)
-    windows = K.id_windows(F.col("ids"), 101, 102, 0, 64)
-    rows = _chunk_rows(spark, folder).select("doc_id", "ordinal", ids.alias("ids"))
-    rows = rows.select("doc_id", "ordinal", F.posexplode(windows).alias("window_no", "w"))
+    rows = K.window_rows(_chunk_rows(spark, folder).select("doc_id", "ordinal", ids.alias("ids")), "ids", 101, 102, 0, 64)
     return plain(rows.select(
-        "doc_id", "ordinal", "window_no", active_tokens(F.col("w.attention_mask")).alias("n_active"),
-        F.md5(F.array_join("w.input_ids", ",")).alias("ids_md5"), F.array_join("w.attention_mask", "").alias("mask"),
+        "doc_id", "ordinal", "window_no", active_tokens(F.col("attention_mask")).alias("n_active"),
+        F.md5(F.array_join("input_ids", ",")).alias("ids_md5"), F.array_join("attention_mask", "").alias("mask"),
     ))
 
 
@@ -110,10 +108,10 @@ def letter_vocabulary(spark, folder, size: int = 30_000) -> dict[str, int]:
 def wordpiece_windows(spark, folder):
     """Framed WordPiece windows of every chunk."""
     pieces = WordPiece(spark, letter_vocabulary(spark, folder))
-    rows = pieces.windows(_chunk_rows(spark, folder)).select("doc_id", "ordinal", F.posexplode("windows").alias("window_no", "w"))
+    rows = pieces.window_rows(_chunk_rows(spark, folder))
     return plain(rows.select(
-        "doc_id", "ordinal", "window_no", F.md5(F.array_join("w.input_ids", ",")).alias("ids_md5"),
-        active_tokens(F.col("w.attention_mask")).alias("n_active"),
+        "doc_id", "ordinal", "window_no", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"),
+        active_tokens(F.col("attention_mask")).alias("n_active"),
     ))
 
 

@@ -65,6 +65,14 @@ def test_wordpiece_windows_keep_every_word(spark):
     assert [sum(w.attention_mask) for w in windows] == [5, 4]
 
 
+def test_window_rows_equal_the_window_array(spark):
+    pieces = WordPiece(spark, TOY)
+    df = spark.createDataFrame([(0, "hello world hello world hello"), (1, ""), (2, "world " * 9)], "k int, text string")
+    rows = pieces.window_rows(df, max_length=5).orderBy("k", "window_no").collect()
+    flat = [(r.k, i, w) for r in pieces.windows(df, max_length=5).orderBy("k").collect() for i, w in enumerate(r.windows)]
+    assert [(r.k, r.window_no, r.input_ids, r.attention_mask, r.token_type_ids) for r in rows] == [(k, i, *w) for k, i, w in flat]
+
+
 def test_wordpiece_rules(spark):
     vocabulary = {**TOY, "un": 6, "##known": 7}
     df = spark.createDataFrame([("Unknown hello! zzz " + "h" * 101,), ("",), ("hello",)], "text string")
