@@ -9,6 +9,13 @@ Layers, from the inside out:
 * ``streaming``  Structured Streaming forms of the ordered operators
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from ragspark.session import build_session
 
+# Functions sent to executors carry their code, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["build_session"]

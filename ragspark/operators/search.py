@@ -60,6 +60,7 @@ class _Queries:
         self.unit = matrix / np.where(self.bad, 1.0, norm)[:, None]
         self.unit[self.bad] = 0.0
         self.ids = ids
+        self.matrix = matrix
 
 
 def _matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,10 +171,12 @@ def search_batch(
     limit = max(1, query_bytes // (dimensions * 8))
     sample = asked.limit(limit + 1).toArrow()
     if sample.num_rows <= limit:
-        shared = corpus.sparkSession.sparkContext.broadcast(_query_block(sample, query_cols, query_vector_col, dimensions))
+        # plain Arrow and numpy values: a broadcast is unpickled without the package
+        block = _query_block(sample, query_cols, query_vector_col, dimensions)
+        shared = corpus.sparkSession.sparkContext.broadcast((block.ids, block.matrix))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            top = _TopK(shared.value, k, dimensions, id_cols)
+            top = _TopK(_Queries(*shared.value), k, dimensions, id_cols)
             for batch in batches:
                 top.add(batch, vector_col)
             yield from top.result(columns)

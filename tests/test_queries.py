@@ -31,3 +31,21 @@ def test_entry_contract(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_executors_do_not_need_the_package(tmp_path):
+    """The entry file loaded from another folder, by a plain session."""
+    import os
+    import subprocess
+    import sys
+
+    entry = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "__spark_entry__.py")
+    code = (
+        "import importlib.util as u; from pyspark.sql import SparkSession\n"
+        f"s = u.spec_from_file_location('e', {entry!r}); m = u.module_from_spec(s); s.loader.exec_module(m)\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('rows', m.queries()['vector_knn_all'](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=150)
+    assert "rows 2500" in done.stdout, done.stderr[-2000:]
