@@ -95,3 +95,19 @@ def test_live_turns(spark):
     df = spark.createDataFrame([(0, "Final", " hi "), (1, "Partial", "h"), (2, "Final", " ")], "id int, kind string, text string")
     rows = sinks.live_turns(df, F.upper, "en", "id", "P").collect()
     assert [(r.id, r.source_text, r.translated_text, r.target_language) for r in rows] == [(0, "hi", "HI", "id")]
+
+
+def test_an_idle_stream_is_flushed(spark, tmp_path):
+    import time
+
+    rows = [("s", seq, True, 320, seq * 20) for seq in range(1, 41)]  # speech that never ends
+    df = spark.createDataFrame(rows, "stream_id string, seq long, speech boolean, n_samples int, time_ms long")
+    out = segments.utterances_stream(_stream(spark, df, tmp_path, 1, "seq"), idle_ms=500)
+    q = out.writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        until = time.time() + 40
+        while not spark.table("idle").count() and time.time() < until:
+            time.sleep(0.5)
+        assert [tuple(r)[1:] for r in spark.table("idle").collect()] == [("FINAL", 1, 40, 40, 12_800, "END_OF_STREAM")]
+    finally:
+        q.stop()
