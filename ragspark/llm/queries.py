@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import decontaminate, linededup, repetition, simhash
+from ragspark.llm import attribution, decontaminate, kdshards, linededup, pieces, repetition, simhash
 from ragspark.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -56,9 +56,16 @@ lines AS (
   SELECT doc_id, sum(n - 1) AS n_dup_lines FROM (
     SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
     WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL) GROUP BY doc_id),
-windows AS (
-  SELECT doc_id, size, i, count(*) OVER (PARTITION BY doc_id, size, md5(array_to_string(w[i + 1 : i + size], ' '))) AS n
-  FROM d, (SELECT unnest([5, 8, 101]) AS size), LATERAL unnest(range(0, greatest(0, len(w) - size + 1))) u(i)),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+short AS (
+  SELECT doc_id, i, n, {" || ' ' || ".join(f"lead(word, {k}) OVER o" for k in range(5))} AS p5,
+    md5({" || ' ' || ".join(f"lead(word, {k}) OVER o" for k in range(8))}) AS p8
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+long AS (
+  SELECT *, md5({" || ".join(f"lead(p8, {k}) OVER o" for k in [*range(0, 96, 8), 93])}) AS p101
+  FROM short WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+windows AS ({" UNION ALL ".join(f"""
+  SELECT doc_id, {k} AS size, i, count(*) OVER (PARTITION BY doc_id, p{k}) AS n FROM long WHERE i + {k} <= n""" for k in (5, 8, 101))}),
 cover AS (
   SELECT doc_id, count(DISTINCT p) FILTER (size = 8) AS n_repeat_words, count(DISTINCT p) FILTER (size = 5) AS n_covered,
     count(*) FILTER (size = 101) AS n_long
@@ -94,3 +101,19 @@ FROM lines l LEFT JOIN often o USING (key) GROUP BY doc_id"""
 @query("op5_line_dedup", OP5_SQL)
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.line_report(table(spark, folder, "documents"))
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_pieces(table(spark, folder, "documents"))
+
+
+@query("op7_kd_shards")
+def op7_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return kdshards.kd_shards(table(spark, folder, "documents"), shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_section_tokens")
+def op9_section_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return attribution.section_tokens(table(spark, folder, "documents"))
