@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import attribution, decontaminate, kdshards, linededup, pieces, repetition, simhash
+from ragspark.llm import attribution, decontaminate, kdshards, langid, linededup, pieces, repetition, simhash, toxicity
 from ragspark.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -117,3 +117,13 @@ def op7_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_section_tokens")
 def op9_section_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return attribution.section_tokens(table(spark, folder, "documents"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_report(table(spark, folder, "documents"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
