@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import attribution, decontaminate, kdshards, langid, linededup, pieces, repetition, simhash, toxicity
+from ragspark.llm import attribution, decontaminate, kdshards, langid, linededup, lmscore, pieces, repetition, simhash, toxicity
 from ragspark.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -127,3 +127,9 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_cross_entropy")
+def op6_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    good = table(spark, folder, "labels").where("quality = 1")
+    return lmscore.cross_entropy_difference(table(spark, folder, "documents"), good)
