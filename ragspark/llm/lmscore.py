@@ -147,7 +147,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, vocabulary: int
     top = counted.orderBy(F.desc("n"), "word").limit(vocabulary - 2).select("word").toArrow().column("word").to_numpy()
     words = np.sort(top.view(np.uint64))
     chosen = target.select(target["doc_id"].alias("_chosen")).where("_chosen is not null").distinct()
-    flagged = rows.join(chosen, F.col("_id") == F.col("_chosen"), "left").select("_text", F.col("_chosen").isNotNull().alias("_target"))
+    # both sides are shuffled at every size: a broadcast of the ids would have no bound
+    flagged = rows.join(chosen.hint("merge"), F.col("_id") == F.col("_chosen"), "left").select("_text", F.col("_chosen").isNotNull().alias("_target"))
     cells = flagged.mapInArrow(bigram_counts(spark.sparkContext.broadcast(words)), "cell long, background long, target long")
     # at most vocabulary squared rows
     found = cells.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
