@@ -31,7 +31,8 @@ from ragspark.llm.shared import text_or_null
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 64
-BLOCK = 16 << 20
+BLOCK = 8 << 20
+SLICE = 1 << 18  # pieces decoded at a time
 SLAB = 1 << 16
 FALLBACK = -1e6  # per byte; scores of pieces are above -1e5
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -174,7 +175,7 @@ class Vocabulary:
         total = 0
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
-            step = max(1, (1 << 22) // int(size)) if size <= LONG else 1
+            step = max(1, (1 << 20) // int(size)) if size <= LONG else 1
             for i in range(0, len(rows), step):
                 part = rows[i : i + step]
                 if size <= LONG:
@@ -220,7 +221,9 @@ class Codec:
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """Texts of consecutive runs of ids."""
         sizes = self.v.sizes[ids]
-        raw = self.v.bytes[kernel.ragged(self.v.starts[ids], sizes)].tobytes()
+        raw = b"".join(
+            self.v.bytes[kernel.ragged(self.v.starts[ids[i : i + SLICE]], sizes[i : i + SLICE])].tobytes()
+            for i in range(0, len(ids), SLICE))
         total = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
         cuts = total[np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))].tolist()
         return [raw[a + 1 : b] if b > a else b"" for a, b in zip(cuts, cuts[1:])]
