@@ -29,7 +29,7 @@ from ragspark.llm.kernel import SpanHash
 from ragspark.llm.shared import held_out, text_or_null
 
 WIDTH = 32
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 SAMPLE_CHARS = 2000
 MAX_LANGUAGES = 512
 LETTER = r"\p{L}"
@@ -136,8 +136,7 @@ def word_units(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Words that hold a letter byte, cut at ``WIDTH`` bytes: starts and ends."""
     starts, ends = kernel.spans(kernel.not_space()[buf])
     letter = kernel.byte_set((0x61, 0x7A), (0x80, 0xFF))[buf]
-    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(letter)))
-    held = total[ends] > total[starts]
+    held = np.logical_or.reduceat(letter, starts) if len(starts) else np.zeros(0, bool)
     starts, ends = starts[held], ends[held]
     pieces = (ends - starts + WIDTH - 1) // WIDTH
     first = np.repeat(starts, pieces)
@@ -158,8 +157,8 @@ def pooled(net: BiGRU, hasher: SpanHash, texts: list[bytes]) -> np.ndarray:
     size = (ends - starts)[one]
     for n in np.unique(size):
         rows = np.flatnonzero(size == n)
-        for i in range(0, len(rows), 8192):
-            part = rows[i : i + 8192]
+        for i in range(0, len(rows), 4096):
+            part = rows[i : i + 4096]
             sums[part] = net.label(buf[starts[one[part]][:, None] + np.arange(n)]).sum(0)
     cuts = np.searchsorted(starts, bounds)
     out = np.zeros((len(texts), labels))
@@ -176,16 +175,16 @@ def predict_batches(shared, column: str, letters: str):
         names, net = shared.value
         hasher = SpanHash()
         for batch in batches:
-            texts = kernel.blobs(batch.column(column))
-            parts = [pooled(net, hasher, texts[i:j]) for i, j in kernel.blocks(texts, BLOCK)]
-            prob = np.concatenate(parts) if parts else np.zeros((0, len(names)))
-            best = prob.argmax(1)
-            found = prob[np.arange(len(prob)), best]
-            known = np.asarray(batch.column(letters).fill_null(False)) & (found > 0)
-            lang = [names[b] if k else "und" for b, k in zip(best, known)]
-            score = np.clip(np.where(known, found, 0.0), 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*batch.schema.names, "_lang", "_score"])
+            for i, j, texts in kernel.text_blocks(batch.column(column), BLOCK):
+                rows = batch.slice(i, j - i)
+                prob = pooled(net, hasher, texts)
+                best = prob.argmax(1)
+                found = prob[np.arange(len(prob)), best]
+                known = np.asarray(rows.column(letters).fill_null(False)) & (found > 0)
+                lang = [names[b] if k else "und" for b, k in zip(best, known)]
+                score = np.clip(np.where(known, found, 0.0), 0.0, 1.0)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                                 names=[*batch.schema.names, "_lang", "_score"])
 
     return run
 
