@@ -213,9 +213,8 @@ def search_pass(shared, last: bool):
         phrases: Phrases = shared.value
         hasher, member = SpanHash(phrases.seed), word_bytes()
         for batch in batches:
-            texts = kernel.blobs(batch.column("_text"))
-            for i, j in kernel.blocks(texts, SHARD):
-                counts, ranges, items, where = shard_hits(phrases, hasher, member, [x.lower() for x in texts[i:j]])
+            for i, j, texts in kernel.text_blocks(batch.column("_text"), SHARD):
+                counts, ranges, items, where = shard_hits(phrases, hasher, member, [x.lower() for x in texts])
                 part = batch.slice(i, j - i)
                 merged, names, spans, hits = [], [], [], []
                 for d, (old, known) in enumerate(zip(part.column("_ranges").to_pylist(), part.column("_items").to_pylist())):

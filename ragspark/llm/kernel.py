@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 2 << 20
 PIECE = 1 << 20
@@ -22,16 +23,17 @@ def blobs(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(items: list[bytes], most: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of items of at most ``most`` bytes together, or one item."""
+def text_blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows of at most ``most`` bytes together (or one row) with their bytes, one range at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = size = 0
-    for i, x in enumerate(items):
-        if i > start and size + len(x) > most:
-            yield start, i
+    for i, n in enumerate(sizes):
+        if i > start and size + n > most:
+            yield start, i, blobs(column.slice(start, i - start))
             start, size = i, 0
-        size += len(x) + 1
-    if start < len(items):
-        yield start, len(items)
+        size += n + 1
+    if start < len(sizes):
+        yield start, len(sizes), blobs(column.slice(start))
 
 
 def joined(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

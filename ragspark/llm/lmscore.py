@@ -41,9 +41,8 @@ def block_words(texts: list[bytes], hasher: SpanHash) -> tuple[np.ndarray, np.nd
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = SpanHash()
     for batch in batches:
-        texts = kernel.blobs(batch.column("_text"))
-        for i, j in kernel.blocks(texts, BLOCK):
-            words, n = np.unique(block_words(texts[i:j], hasher)[0], return_counts=True)
+        for _, _, texts in kernel.text_blocks(batch.column("_text"), BLOCK):
+            words, n = np.unique(block_words(texts, hasher)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
@@ -77,10 +76,9 @@ def bigram_counts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, hasher = Symbols(shared.value), SpanHash()
         for batch in batches:
-            texts = kernel.blobs(batch.column("_text"))
             target = np.asarray(batch.column("_target"))
-            for i, j in kernel.blocks(texts, BLOCK):
-                words, cuts = block_words(texts[i:j], hasher)
+            for i, j, texts in kernel.text_blocks(batch.column("_text"), BLOCK):
+                words, cuts = block_words(texts, hasher)
                 cell = symbols.bigrams(words, cuts)
                 known, where = np.unique(cell, return_inverse=True)
                 mine = np.repeat(target[i:j].astype(np.int64), np.diff(cuts))
@@ -117,9 +115,8 @@ def score_batches(shared):
         symbols, hasher = Symbols(words), SpanHash()
         target, background = target.ravel(), background.ravel()
         for batch in batches:
-            texts = kernel.blobs(batch.column("_text"))
-            for i, j in kernel.blocks(texts, BLOCK):
-                hashes, cuts = block_words(texts[i:j], hasher)
+            for i, j, texts in kernel.text_blocks(batch.column("_text"), BLOCK):
+                hashes, cuts = block_words(texts, hasher)
                 cell = symbols.bigrams(hashes, cuts)
                 n = np.diff(cuts)
                 has = np.flatnonzero(n)

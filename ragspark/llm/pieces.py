@@ -234,12 +234,11 @@ def encode_batches(shared):
         codec = Codec(Vocabulary(shared.value))
         for batch in batches:
             column = batch.column(1)
-            texts = kernel.blobs(column)
-            for i, j in kernel.blocks(texts, BLOCK):
-                ids, counts = codec.encode(texts[i:j])
+            for i, j, texts in kernel.text_blocks(column, BLOCK):
+                ids, counts = codec.encode(texts)
                 back = codec.decode(ids, counts)
                 null = np.asarray(column.slice(i, j - i).is_null())
-                same = [None if n else a == b for a, b, n in zip(texts[i:j], back, null)]
+                same = [None if n else a == b for a, b, n in zip(texts, back, null)]
                 offsets = np.concatenate((np.zeros(1, np.int32), np.cumsum(counts, dtype=np.int32)))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=pa.array(null))
                 yield pa.RecordBatch.from_arrays(

@@ -95,8 +95,8 @@ def count_batches(min_words: int):
         symbol = np.zeros(256, np.bool_)
         symbol[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
         for batch in batches:
-            texts = kernel.blobs(batch.column("_text"))
-            found = [block_counts(texts[i:j], hasher, (kernel.not_space(), symbol), min_words) for i, j in kernel.blocks(texts)]
+            found = [block_counts(texts, hasher, (kernel.not_space(), symbol), min_words)
+                     for _, _, texts in kernel.text_blocks(batch.column("_text"))]
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id"), *(pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found))],

@@ -108,7 +108,7 @@ class CRF:
         n = len(f)
         flat = f.reshape(-1, f.shape[-1])
         known, where = np.unique(flat, return_inverse=True)
-        where = where.reshape(flat.shape)
+        where = where.reshape(flat.shape).astype(np.int32)
         y = label.astype(float)
         w, b, m = np.zeros(len(known)), self.bias, self.move.copy()
         g2, gb2, gm2 = np.full(len(known), 1e-6), 1e-6, np.full((2, 2), 1e-6)
@@ -128,8 +128,9 @@ class CRF:
             ahead, back = self.messages(e.reshape(n, CHUNK), move)
             right = e.reshape(n, CHUNK)[:, 1:] * back[:, 1:]
             left = ahead[:, :-1]
-            joint = np.stack([np.full_like(left, move[0, 0]), move[0, 1] * right, move[1, 0] * left, move[1, 1] * left * right])
-            pairs = (joint / joint.sum(0)).sum((1, 2)).reshape(2, 2)
+            joint = np.full_like(left, move[0, 0]), move[0, 1] * right, move[1, 0] * left, move[1, 1] * left * right
+            whole = sum(joint)
+            pairs = np.array([(x / whole).sum() for x in joint]).reshape(2, 2)
             gm, gb = seen - pairs, slope.sum()
             gw, gm, gb = gw / n - decay * w, gm / n, gb / n
             g2, gm2, gb2 = g2 + gw * gw, gm2 + gm * gm, gb2 + gb * gb
@@ -243,10 +244,14 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500) -> tup
         chains.append(c[take])
         tags.append(t[take])
     crf.fit(np.concatenate(chains), np.concatenate(tags))
-    sizes = np.array([len(f) for f in found])
-    lines = np.cumsum(sizes) - sizes
-    p = crf.marginals(np.concatenate(found), lines[sizes > 0], sizes[sizes > 0])
-    top, mass = document_totals(p, np.concatenate(([0], np.cumsum(sizes))))
+    del chains, tags, marks
+    totals = []
+    for i in range(0, len(found), 256):
+        part = found[i : i + 256]
+        sizes = np.array([len(f) for f in part])
+        p = crf.marginals(np.concatenate(part), (np.cumsum(sizes) - sizes)[sizes > 0], sizes[sizes > 0])
+        totals.append(document_totals(p, np.concatenate(([0], np.cumsum(sizes)))))
+    top, mass = (np.concatenate(x) for x in zip(*totals))
     weight = np.where(toxic, counts[1] / toxic.sum(), counts[0] / (~toxic).sum()) / total * len(toxic)
     crf.calibrate(top, mass, toxic.astype(float), weight)
     return crf, counts[1] / total
@@ -257,9 +262,7 @@ def score_batches(shared):
         crf: CRF = shared.value
         hasher, member = SpanHash(), word_bytes()
         for batch in batches:
-            texts = kernel.blobs(batch.column("_text"))
-            for i, j in kernel.blocks(texts, 4 << 20):
-                part = texts[i:j]
+            for i, j, part in kernel.text_blocks(batch.column("_text"), 4 << 20):
                 buf, bounds, starts, ends, cuts, lines, lengths = words_of(part, member)
                 p = crf.marginals(features(buf, starts, ends, hasher), lines, lengths)
                 top, mass = document_totals(p, cuts)
