@@ -160,15 +160,14 @@ def after_failure(catalog: DataFrame, failed: DataFrame, saved: DataFrame, key:
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Insert or replace by key: the row with the highest ``version`` survives; combines before the shuffle."""
-    both = table.unionByName(rows)
-    rest = [c for c in both.columns if c not in keys]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_row")).select(*keys, "_row.*")
+    """Insert or replace by key: the row with the highest ``version`` survives; combines before the shuffle.
 
-
-def by_name(table: DataFrame, name: str, *first: Column, key: str) -> DataFrame:
-    """Ordered by ASCII-caseless name; ties by key make the order total."""
-    return table.orderBy(*first, T.nocase_key(F.col(name)), F.col(key))
+    Of equal versions a row of ``rows`` beats one of ``table``, and a hash decides between the rest.
+    """
+    rest = [c for c in table.columns if c not in keys]
+    both = table.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
+    order = F.struct(F.col(version), F.col("_new"), F.xxhash64(*rest))
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
 
 
 def set_active(personas: DataFrame, target: DataFrame, owner: str, key: str = "persona_id") -> DataFrame:

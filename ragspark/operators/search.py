@@ -309,10 +309,3 @@ def delete_tail(rows: DataFrame, targets: DataFrame, document_col: str, from_col
     ).otherwise(F.col(from_col)).alias("_from"))
     kept = F.col("_from").isNull() | (F.col("ordinal") < F.col("_from"))
     return rows.join(t, document_col, "left").where(kept).drop("_from")
-
-
-def backend_status(exact: bool = True, failed: bool = False, detail: str | None = None) -> dict[str, str]:
-    """Name of the search path in use; a failed store stays unavailable."""
-    if failed:
-        return {"backend": "UNAVAILABLE", "detail": detail or "Local vector database could not be opened"}
-    return {"backend": "EXACT" if exact else "EXACT_DEGRADED", "detail": detail or "exact cosine over all vectors"}

@@ -64,17 +64,25 @@ def search_evidence(rows: DataFrame, title: str, description: str, url: str, kee
     )
 
 
+def oversize(payloads: DataFrame, body: str, keep: list[str] = ()) -> DataFrame:
+    """One row with an error for every body over the limit."""
+    return payloads.where(~body_within_limit(F.col(body))).select(*keep, F.lit(X.WEB_BODY_TOO_LARGE).alias("error"))
+
+
 def parse_encyclopedia(payloads: DataFrame, body: str, keep: list[str] = ()) -> DataFrame:
-    """Result rows from JSON bodies; unknown keys are ignored, oversize bodies are not parsed."""
+    """Result rows from JSON bodies; unknown keys are ignored, an oversize body gives one row with an ``error``."""
     parsed = F.from_json(F.col(body), ENCYCLOPEDIA_SCHEMA)
     rows = payloads.where(body_within_limit(F.col(body))).select(*keep, F.explode(parsed["query"]["pages"]).alias("p"))
-    return rows.select(*keep, F.coalesce("p.title", F.lit("")).alias("title"), "p.extract", F.col("p.fullurl").alias("url"), F.col("p.pageid").alias("page_id"))
+    found = rows.select(*keep, F.coalesce("p.title", F.lit("")).alias("title"), "p.extract", F.col("p.fullurl").alias("url"),
+                        F.col("p.pageid").alias("page_id"), F.lit(None).cast("string").alias("error"))
+    return found.unionByName(oversize(payloads, body, keep), allowMissingColumns=True)
 
 
 def parse_search(payloads: DataFrame, body: str, keep: list[str] = ()) -> DataFrame:
     parsed = F.from_json(F.col(body), SEARCH_SCHEMA)
     rows = payloads.where(body_within_limit(F.col(body))).select(*keep, F.explode(parsed["web"]["results"]).alias("r"))
-    return rows.select(*keep, "r.title", "r.url", "r.description")
+    found = rows.select(*keep, "r.title", "r.url", "r.description", F.lit(None).cast("string").alias("error"))
+    return found.unionByName(oversize(payloads, body, keep), allowMissingColumns=True)
 
 
 def failover(primary: DataFrame, secondary: DataFrame, keys: list[str]) -> DataFrame:

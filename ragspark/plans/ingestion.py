@@ -13,6 +13,9 @@ from ragspark.operators.chunking import chunk_text
 from ragspark.operators.embedding import Embedder, with_embedding
 
 
+NO_TEXT = "No text was extracted"
+
+
 @dataclass(frozen=True)
 class Ingested:
     """New tables and the per-file outcome of one ingestion."""
@@ -28,14 +31,15 @@ def ingest(
     """Index what is new, changed or incomplete; leave the rest untouched.
 
     ``listing`` has the catalog's metadata columns, ``texts(document_id, text, error)`` the extracted
-    text.  Keys are deterministic, so running again after a failure gives the same tables.  An
+    text; a document to index that has no text row, or neither text nor error, is FAILED with a reason.
+    Keys are deterministic, so running again after a failure gives the same tables.  An
     incomplete document is completed by embedding only the chunks it lacks.
     """
     complete = V.is_valid(F.col("embedding"), embedder.dimensions)
     healthy = C.health(catalog, chunks, complete).where("healthy").select("document_id")
     state = C.classify(listing, catalog, healthy)
     todo = state.where(F.col("status").isin("NEW", "CHANGED", "INCOMPLETE"))
-    usable = texts.where(F.col("error").isNull()).select("document_id", "text")
+    usable = texts.where(F.col("error").isNull() & F.col("text").isNotNull()).select("document_id", "text")
 
     wanted = chunk_text(usable.join(todo.select("document_id"), "document_id", "left_semi"), "document_id", "text")
     changed = state.where("status = 'CHANGED'").select("document_id")
@@ -43,11 +47,15 @@ def ingest(
     fresh = with_embedding(wanted.join(kept.select("document_id", "ordinal"), ["document_id", "ordinal"], "left_anti"), embedder)
     new_chunks = kept.unionByName(fresh.select(*kept.columns))
 
-    outcomes = state.join(texts.select("document_id", "error"), "document_id", "left").select(
+    # without text there is nothing to index, so the document must not count as done
+    missing = F.when(F.col("text_found").isNull(), NO_TEXT)
+    extracted = texts.select("document_id", "error", F.when(F.col("text").isNotNull(), True).alias("text_found"))
+    outcomes = state.join(extracted, "document_id", "left").withColumn("error", F.coalesce("error", missing)).select(
         "document_id", "status",
         F.when(F.col("status") == "UNCHANGED", "SKIPPED").when(F.col("status") == "REJECTED", "FAILED")
         .when(F.col("status") == "ABSENT", "ABSENT").when(F.col("error").isNotNull(), "FAILED").otherwise("INDEXED").alias("outcome"),
-        F.coalesce("reason", "error").alias("reason"),
+        F.when(F.col("status") == "REJECTED", F.col("reason")).when(
+            ~F.col("status").isin("UNCHANGED", "ABSENT"), F.coalesce("reason", "error")).otherwise(F.col("reason")).alias("reason"),
     )
     counts = new_chunks.groupBy("document_id").agg((F.max("ordinal") + 1).alias("_n"))
     touched = listing.join(outcomes.where(F.col("outcome").isin("INDEXED", "FAILED") & (F.col("status") != "REJECTED")), "document_id").join(

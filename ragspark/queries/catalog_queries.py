@@ -170,12 +170,15 @@ def documents_nocase(spark, folder):
     return with_index(rows, Ordering((), ("k", "p_partkey")), "place").select("p_partkey", "p_name", "place")
 
 
-@query("documents_by_name", "SELECT doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY lower(source), doc_id) AS position FROM documents QUALIFY position <= 20")
+@query("documents_by_name", "SELECT doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY lower(source), doc_id) AS position FROM documents")
 def documents_by_name(spark, folder):
-    """The first twenty documents of each language in caseless name order."""
-    d = table(spark, folder, "documents").select("doc_id", "source", "lang")
-    rows = C.latest_rows(d, ["lang"], [T.nocase_key(F.col("source")), F.col("doc_id")], 20)
-    return plain(rows.select("doc_id", "source", "position"))
+    """All documents in caseless name order, with their position within the language.
+
+    A name that many documents share is split by id range, so no name is sorted in one task.
+    """
+    d = table(spark, folder, "documents").select("doc_id", "source", "lang", T.nocase_key(F.col("source")).alias("k"))
+    d = d.withColumn("_bucket", F.struct("k", F.floor(F.col("doc_id") / 65_536).alias("range")))
+    return plain(with_index(d, Ordering(("lang",), ("k", "doc_id")), "position").select("doc_id", "source", "position"))
 
 
 # personas: customers, one owner per nation
@@ -189,10 +192,12 @@ def _personas(spark, folder):
     )
 
 
-@query("personas_ordered", f"WITH {_PERSONAS} SELECT owner, persona_id, row_number() OVER (PARTITION BY owner ORDER BY active DESC, lower(name), persona_id) AS position FROM p QUALIFY position <= 10")
+@query("personas_ordered", f"WITH {_PERSONAS} SELECT owner, persona_id, row_number() OVER (PARTITION BY owner ORDER BY active DESC, lower(name), persona_id) AS position FROM p")
 def personas_ordered(spark, folder):
-    order = [F.desc("active"), T.nocase_key(F.col("name")), F.col("persona_id")]
-    return plain(C.latest_rows(_personas(spark, folder), ["owner"], order, 10).select("owner", "persona_id", "position"))
+    """All personas of an owner: the active ones first, then by caseless name; buckets are name prefixes."""
+    p = _personas(spark, folder).withColumns({"rest": ~F.col("active"), "k": T.nocase_key(F.col("name"))})
+    p = p.withColumn("_bucket", F.struct("rest", F.substring("k", 1, 14).alias("prefix")))
+    return plain(with_index(p, Ordering(("owner",), ("rest", "k", "persona_id")), "position").select("owner", "persona_id", "position"))
 
 
 @query("set_active", f"""WITH {_PERSONAS}, t AS (SELECT owner, CASE WHEN owner % 3 = 0 THEN -1 ELSE max(persona_id) END AS target FROM p GROUP BY owner)
@@ -231,7 +236,7 @@ def persona_upsert(spark, folder):
     return C.upsert(p, new, ["persona_id"], "version").select("persona_id", "name")
 
 
-@query("persona_rules", f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '  ' ELSE substr(text, 1, CAST(40 + conv_id % 60 AS BIGINT)) END AS name, CASE WHEN turn % 6 = 5 THEN ' ' ELSE repeat(text, CAST(1 + conv_id % 20 AS BIGINT)) END AS prompt,
+@query("persona_rules", f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '  ' WHEN turn % 2 = 0 THEN text ELSE role END AS name, CASE WHEN turn % 6 = 5 THEN ' ' ELSE repeat(text, CAST(1 + conv_id % 20 AS BIGINT)) END AS prompt,
   CAST(conv_id % 12 AS FLOAT) / CAST(10 AS FLOAT) AS temperature, CAST(4 + turn % 8 AS FLOAT) / CAST(10 AS FLOAT) AS top_p, (conv_id * 97 + turn * 401) % 5000 AS max_tokens FROM conversations)
 SELECT conv_id, turn, CASE WHEN trim(name) = '' THEN '{X.PERSONA_NAME_REQUIRED}' WHEN len(trim(name)) > 80 THEN '{X.PERSONA_NAME_LONG}' WHEN trim(prompt) = '' THEN '{X.PERSONA_PROMPT_REQUIRED}' WHEN len(trim(prompt)) > 20000 THEN '{X.PERSONA_PROMPT_LONG}'
   WHEN temperature NOT BETWEEN CAST(0.1 AS FLOAT) AND CAST(1.0 AS FLOAT) THEN '{X.PERSONA_TEMPERATURE}' WHEN top_p NOT BETWEEN CAST(0.5 AS FLOAT) AND CAST(1.0 AS FLOAT) THEN '{X.PERSONA_TOP_P}'
@@ -240,7 +245,7 @@ def persona_rules(spark, folder):
     i, t = F.col("conv_id"), F.col("turn")
     ten = F.lit(10.0).cast("float")
     error = C.persona_error(
-        F.when(t % 5 == 4, "  ").otherwise(F.substring("text", F.lit(1), (40 + i % 60).cast("int"))),
+        F.when(t % 5 == 4, "  ").when(t % 2 == 0, F.col("text")).otherwise(F.col("role")),
         F.when(t % 6 == 5, " ").otherwise(F.repeat("text", (1 + i % 20).cast("int"))),
         ((i % 12).cast("float") / ten).cast("float"), ((4 + t % 8).cast("float") / ten).cast("float"), (i * 97 + t * 401) % 5000,
     )

@@ -154,16 +154,16 @@ def web_json_parse(spark, folder):
     )
 
 
-@query("body_limits", """SELECT doc_id, strlen(text) <= 4096 AS within, strlen(text) <= 4096 AND (CASE WHEN doc_id % 3 = 0 THEN -1 ELSE n_chars + 100 END) <= 4096 AS both_within,
-  CASE WHEN len(trim(substr(text, 1, CAST(doc_id % 500 AS BIGINT)))) NOT BETWEEN 2 AND 400 THEN 'Web search query must be between 2 and 400 characters' END AS query_error,
+@query("body_limits", f"""SELECT doc_id, strlen(text) <= 524288 AS within, strlen(text) <= 524288 AND (CASE WHEN doc_id % 3 = 0 THEN -1 ELSE n_chars * 600 END) <= 524288 AS both_within,
+  CASE WHEN len({sql_trim('text')}) NOT BETWEEN 2 AND 400 THEN 'Web search query must be between 2 and 400 characters' END AS query_error,
   least(greatest(doc_id % 9 - 2, 1), 5) AS n_results FROM documents""")
 def body_limits(spark, folder):
     d = table(spark, folder, "documents")
-    declared = F.when(F.col("doc_id") % 3 == 0, -1).otherwise(F.col("n_chars") + 100)
+    declared = F.when(F.col("doc_id") % 3 == 0, -1).otherwise(F.col("n_chars") * 600)
     return plain(d.select(
-        "doc_id", W.body_within_limit(F.col("text"), limit=4096).alias("within"),
-        W.body_within_limit(F.col("text"), declared, 4096).alias("both_within"),
-        W.query_error(F.substring("text", F.lit(1), (F.col("doc_id") % 500).cast("int"))).alias("query_error"),
+        "doc_id", W.body_within_limit(F.col("text")).alias("within"),
+        W.body_within_limit(F.col("text"), declared).alias("both_within"),
+        W.query_error(F.col("text")).alias("query_error"),
         W.result_limit(F.col("doc_id") % 9 - 2).alias("n_results"),
     ))
 

@@ -387,7 +387,7 @@ def terminal_failures(spark, folder):
     return plain(E.terminal_failures(_answer_events(spark, folder), ["conv_id", "turn"]))
 
 
-@query("route_questions", f"""WITH {SQL_HITS}, web AS (SELECT item_id, string_agg('[web:' || p || '] Page ' || page_id || chr(10) || 'URL: ' || url || chr(10) || '{X.UNTRUSTED_MARKER}' || chr(10) || substr(html, 1, 100), chr(10) || chr(10) ORDER BY p) AS body
+@query("route_questions", f"""WITH {SQL_HITS}, web AS (SELECT item_id, string_agg('[web:' || p || '] Page ' || page_id || chr(10) || 'URL: ' || url || chr(10) || '{X.UNTRUSTED_MARKER}' || chr(10) || html, chr(10) || chr(10) ORDER BY p) AS body
   FROM (SELECT item_id, page_id, url, html, row_number() OVER (PARTITION BY item_id ORDER BY page_id) AS p FROM benchmark JOIN pages ON page_id % 40 = item_id) WHERE p <= 3 GROUP BY item_id),
 best AS (SELECT item_id, max(score) AS s FROM hits GROUP BY item_id)
 SELECT b.item_id AS question_id, CASE WHEN best.s >= CAST(0.95 AS FLOAT) THEN 'LOCAL' WHEN b.item_id % 2 = 1 THEN 'WITHHELD' WHEN web.body IS NOT NULL THEN 'WEB' ELSE 'FAILED' END AS route,
@@ -402,7 +402,7 @@ def route_questions(spark, folder):
     asked = _questions(spark, folder).select("question_id")
     web = top_results(pages.join(asked, "question_id", "left_semi"), ["question_id"], ["page_id"]).select(
         "question_id", "position", F.lit("").alias("source_id"), F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"),
-        "url", F.substring("html", 1, 100).alias("content"),
+        "url", F.col("html").alias("content"),
     )
     requests = _questions(spark, folder).select("question_id", F.lit(True).alias("use_rag"), (F.col("question_id") % 2 == 0).alias("allow_web"))
     rows = R.route_questions(contexts, web, requests)

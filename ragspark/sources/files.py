@@ -49,6 +49,9 @@ def read_contents(spark: SparkSession, path: str | list[str], limit: int = X.DOC
     )
 
 
+UNREADABLE = "Document content could not be read"
+
+
 class _Runs:
     """Parser target collecting character data between markup events, in document order."""
 
@@ -93,15 +96,19 @@ def docx_text(content: bytes) -> str:
 def extract_text(
     files: DataFrame, contents: DataFrame, pdf_pages: Callable[[bytes], Iterator[str]] | None = None,
 ) -> DataFrame:
-    """``document_id, text, error`` of listed files.
+    """``document_id, text, error`` of listed files, one row each.
 
-    TXT is decoded in the JVM.  DOCX, and PDF when a page reader is given, run in Arrow batches; without
+    A file without content (over the size limit, or gone since it was listed) gives an error row.  TXT is
+    decoded in the JVM, bad bytes replaced.  DOCX, and PDF when a page reader is given, run in Arrow batches; without
     a reader a PDF gives an error row, never invented text.
     """
     fmt = T.document_format(F.col("display_name"), F.col("mime_type"))
-    rows = files.select("document_id", "source_uri", fmt.alias("format")).join(contents, "source_uri")
+    rows = files.select("document_id", "source_uri", fmt.alias("format"), "size_bytes").join(contents, "source_uri", "left")
+    reason = F.when(F.col("size_bytes") > X.DOCUMENT_BYTES, X.DOCUMENT_TOO_LARGE).otherwise(UNREADABLE)
+    absent = rows.where("content IS NULL").select("document_id", F.lit(None).cast("string").alias("text"), reason.alias("error"))
+    rows = rows.where("content IS NOT NULL")
     plain = rows.where("format = 'TXT'").select(
-        "document_id", F.decode(F.col("content"), "UTF-8").alias("text"), F.lit(None).cast("string").alias("error")
+        "document_id", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit(None).cast("string").alias("error")
     )
     packed = rows.where("format IN ('DOCX', 'PDF')").select("document_id", "format", "content")
 
@@ -126,7 +133,7 @@ def extract_text(
                 names=["document_id", "text", "error"],
             )
 
-    return plain.unionByName(packed.mapInArrow(read, "document_id string, text string, error string"))
+    return plain.unionByName(absent).unionByName(packed.mapInArrow(read, "document_id string, text string, error string"))
 
 
 def _bounded(pages: Iterator[str]) -> Iterator[str]:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DecimalType, FractionalType, IntegralType, StructField, StructType
 
 
 def debounce_stream(inputs: DataFrame, keys: list[str], time_col: str, order: list[str], wait: str = "300 milliseconds",
@@ -36,19 +36,29 @@ def keep_latest_stream(frames: DataFrame, keys: list[str], order: list[str]) ->
 
 
 def drop_repeats_stream(events: DataFrame, key: str, order: str, same: str) -> DataFrame:
-    """Rows whose ``same`` value differs from the row before; state is the last value of each key."""
+    """Rows whose ``same`` value differs from the row before; state is the last value of each key.
+
+    Null equals null.  The state has the column's own type, so values compare alike within and across triggers.
+    """
     schema: StructType = events.schema
+    kind = schema[same].dataType
+
+    def plain_value(v):
+        if pd.isna(v):
+            return None
+        if isinstance(kind, IntegralType):
+            return int(v)
+        return float(v) if isinstance(kind, FractionalType) and not isinstance(kind, DecimalType) else v
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        previous = rows[same].shift(1)
         if len(rows):
-            previous.iloc[0] = last
-            keep = rows[same] != previous
-            state.update((str(rows[same].iloc[-1]),))
-            yield rows[keep]
+            values = [plain_value(v) for v in rows[same]]
+            new = [a != b for a, b in zip(values[1:], values)]
+            first = not state.exists or state.get[0] != values[0]
+            state.update((values[-1],))
+            yield rows[[first, *new]]
 
     return events.groupBy(key).applyInPandasWithState(
-        step, schema, "last string", "append", GroupStateTimeout.NoTimeout
+        step, schema, StructType([StructField("last", kind)]), "append", GroupStateTimeout.NoTimeout
     )

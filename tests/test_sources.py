@@ -134,3 +134,40 @@ def test_ingestion_is_incremental_and_repeatable(spark):
     assert [r[:2] for r in rows2 if r[0] == "b"] == [("b", 0), ("b", 1)]
     assert headers2["f"] == (0, False) and headers2["b"] == (2, True)
     assert outcome2 == {"a": "INDEXED", "b": "INDEXED", "e": "SKIPPED", "f": "FAILED"}
+
+
+def test_every_listed_file_gets_a_row(spark):
+    """Bad bytes are replaced; a file without content is an error, not a gap."""
+    from ragspark.functions import fixed as X
+
+    listed = spark.createDataFrame(
+        [("a", "u1", "a.txt", "", 4), ("b", "u2", "b.txt", "", X.DOCUMENT_BYTES + 1), ("c", "u3", "c.txt", "", 5)],
+        "document_id string, source_uri string, display_name string, mime_type string, size_bytes bigint")
+    contents = spark.createDataFrame([("u1", bytearray(b"caf\xe9"))], "source_uri string, content binary")
+    rows = {r.document_id: (r.text, r.error) for r in files.extract_text(listed, contents).collect()}
+    assert rows == {"a": ("caf\ufffd", None), "b": (None, X.DOCUMENT_TOO_LARGE), "c": (None, files.UNREADABLE)}
+
+
+def test_documents_without_text_are_not_indexed(spark):
+    from ragspark.operators.embedding import HashedBagOfWords
+    from ragspark.plans.ingestion import NO_TEXT, ingest
+
+    listed = "document_id string, source_uri string, display_name string, mime_type string, size_bytes bigint, modified_ms bigint"
+    listing = spark.createDataFrame([(x, x, f"{x}.txt", "", 5, 1) for x in ("a", "b", "c")], listed)
+    catalog = spark.createDataFrame([], listed + ", chunk_count int, indexed boolean")
+    chunks = spark.createDataFrame([], "document_id string, ordinal int, text string, start_token int, end_token int, embedding array<float>")
+    texts = spark.createDataFrame([("a", "some words", None), ("c", None, None)], "document_id string, text string, error string")
+    done = ingest(listing, texts, catalog, chunks, HashedBagOfWords(8))
+    assert {r.document_id: (r.outcome, r.reason) for r in done.outcomes.collect()} == {
+        "a": ("INDEXED", None), "b": ("FAILED", NO_TEXT), "c": ("FAILED", NO_TEXT)}
+    assert {r.document_id: r.indexed for r in done.catalog.collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_oversize_bodies_are_reported(spark):
+    from ragspark.functions import fixed as X
+    from ragspark.operators import web
+
+    bodies = spark.createDataFrame([(1, '{"web":{"results":[{"title":"t","url":"u","description":"d"}]}}'), (2, "x" * 600_000)], "id int, body string")
+    assert {r.id: (r.title, r.error) for r in web.parse_search(bodies, "body", ["id"]).collect()} == {
+        1: ("t", None), 2: (None, X.WEB_BODY_TOO_LARGE)}
+    assert [r.error for r in web.parse_encyclopedia(bodies, "body", ["id"]).collect()] == [X.WEB_BODY_TOO_LARGE]

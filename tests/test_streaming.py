@@ -50,6 +50,13 @@ def test_repeats_are_dropped_across_triggers(spark, tmp_path):
     assert [r.v for r in out.orderBy("id").collect()] == ["a", "b", "a", "c"]
 
 
+def test_consecutive_repeats_of_numbers_and_nulls_across_triggers(spark, tmp_path):
+    values = [7, 7, None, None, 8, 7, 7, 8]
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "k string, id int, v bigint")
+    out = _run(D.drop_repeats_stream(_stream(spark, df, tmp_path), "k", "id", "v"), "numbers", tmp_path)
+    assert [r.v for r in out.orderBy("id").collect()] == [7, None, 8, 7, 8]
+
+
 def test_latest_frame(spark, tmp_path):
     df = spark.createDataFrame([("k", i, i * 10) for i in range(9)], "k string, id int, v int")
     out = _run(D.keep_latest_stream(_stream(spark, df, tmp_path), ["k"], ["id"]), "latest", tmp_path, "complete")
