@@ -18,6 +18,7 @@ HEADLINE = [
     "resume_points", "catalog_diff", "history_budget", "user_prompt", "bind_citations", "stream_fold_answer",
     "web_normalise", "transfer_plan", "transfer_reduce", "pause_fence", "progress_steps", "debounce",
     "dedup_consecutive", "speech_runs", "vad_segments", "latest_wins", "ocr_overlay", "persona_upsert",
+    "embed_windows", "stored_search",
 ]
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import text as T
 from ragspark.functions import vectors as V
+from ragspark.operators.chunking import WINDOW_LENGTH, window_rows
 
 
 class BoundaryUnavailable(RuntimeError):
@@ -71,6 +72,11 @@ def _hash_counts(tokens: pa.Array, dim: int) -> pa.Array:
     words = encoded.dictionary.to_pylist()
     bucket = np.fromiter((int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim for w in words), np.int64, len(words))
     cells = parents * dim + (bucket[encoded.indices.to_numpy()] if words else np.empty(0, np.int64))
+    return _unit_counts(cells, n, dim)
+
+
+def _unit_counts(cells: np.ndarray, n: int, dim: int) -> pa.Array:
+    """Unit vectors of the counts of ``row * dim + bucket``; null for a row without any."""
     counts = np.bincount(cells, minlength=n * dim).reshape(n, dim).astype(np.float64)
     norm = np.sqrt((counts * counts).sum(axis=1))
     unit = (counts / np.where(norm == 0, 1.0, norm)[:, None]).astype(np.float32)
@@ -80,6 +86,46 @@ def _hash_counts(tokens: pa.Array, dim: int) -> pa.Array:
     return pc.if_else(blank, pa.scalar(None, lists.type), lists)
 
 
+class WindowModel(Protocol):
+    """One framed window of token ids to ``dimensions`` finite, L2-normalised floats."""
+
+    dimensions: int
+
+    def embed(self, input_ids: Column, attention_mask: Column) -> Column: ...
+
+
+class HashedIds:
+    """Stand-in window model: the active ids counted modulo ``dimensions``, then L2-normalised."""
+
+    def __init__(self, dimensions: int = 64):
+        self.dimensions = dimensions
+
+    def embed(self, input_ids: Column, attention_mask: Column) -> Column:
+        dim = self.dimensions
+
+        @F.arrow_udf("array<float>")
+        def hashed(ids: pa.Array, mask: pa.Array) -> pa.Array:
+            active = pc.list_flatten(mask).to_numpy() == 1
+            cells = pc.list_parent_indices(ids).to_numpy() * dim + pc.list_flatten(ids).to_numpy() % dim
+            return _unit_counts(cells[active], len(ids), dim)
+
+        return hashed(input_ids, attention_mask)
+
+
+def embed_windows(
+    texts: DataFrame, keys: list[str], ids_col: str, model: WindowModel, cls_id: int, sep_id: int, pad_id: int = 0,
+    max_length: int = WINDOW_LENGTH,
+) -> DataFrame:
+    """``keys, embedding``: token ids to framed windows, a vector each, averaged by their active tokens.
+
+    The windows of a text are made in the task that holds it, so the mean combines before its shuffle.
+    """
+    rows = window_rows(texts.select(*keys, ids_col), ids_col, cls_id, sep_id, pad_id, max_length)
+    mask = F.col("attention_mask")
+    vectors = rows.select(*keys, model.embed(F.col("input_ids"), mask).alias("embedding"), V.active_tokens(mask).alias("weight"))
+    return weighted_mean(vectors, keys, model.dimensions)
+
+
 def with_embedding(df: DataFrame, embedder: Embedder, text_col: str = "text", out: str = "embedding") -> DataFrame:
     """Add the vector of each text; blank text has none."""
     return df.withColumn(out, embedder.embed(F.col(text_col)))

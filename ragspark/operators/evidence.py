@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ragspark.functions import fixed as X
 from ragspark.functions import text as T
 
+PART_EVENTS = 1024
+
 
 def is_relevant(score: Column, minimum: float = X.MIN_SCORE) -> Column:
     """``score >= minimum`` in float32, with NaN (greatest in SQL) and null excluded."""
@@ -31,7 +33,7 @@ def source_id(document: Column, ordinal: Column) -> Column:
     return F.concat(F.lit("local:"), document.cast("string"), F.lit(":"), ordinal.cast("string"))
 
 
-def _greedy(items: Column, max_chars: int) -> Column:
+def _greedy(items: Column, max_chars: Column) -> Column:
     """Fold ranked ``struct<header,text>`` into the parts that fit.
 
     A header that does not fit is skipped, not terminal; text is cut to what is left; blank excerpts
@@ -43,7 +45,7 @@ def _greedy(items: Column, max_chars: int) -> Column:
 
     def step(acc: Column, item: Column) -> Column:
         separator = F.when(F.size(acc["parts"]) == 0, 0).otherwise(2)
-        left = F.lit(max_chars) - acc["used"] - separator - F.length(item["header"])
+        left = max_chars - acc["used"] - separator - F.length(item["header"])
         excerpt = T.take_chars(item["text"], F.greatest(left, F.lit(0)))
         fits = (left > 0) & ~T.is_blank(excerpt)
         return F.when(fits, F.struct(
@@ -57,16 +59,18 @@ def _greedy(items: Column, max_chars: int) -> Column:
 
 def build_context(
     hits: DataFrame, query_cols: list[str], minimum: float = X.MIN_SCORE, limit: int = X.CONTEXT_LIMIT,
-    max_chars: int = X.CONTEXT_CHARS, document_col: str = "document_id", name_col: str = "document_name",
+    max_chars: int | str = X.CONTEXT_CHARS, document_col: str = "document_id", name_col: str = "document_name",
     rank_col: str = "rank",
 ) -> DataFrame:
     """``query ids, context, used_chars, evidence, status`` for queries with at least one relevant hit.
 
     Status is OK or BUDGET_EXCEEDED; queries missing here have NO_EVIDENCE (see ``with_status``).
-    The gathered group is at most ``limit`` hits per query.
+    The gathered group is at most ``limit`` hits per query.  ``max_chars`` is a number, or the name of an
+    integer column of ``hits`` that holds the budget of each query.
     """
-    if max_chars <= 0:
+    if isinstance(max_chars, int) and max_chars <= 0:
         raise ValueError("max_chars must be positive")
+    budget = F.lit(max_chars) if isinstance(max_chars, int) else F.max(max_chars)
     sid = source_id(F.col(document_col), F.col("ordinal"))
     header = F.concat(F.lit("["), sid, F.lit("] "), F.col(name_col), F.lit("#"), F.col("ordinal").cast("string"), F.lit("\n"))
     item = F.struct(
@@ -74,9 +78,9 @@ def build_context(
         F.col(name_col).alias("document_name"), F.col("ordinal").alias("ordinal"), F.col("score").alias("score"),
     )
     grouped = relevant(hits, query_cols, minimum, limit, rank_col).groupBy(*query_cols).agg(
-        F.array_sort(F.collect_list(item)).alias("_items")
+        F.array_sort(F.collect_list(item)).alias("_items"), budget.cast("int").alias("_budget")
     )
-    folded = grouped.withColumn("_fold", _greedy(F.col("_items"), max_chars))
+    folded = grouped.withColumn("_fold", _greedy(F.col("_items"), F.col("_budget")))
     parts = F.col("_fold.parts")
     return folded.select(
         *query_cols,
@@ -190,17 +194,27 @@ def terminal_failures(events: DataFrame, request_cols: list[str], type_col: str
     )
 
 
+def _joined(item: Column) -> Column:
+    """The ``value`` fields of a group's structs, in the structs' order, as one text."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda t: t["value"]), "")
+
+
 def fold_answers(events: DataFrame, request_cols: list[str]) -> DataFrame:
     """Final assistant message per request from ordered Token / Completed / Failed events.
 
     Tokens are appended in order; the last Completed text replaces the draft; a failure with nothing
-    completed after it removes the message.
+    completed after it removes the message.  Tokens become text per range of ``PART_EVENTS`` numbers
+    first, so a request's tokens are never gathered, only its parts.
     """
     done = F.col("type") == "Completed"
     end = F.max(F.when(done | (F.col("type") == "Failed"), F.struct("seq", "type", "value")))
-    ordered = events.groupBy(*request_cols).agg(end.alias("_end"), F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("type") == "Token", F.struct("seq", "value")))), lambda t: t["value"]
-    ), "").alias("draft"), F.count(F.when(F.col("type") == "Token", 1)).alias("n_tokens"))
+    token = F.col("type") == "Token"
+    parts = events.groupBy(*request_cols, F.floor(F.col("seq") / PART_EVENTS).alias("_part")).agg(
+        end.alias("_end"), _joined(F.when(token, F.struct("seq", "value"))).alias("value"), F.count(F.when(token, 1)).alias("_n"),
+    )
+    ordered = parts.groupBy(*request_cols).agg(
+        F.max("_end").alias("_end"), _joined(F.struct("_part", "value")).alias("draft"), F.sum("_n").alias("n_tokens")
+    )
     state = F.when(F.col("_end.type") == "Completed", "COMPLETED").when(F.col("_end.type") == "Failed", "REMOVED").otherwise("DRAFT")
     text = F.when(state == "COMPLETED", F.col("_end.value")).when(state == "DRAFT", F.col("draft"))
     return ordered.select(*request_cols, state.alias("state"), text.alias("text"), "n_tokens")

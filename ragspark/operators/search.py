@@ -3,15 +3,15 @@
 One query is a literal folded into the scan.  A batch of queries is scored in Arrow blocks with
 numpy: only the running top k of each task leaves it, never a (query, vector) pair.
 
-* Query sets within ``QUERY_BYTES`` are sent to the executors once; the corpus is not shuffled.
-* Larger ones use a randomised grid: the corpus is replicated over query groups and the queries over
-  corpus groups, each cell is sorted so its queries come first, and corpus rows stream past them.
-  Cells are chosen by hash, so no key can be hot, and no cell holds more than one query group.
+Queries travel in blocks of at most about ``QUERY_BYTES``, each one pass over the corpus, which is never
+shuffled or replicated.  A block is scored in tiles of ``TILE_QUERIES`` queries by ``TILE_ROWS`` vectors,
+so a task's memory depends on neither side's size.  The driver handles one block at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,8 @@ from ragspark.functions import vectors as V
 MAX_K = 50
 DEFAULT_K = 5
 QUERY_BYTES = 64 * 1024 * 1024
-_BLOCK_ROWS = 4096
+TILE_QUERIES = 512
+TILE_ROWS = 4096
 
 
 def check_k(k: int) -> None:
@@ -51,18 +52,6 @@ def search(corpus: DataFrame, vector: Sequence[float], id_cols: Sequence[str], k
     return scored.orderBy(F.desc("score"), *id_cols).limit(k)
 
 
-class _Queries:
-    """A block of queries: ids as an Arrow table, unit rows as float64 (a zero or bad row scores -1)."""
-
-    def __init__(self, ids: pa.Table, matrix: np.ndarray):
-        norm = np.sqrt((matrix * matrix).sum(axis=1))
-        self.bad = ~np.isfinite(norm) | (norm == 0)
-        self.unit = matrix / np.where(self.bad, 1.0, norm)[:, None]
-        self.unit[self.bad] = 0.0
-        self.ids = ids
-        self.matrix = matrix
-
-
 def _matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the wanted dimension with only finite values, and the positions they came from."""
     if isinstance(column, pa.ChunkedArray):
@@ -75,30 +64,31 @@ def _matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[finite], keep[finite]
 
 
+def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length one, and which rows have no direction (their scores are -1)."""
+    norm = np.sqrt((rows * rows).sum(axis=1))
+    bad = ~np.isfinite(norm) | (norm == 0)
+    unit = rows / np.where(bad, 1.0, norm)[:, None]
+    unit[bad] = 0.0
+    return unit, bad
+
+
 class _TopK:
-    """Running top k per query over blocks of corpus rows; order is score descending, ids ascending."""
+    """Running top k of one tile of queries; order is score descending, ids ascending."""
 
-    def __init__(self, queries: _Queries, k: int, dimensions: int, id_cols: Sequence[str]):
-        self.q, self.k, self.dim, self.id_cols = queries, k, dimensions, list(id_cols)
-        self.floor = np.full(len(queries.unit), -np.inf, dtype=np.float32)
+    def __init__(self, query_ids: pa.Table, unit: np.ndarray, bad: np.ndarray, k: int):
+        self.query_ids, self.unit, self.bad, self.k = query_ids, unit, bad, k
+        self.floor = np.full(len(unit), -np.inf, dtype=np.float32)
         self.query = np.empty(0, dtype=np.int64)
         self.score = np.empty(0, dtype=np.float32)
         self.ids: pa.Table | None = None
 
-    def add(self, batch: pa.RecordBatch, vector_col: str) -> None:
-        for start in range(0, batch.num_rows, _BLOCK_ROWS):
-            self._add(batch.slice(start, _BLOCK_ROWS), vector_col)
-
-    def _add(self, batch: pa.RecordBatch, vector_col: str) -> None:
-        rows, where = _matrix(batch.column(vector_col), self.dim)
-        if not len(rows) or not len(self.floor):
-            return
-        norm = np.sqrt((rows * rows).sum(axis=1))
-        zero = norm == 0
-        scores = (self.q.unit @ (rows / np.where(zero, 1.0, norm)[:, None]).T).astype(np.float32)
+    def add(self, ids: pa.Table, unit: np.ndarray, bad: np.ndarray) -> None:
+        """Corpus rows, at most ``TILE_ROWS``."""
+        scores = (self.unit @ unit.T).astype(np.float32)
         np.clip(scores, -1.0, 1.0, out=scores)
-        scores[:, zero] = -1.0
-        scores[self.q.bad, :] = -1.0
+        scores[:, bad] = -1.0
+        scores[self.bad, :] = -1.0
         floor = self.floor
         if scores.shape[1] > self.k:
             kth = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
@@ -106,7 +96,7 @@ class _TopK:
         qi, ci = np.nonzero(scores >= floor[:, None])  # ties are kept until the ids decide
         if not len(qi):
             return
-        found = pa.Table.from_batches([batch.select(self.id_cols)]).take(pa.array(where[ci]))
+        found = ids.take(pa.array(ci))
         self.query = np.concatenate([self.query, qi])
         self.score = np.concatenate([self.score, scores[qi, ci]])
         self.ids = found if self.ids is None else pa.concat_tables([self.ids, found])
@@ -115,7 +105,7 @@ class _TopK:
     def _shrink(self) -> None:
         # the zero added to the negated score makes -0.0 and 0.0 one value
         order_by = pa.table({"q": self.query, "s": -self.score + np.float32(0)})
-        for i, c in enumerate(self.id_cols):
+        for i, c in enumerate(self.ids.column_names):
             order_by = order_by.append_column(f"i{i}", self.ids.column(c))
         order = pc.sort_indices(order_by, [(c, "ascending") for c in order_by.column_names]).to_numpy()
         q = self.query[order]
@@ -131,16 +121,31 @@ class _TopK:
     def result(self, columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
         if self.ids is None:
             return
-        out = self.q.ids.take(pa.array(self.query))
-        for c in self.id_cols:
+        out = self.query_ids.take(pa.array(self.query))
+        for c in self.ids.column_names:
             out = out.append_column(c, self.ids.column(c))
         yield from out.append_column("score", pa.array(self.score)).select(columns).to_batches()
 
 
-def _merge(partial: DataFrame, query_cols: Sequence[str], id_cols: Sequence[str], k: int) -> DataFrame:
-    """Final top k per query; the row limit is applied before the shuffle too."""
-    best = Window.partitionBy(*query_cols).orderBy(F.desc("score"), *id_cols)
-    return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+def _tiles(query_ids: pa.Table, matrix: np.ndarray, k: int) -> list[_TopK]:
+    unit, bad = _unit(matrix)
+    cuts = range(0, len(unit), TILE_QUERIES)
+    return [_TopK(query_ids.slice(i, TILE_QUERIES), unit[i:i + TILE_QUERIES], bad[i:i + TILE_QUERIES], k) for i in cuts]
+
+
+def _blocks(asked: DataFrame, query_cols: Sequence[str], vector_col: str, dimensions: int,
+            query_bytes: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Query ids and vectors in blocks by hash, with a quarter of slack over the expected share."""
+    width = F.lit(dimensions * 8).cast("bigint")
+    for c in query_cols:
+        width = width + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    total = asked.agg(F.sum(width)).first()[0] or 0
+    n = 1 if total <= query_bytes else -(-total * 5 // (query_bytes * 4))
+    for i in range(n):
+        part = asked if n == 1 else asked.where(F.pmod(F.xxhash64(*query_cols), F.lit(n)) == i)
+        table = part.toArrow()
+        matrix, where = _matrix(table.column(vector_col), dimensions)
+        yield table.select(list(query_cols)).take(pa.array(where)), matrix
 
 
 def search_batch(
@@ -153,12 +158,11 @@ def search_batch(
     vector_col: str = "embedding",
     query_vector_col: str = "query_vector",
     query_bytes: int = QUERY_BYTES,
-    corpus_groups: int | None = None,
 ) -> DataFrame:
     """``query ids, corpus ids, score, rank`` of the exact top ``k`` for every query.
 
     Id columns may be numbers or strings; query and corpus id names must differ.  Rows whose vector
-    is null, of another length or not finite are not searched.
+    is null, of another length or not finite are not searched, nor are rows with a null id.
     """
     check_k(k)
     id_cols, query_cols = list(id_cols), list(query_cols)
@@ -167,86 +171,35 @@ def search_batch(
     types = {f.name: f for f in [*asked.schema, *narrow.schema]}
     schema = T.StructType([types[c] for c in (*query_cols, *id_cols)] + [T.StructField("score", T.FloatType())])
     columns = [f.name for f in schema]
+    context = corpus.sparkSession.sparkContext
 
-    limit = max(1, query_bytes // (dimensions * 8))
-    sample = asked.limit(limit + 1).toArrow()
-    if sample.num_rows <= limit:
+    def one_pass(block: tuple[pa.Table, np.ndarray]) -> DataFrame:
         # plain Arrow and numpy values: a broadcast is unpickled without the package
-        block = _query_block(sample, query_cols, query_vector_col, dimensions)
-        shared = corpus.sparkSession.sparkContext.broadcast((block.ids, block.matrix))
+        shared = context.broadcast(block)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            top = _TopK(_Queries(*shared.value), k, dimensions, id_cols)
+            tiles = _tiles(*shared.value, k)
             for batch in batches:
-                top.add(batch, vector_col)
-            yield from top.result(columns)
-
-        return _merge(narrow.mapInArrow(score, schema), query_cols, id_cols, k)
-    return _merge(
-        _grid(narrow, asked, id_cols, query_cols, dimensions, k, vector_col, query_vector_col, limit,
-              corpus_groups, schema),
-        query_cols, id_cols, k,
-    )
-
-
-def _query_block(table: pa.Table, query_cols: Sequence[str], vector_col: str, dimensions: int) -> _Queries:
-    matrix, where = _matrix(table.column(vector_col), dimensions)
-    return _Queries(table.select(list(query_cols)).take(pa.array(where)), matrix)
-
-
-def _grid(corpus, queries, id_cols, query_cols, dimensions, k, vector_col, query_vector_col, limit,
-          corpus_groups, schema) -> DataFrame:
-    n_queries = queries.count()
-    q_groups = -(-n_queries * 5 // (limit * 4))  # a quarter of slack over the expected hash share
-    c_groups = corpus_groups or max(1, corpus.sparkSession.sparkContext.defaultParallelism * 2 // q_groups)
-    cells = q_groups * c_groups
-    columns = [f.name for f in schema]
-
-    def pick(cols: Sequence[str], n: int):
-        return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
-
-    def spread(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    nothing_q = [F.lit(None).cast(corpus.schema[c].dataType).alias(c) for c in id_cols]
-    nothing_c = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in query_cols]
-    left = queries.select(
-        *query_cols, *nothing_q, F.col(query_vector_col).alias("_v"), pick(query_cols, q_groups).alias("_qg"), F.lit(0).alias("_side")
-    ).withColumn("_cg", spread(c_groups))
-    right = corpus.select(
-        *nothing_c, *id_cols, F.col(vector_col).alias("_v"), pick(id_cols, c_groups).alias("_cg"), F.lit(1).alias("_side")
-    ).withColumn("_qg", spread(q_groups))
-    cell = F.col("_qg") * c_groups + F.col("_cg")
-    placed = left.unionByName(right).withColumn("_cell", cell).drop("_qg", "_cg")
-    placed = placed.repartitionById(cells, F.col("_cell")).sortWithinPartitions("_cell", "_side")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, waiting, top = None, [], None
-
-        def open_cell() -> _TopK:
-            return _TopK(_query_block(pa.Table.from_batches(waiting), query_cols, "_v", dimensions), k, dimensions, id_cols)
-
-        for batch in batches:
-            mark = batch.column("_cell").to_numpy() * 2 + batch.column("_side").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(mark)) + 1), batch.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if lo == hi:
-                    continue
-                where, side = divmod(int(mark[lo]), 2)
-                if where != current:
-                    if top is not None:
-                        yield from top.result(columns)
-                    current, waiting, top = where, [], None
-                part = batch.slice(lo, hi - lo)
-                if side == 0:
-                    waiting.append(part)
-                elif waiting:
-                    top = top or open_cell()
-                    top.add(part, "_v")
-        if top is not None:
-            yield from top.result(columns)
-
-    return placed.mapInArrow(score, schema)
+                for start in range(0, batch.num_rows, TILE_ROWS):
+                    part = batch.slice(start, TILE_ROWS)
+                    rows, where = _matrix(part.column(vector_col), dimensions)
+                    if len(rows):
+                        ids = pa.Table.from_batches([part.select(id_cols)]).take(pa.array(where))
+                        unit, bad = _unit(rows)
+                        for tile in tiles:
+                            tile.add(ids, unit, bad)
+            for tile in tiles:
+                yield from tile.result(columns)
+
+        return narrow.mapInArrow(score, schema)
+
+    passes = [one_pass(b) for b in _blocks(asked, query_cols, query_vector_col, dimensions, query_bytes)]
+    partial = reduce(DataFrame.unionByName, passes)
+    # said here once, so that every use of the hits has the same exchange and the corpus is scored once
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*query_cols, *id_cols)])
+    # the row limit is applied before the shuffle too
+    best = Window.partitionBy(*query_cols).orderBy(F.desc("score"), *id_cols)
+    return partial.where(known).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame, document_col: str = "document_id",

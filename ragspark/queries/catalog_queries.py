@@ -200,6 +200,14 @@ def personas_ordered(spark, folder):
     return plain(with_index(p, Ordering(("owner",), ("rest", "k", "persona_id")), "position").select("owner", "persona_id", "position"))
 
 
+@query("personas_left", f"WITH {_PERSONAS} SELECT owner, persona_id, name FROM p WHERE persona_id % 4 <> 1")
+def personas_left(spark, folder):
+    """The personas after a delete that names some of them and some unknown ones."""
+    p = _personas(spark, folder)
+    doomed = p.where("persona_id % 4 = 1").select("persona_id").unionByName(p.select((-1 - F.col("persona_id")).alias("persona_id")))
+    return C.delete_documents(p, doomed, "persona_id").select("owner", "persona_id", "name")
+
+
 @query("set_active", f"""WITH {_PERSONAS}, t AS (SELECT owner, CASE WHEN owner % 3 = 0 THEN -1 ELSE max(persona_id) END AS target FROM p GROUP BY owner)
 SELECT owner, persona_id, CASE WHEN owner % 3 = 0 THEN active ELSE persona_id = target END AS active FROM p JOIN t USING (owner)""")
 def set_active(spark, folder):

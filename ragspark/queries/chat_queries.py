@@ -24,6 +24,11 @@ def history_last_n(spark, folder):
     return H.last_messages(_turns(spark, folder), ["conv_id"], "turn", 4).select("conv_id", "turn", "role")
 
 
+@query("history_default", """SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8""")
+def history_default(spark, folder):
+    return H.last_messages(_turns(spark, folder), ["conv_id"], "turn").select("conv_id", "turn", "role")
+
+
 def _sql_budget(n: int, each: int, total: int, order: str) -> str:
     return f"""r AS (SELECT conv_id, turn, role, {_T} AS c FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {n}),
 cap AS (SELECT *, least({each}, len(c)) AS cap FROM r),
@@ -43,6 +48,11 @@ def history_budget_newest(spark, folder):
     return plain(rows.select("conv_id", "turn", "taken", "excerpt"))
 
 
+@query("history_budget_default", f"WITH {_sql_budget(8, 1500, 6000, 'ASC')} SELECT conv_id, turn, taken, excerpt FROM b")
+def history_budget_default(spark, folder):
+    return plain(H.budget(_turns(spark, folder), ["conv_id"], "turn").select("conv_id", "turn", "taken", "excerpt"))
+
+
 @query("user_prompt", f"""WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id),
 conv AS (SELECT c.* FROM conversations c JOIN last l ON c.conv_id = l.conv_id AND c.turn < l.turn),
 {_sql_budget(8, 1500, 6000, 'ASC').replace('FROM conversations', 'FROM conv')},

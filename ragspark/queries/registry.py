@@ -90,6 +90,18 @@ def sql_chunks(size: int = 512, overlap: int = 50) -> str:
        ELSE 1 + CAST(ceil((len(t) - {size}) / {step}.0) AS BIGINT) END)) u(i))"""
 
 
+def sql_id_windows() -> str:
+    """Ids ``ids(doc_id, ordinal, a)`` of the chunks and their windows ``w(doc_id, ordinal, window_no, part)`` of 62."""
+    return """ids AS (SELECT doc_id, ordinal, list_transform(string_split(text, ' '), lambda x: CAST('0x' || substr(md5(x), 1, 6) AS BIGINT) % 30000 + 1000) AS a FROM chunks),
+w AS (SELECT doc_id, ordinal, i AS window_no, a[i*62+1 : i*62+62] AS part FROM ids,
+  LATERAL unnest(range(0, greatest(1, CAST(ceil(len(a) / 62.0) AS BIGINT)))) u(i))"""
+
+
+def word_ids(text: Column) -> Column:
+    """The same ids of a chunk's words."""
+    return F.transform(F.split(text, " "), lambda x: F.conv(F.substring(F.md5(x), 1, 6), 16, 10).cast("bigint") % 30000 + 1000)
+
+
 def sql_vectors(name: str, source: str, keys: str, dim: int = 64) -> str:
     """Sparse hashed bag-of-words vectors ``name(keys, b, v)`` and norms ``name_n(keys, n)``."""
     return f"""{name}_c AS (

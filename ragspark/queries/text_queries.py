@@ -8,7 +8,7 @@ from ragspark.functions import text as T
 from ragspark.functions.vectors import active_tokens
 from ragspark.operators import chunking as K
 from ragspark.operators.wordpiece import WordPiece
-from ragspark.queries.registry import PRE, SQL_TOKENS, documents, plain, query, sql_chunks, table
+from ragspark.queries.registry import PRE, SQL_TOKENS, documents, plain, query, sql_chunks, sql_id_windows, table, word_ids
 
 
 def _name() -> object:
@@ -70,19 +70,13 @@ def _chunk_rows(spark, folder):
     return K.chunk_text(documents(spark, folder), "doc_id").select("doc_id", "ordinal", "text")
 
 
-_HEX_ID = "CAST('0x' || substr(md5(x), 1, 6) AS BIGINT) % 30000 + 1000"
-
-
-@query("id_windows", f"""WITH {sql_chunks()}, ids AS (SELECT doc_id, ordinal, list_transform(string_split(text, ' '), lambda x: {_HEX_ID}) AS a FROM chunks),
-w AS (SELECT doc_id, ordinal, i AS window_no, a[i*62+1 : i*62+62] AS part FROM ids,
-  LATERAL unnest(range(0, greatest(1, CAST(ceil(len(a) / 62.0) AS BIGINT)))) u(i))
+@query("id_windows", f"""WITH {sql_chunks()}, {sql_id_windows()}
 SELECT doc_id, ordinal, window_no, len(part) + 2 AS n_active,
   md5('101,' || CASE WHEN len(part) > 0 THEN array_to_string(part, ',') || ',' ELSE '' END || '102' || repeat(',0', 62 - len(part))) AS ids_md5,
   repeat('1', len(part) + 2) || repeat('0', 62 - len(part)) AS mask FROM w""")
 def id_windows(spark, folder):
     """Framed id windows of every chunk."""
-    ids = F.transform(F.split("text", " "), lambda x: F.conv(F.substring(F.md5(x), 1, 6), 16, 10).cast("bigint") % 30000 + 1000)
-    rows = K.window_rows(_chunk_rows(spark, folder).select("doc_id", "ordinal", ids.alias("ids")), "ids", 101, 102, 0, 64)
+    rows = K.window_rows(_chunk_rows(spark, folder).select("doc_id", "ordinal", word_ids(F.col("text")).alias("ids")), "ids", 101, 102, 0, 64)
     return plain(rows.select(
         "doc_id", "ordinal", "window_no", active_tokens(F.col("attention_mask")).alias("n_active"),
         F.md5(F.array_join("input_ids", ",")).alias("ids_md5"), F.array_join("attention_mask", "").alias("mask"),
@@ -92,7 +86,8 @@ def id_windows(spark, folder):
 def letter_vocabulary(spark, folder, size: int = 30_000) -> dict[str, int]:
     """The ``size`` most frequent word pieces of the corpus: letters, continued letters, short heads.
 
-    Words are counted first, so the shuffle moves each distinct word once per task.
+    ``size`` is the vocabulary's own size, as a model file would fix it: pieces beyond it do not exist and
+    their words become unknown.  Words are counted first, so the shuffle moves each distinct word once per task.
     """
     words = _chunk_rows(spark, folder).select(F.explode(T.pretokens(F.col("text"))).alias("w")).groupBy("w").count()
     letters = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(F.col("w"), i, F.lit(1)))
@@ -104,7 +99,25 @@ def letter_vocabulary(spark, folder, size: int = 30_000) -> dict[str, int]:
     return {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *[r["p"] for r in rows]])}
 
 
-@query("wordpiece_windows")
+# the longest piece at every position of every distinct word, then a walk from match to match
+@query("wordpiece_windows", f"""WITH RECURSIVE {sql_chunks()},
+pre AS (SELECT doc_id, ordinal, regexp_extract_all(lower(text), '{PRE}') AS ws FROM chunks),
+words AS (SELECT w, count(*) AS c FROM (SELECT unnest(ws) AS w FROM pre) GROUP BY w),
+candidates AS (SELECT c, unnest(list_distinct(list_concat(l, list_transform(l, lambda x: '##' || x), [substr(w, 1, 2), substr(w, 1, 3)]))) AS p
+  FROM (SELECT w, c, list_transform(range(1, len(w) + 1), lambda i: substr(w, i, 1)) AS l FROM words)),
+vocab AS (SELECT p, 3 + row_number() OVER (ORDER BY sum(c) DESC, p) AS id FROM candidates GROUP BY p QUALIFY id <= 30003),
+best AS (SELECT w, a, max(e) AS e, arg_max(id, e) AS id FROM (
+  SELECT w, a, unnest(range(1, 1 + least(len(w) - a, (SELECT max(len(p)) FROM vocab)))) AS e FROM (SELECT w, unnest(range(0, len(w))) AS a FROM words WHERE len(w) <= 100))
+  JOIN vocab ON p = CASE WHEN a > 0 THEN '##' ELSE '' END || substr(w, a + 1, e) GROUP BY w, a),
+walk AS (SELECT w, CAST(0 AS BIGINT) AS a, CAST([] AS BIGINT[]) AS ids FROM words
+  UNION ALL SELECT k.w, k.a + b.e, list_append(k.ids, b.id) FROM walk k JOIN best b ON b.w = k.w AND b.a = k.a),
+cut AS (SELECT words.w, coalesce(k.ids, [1]) AS ids FROM words LEFT JOIN walk k ON k.w = words.w AND k.a = len(words.w)),
+seq AS (SELECT doc_id, ordinal, flatten(list(ids ORDER BY i)) AS a FROM (
+  SELECT doc_id, ordinal, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM pre) JOIN cut USING (w) GROUP BY ALL),
+win AS (SELECT doc_id, ordinal, i AS window_no, a[i*254+1 : i*254+254] AS part FROM (SELECT doc_id, ordinal, coalesce(a, CAST([] AS BIGINT[])) AS a FROM pre LEFT JOIN seq USING (doc_id, ordinal)),
+  LATERAL unnest(range(0, greatest(1, CAST(ceil(len(a) / 254.0) AS BIGINT)))) u(i))
+SELECT doc_id, ordinal, window_no, len(part) + 2 AS n_active,
+  md5('2,' || CASE WHEN len(part) > 0 THEN array_to_string(part, ',') || ',' ELSE '' END || '3' || repeat(',0', 254 - len(part))) AS ids_md5 FROM win""")
 def wordpiece_windows(spark, folder):
     """Framed WordPiece windows of every chunk."""
     pieces = WordPiece(spark, letter_vocabulary(spark, folder))

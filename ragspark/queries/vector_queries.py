@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import fixed as X
 from ragspark.functions import vectors as V
+from ragspark.operators import chunking as K
 from ragspark.operators import embedding as M
 from ragspark.operators import evidence as E
 from ragspark.operators import search as S
 from ragspark.plans import retrieval as R
-from ragspark.queries.registry import SQL_HITS, documents, plain, query, sql_chunks, sql_vectors, table
+from ragspark.queries.registry import SQL_HITS, documents, plain, query, sql_chunks, sql_id_windows, sql_vectors, table, word_ids
 from ragspark.sources import codecs
+from ragspark.sources.tables import written
 
 DIM = 64
 EMBEDDER = M.HashedBagOfWords(DIM)
@@ -97,7 +99,7 @@ def vector_knn_all(spark, folder):
 
 @query("vector_knn_grid", f"WITH {_KNN} SELECT query_id, vec_id, rank, round(CAST(score AS DOUBLE), 6) AS score FROM r")
 def vector_knn_grid(spark, folder):
-    """The same search on the path for query sets too large to broadcast."""
+    """The same search with the queries in several blocks."""
     return plain(_knn(spark, folder, query_bytes=DIM * 8 * 128))
 
 
@@ -167,11 +169,15 @@ def vector_upsert(spark, folder):
     return plain(S.upsert_vectors(chunks, updates, _KEYS).select(*_KEYS, F.col("embedding")[0].alias("first_value")))
 
 
-@query("rejected_updates", f"""WITH {_STORE} SELECT CAST(u.document_id AS BIGINT) AS document_id, u.ordinal, 'UNKNOWN_CHUNK' AS reason
-FROM updates u ANTI JOIN chunks c USING (document_id, ordinal)""")
+@query("rejected_updates", f"""WITH {_STORE} SELECT CAST(u.document_id AS BIGINT) AS document_id, u.ordinal, CASE WHEN u.ordinal % 5 < 2 THEN 'INVALID_VECTOR' ELSE 'UNKNOWN_CHUNK' END AS reason
+FROM updates u LEFT JOIN chunks c USING (document_id, ordinal) WHERE u.ordinal % 5 < 2 OR c.ordinal IS NULL""")
 def rejected_updates(spark, folder):
+    """Updates of which some are too short, some hold NaN and some have no chunk."""
     chunks, updates = _store(spark, folder)
-    return plain(S.rejected_updates(chunks, updates, _KEYS, DIM).drop("embedding"))
+    e, m = F.col("embedding"), F.col("ordinal") % 5
+    nan = F.lit(float("nan")).cast("float")
+    spoilt = F.when(m == 0, F.slice(e, 1, 63)).when(m == 1, F.concat(F.slice(e, 1, 63), F.array(nan))).otherwise(e)
+    return plain(S.rejected_updates(chunks, updates.withColumn("embedding", spoilt), _KEYS, DIM).drop("embedding"))
 
 
 @query("orphan_vectors", f"WITH {_STORE} SELECT CAST(u.document_id AS BIGINT) AS document_id, u.ordinal FROM updates u ANTI JOIN chunks c USING (document_id, ordinal)")
@@ -202,11 +208,30 @@ SELECT doc_id AS document_id, ordinal, count(*) AS n_buckets, round(max(v), 6) A
 def embed_chunks(spark, folder):
     """Chunk vectors from the stand-in embedder."""
     rows = R.embed_chunks(_named_documents(spark, folder), EMBEDDER)
-    return plain(rows.select(
-        "document_id", "ordinal", F.size(F.filter("embedding", lambda x: x > 0)).alias("n_buckets"),
-        F.array_max("embedding").alias("top_value"),
+    return plain(rows.select("document_id", "ordinal", *_summary()))
+
+
+@query("embed_windows", f"""WITH {sql_chunks()}, {sql_id_windows()},
+b AS (SELECT doc_id, ordinal, window_no, len(part) + 2 AS weight, id % 64 AS bucket, count(*) AS n
+  FROM (SELECT *, unnest(list_concat([101, 102], part)) AS id FROM w) GROUP BY ALL),
+u AS (SELECT *, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, ordinal, window_no)) AS FLOAT) AS DOUBLE) AS v FROM b),
+m AS (SELECT doc_id, ordinal, bucket, sum(v * weight) AS s FROM u GROUP BY ALL),
+x AS (SELECT doc_id, ordinal, CAST(CAST(s / sqrt(sum(s * s) OVER (PARTITION BY doc_id, ordinal)) AS FLOAT) AS DOUBLE) AS v FROM m)
+SELECT doc_id AS document_id, ordinal, count(*) AS n_buckets, round(max(v), 6) AS top_value, round(sum(v), 6) AS total FROM x GROUP BY ALL""")
+def embed_windows(spark, folder):
+    """Chunk vectors the long way: ids, framed windows, a vector each, mean by active tokens."""
+    chunks = K.chunk_text(documents(spark, folder), "doc_id").select(
+        F.col("doc_id").alias("document_id"), "ordinal", word_ids(F.col("text")).alias("ids")
+    )
+    rows = M.embed_windows(chunks, ["document_id", "ordinal"], "ids", M.HashedIds(DIM), 101, 102, 0, 64)
+    return plain(rows.select("document_id", "ordinal", *_summary()))
+
+
+def _summary():
+    return [
+        F.size(F.filter("embedding", lambda x: x > 0)).alias("n_buckets"), F.array_max("embedding").alias("top_value"),
         F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"),
-    ))
+    ]
 
 
 @query("hydrate_ranked", f"""WITH {SQL_HITS}
@@ -273,17 +298,25 @@ def answer_contexts(spark, folder):
     return plain(rows.select("question_id", "status", "used_chars", "context"))
 
 
+@query("stored_search", f"""WITH {SQL_HITS}
+SELECT item_id AS question_id, rank, doc_id AS document_id, ordinal, round(CAST(score AS DOUBLE), 6) AS score, md5(c.text) AS text_md5
+FROM hits JOIN chunks c USING (doc_id, ordinal)""")
+def stored_search(spark, folder):
+    """Questions over a stored chunk table: vectors are read, not made again."""
+    docs = _named_documents(spark, folder)
+    chunks = written(R.embed_chunks(docs, EMBEDDER), "chunks")
+    rows = R.retrieve(docs, _questions(spark, folder), EMBEDDER, chunks=chunks)
+    return plain(rows.select("question_id", "rank", "document_id", "ordinal", "score", F.md5("text").alias("text_md5")))
+
+
 @query("rag_status", f"""WITH {_sql_context(_SHIFTED, 3, 'CASE WHEN item_id % 3 = 0 THEN 20 WHEN item_id % 3 = 1 THEN 700 ELSE 4000 END')}
 SELECT b.item_id AS question_id, CASE WHEN f.item_id IS NULL THEN 'NO_EVIDENCE' WHEN f.n = 0 THEN 'BUDGET_EXCEEDED' ELSE 'OK' END AS status,
   coalesce(f.n, 0) AS n_parts, CASE WHEN f.n > 0 THEN f.body END AS context FROM benchmark b LEFT JOIN fold f USING (item_id)""")
 def rag_status(spark, folder):
     """Three budgets over the shifted scores: contexts, budget failures and retrieval misses."""
-    hits = _shifted(spark, folder)
-    parts = [
-        E.build_context(hits.where(F.col("question_id") % 3 == i), ["question_id"], limit=3, max_chars=cap)
-        for i, cap in enumerate((20, 700, 4000))
-    ]
-    contexts = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    m = F.col("question_id") % 3
+    hits = _shifted(spark, folder).withColumn("cap", F.when(m == 0, 20).when(m == 1, 700).otherwise(4000))
+    contexts = E.build_context(hits, ["question_id"], limit=3, max_chars="cap")
     rows = E.with_status(_questions(spark, folder), contexts, ["question_id"])
     return plain(rows.select(
         "question_id", "status", F.coalesce(F.size("evidence"), F.lit(0)).alias("n_parts"), "context"

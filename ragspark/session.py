@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 REQUIRED_SETTINGS = {
@@ -23,15 +21,13 @@ def build_session(app_name: str = "ragspark", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  ``fallback`` is for single-machine tests
-    only; without either, fail rather than write to a folder other executors cannot see.
+    The cluster names it in ``spark.checkpoint.dir``; without it, fail rather than write to a folder
+    other executors cannot see.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if fallback:
-        return os.path.abspath(fallback)
-    raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
+    if not configured:
+        raise ValueError("spark.checkpoint.dir is not set")
+    return configured

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +14,16 @@ MANIFEST_VERSION = 1
 
 
 def to_blob(vector: Column) -> Column:
-    """Little-endian float32 bytes of a vector."""
+    """Little-endian float32 bytes of a vector; a null component becomes NaN."""
 
     @F.arrow_udf("binary")
     def pack(vectors: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else np.asarray(v, "<f4").tobytes() for v in vectors.to_pylist()], pa.binary())
+        values = pc.fill_null(pc.list_flatten(vectors).cast(pa.float32()), float("nan"))
+        lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+        offsets = np.concatenate([[0], np.cumsum(lengths) * 4]).astype(np.int32)
+        data = values.to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+        blobs = pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return pc.if_else(vectors.is_valid(), blobs, pa.scalar(None, pa.binary()))
 
     return pack(vector)
 
@@ -27,9 +33,15 @@ def from_blob(blob: Column, dimensions: int) -> Column:
 
     @F.arrow_udf("array<float>")
     def unpack(blobs: pa.Array) -> pa.Array:
-        size = dimensions * 4
-        rows = [np.frombuffer(b, "<f4") if b is not None and len(b) == size else None for b in blobs.to_pylist()]
-        return pa.array(rows, pa.list_(pa.float32()))
+        right = pc.fill_null(pc.equal(pc.binary_length(blobs), dimensions * 4), False).to_numpy(zero_copy_only=False)
+        usable = blobs.filter(pa.array(right))
+        if not len(usable):
+            return pa.nulls(len(blobs), pa.list_(pa.float32()))
+        start = usable.offset and np.frombuffer(usable.buffers()[1], np.int32)[usable.offset]
+        data = np.frombuffer(usable.buffers()[2], np.uint8)[start:start + len(usable) * dimensions * 4]
+        offsets = pa.array(np.arange(0, (len(usable) + 1) * dimensions, dimensions, dtype=np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(data.view("<f4").astype(np.float32)))
+        return lists.take(pa.array(np.cumsum(right) - 1, mask=~right))
 
     return unpack(blob)
 
@@ -39,8 +51,14 @@ def vocabulary_from_lines(lines: list[str]) -> dict[str, int]:
     return {token: i for i, token in enumerate(lines)}
 
 
-def read_vocabulary(spark: SparkSession, path: str, limit: int = 1_000_000) -> dict[str, int]:
-    """A vocabulary file, read whole because line order is its meaning; refused above ``limit`` lines."""
+def read_vocabulary(spark: SparkSession, path: str, limit: int = 1_000_000, max_bytes: int = 64 << 20) -> dict[str, int]:
+    """A vocabulary file, read whole because line order is its meaning.
+
+    Refused above ``max_bytes``, before its content is read, and above ``limit`` lines.
+    """
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    if size is not None and size > max_bytes:
+        raise ValueError("vocabulary is too large to share with every executor")
     text = spark.read.text(path, wholetext=True).first()["value"]
     lines = text.removesuffix("\n").split("\n")
     if len(lines) > limit:

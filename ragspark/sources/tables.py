@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as a new table in the shared folder and read again: lineage ends here.
+
+    Without a configured folder, as in tests, the warehouse is used.
+    """
+    conf = df.sparkSession.conf
+    base = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_by_document(df: DataFrame, path: str, key: str = "document_id", buckets: int = 256) -> None:
     """Write rows under ``bucket=`` folders of their document, for pruned reads of single documents.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -61,12 +62,32 @@ def test_batch_search_with_ties_equals_a_full_sort(spark, query_bytes):
     asked = [(i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-2, 3, (40, 6)) + 0.5)]
     c = spark.createDataFrame(corpus, "name string, embedding array<float>").repartition(5)
     q = spark.createDataFrame(asked, "q int, query_vector array<float>")
-    rows = S.search_batch(c, q, ["name"], ["q"], 6, 7, query_bytes=query_bytes, corpus_groups=3).orderBy("q", "rank").collect()
+    rows = S.search_batch(c, q, ["name"], ["q"], 6, 7, query_bytes=query_bytes).orderBy("q", "rank").collect()
     assert len(rows) == 40 * 7
     for i, v in asked:
         assert [r.name for r in rows if r.q == i] == _brute_topk(names, vectors, np.array(v), 7)
 
 
+def test_tiles_are_bounded_and_the_corpus_is_not_shuffled(spark):
+    ids = pa.table({"q": range(1300)})
+    tiles = S._tiles(ids, np.ones((1300, 3)), 2)
+    assert [len(t.unit) for t in tiles] == [512, 512, 276]
+    assert [t.query_ids.column("q")[0].as_py() for t in tiles] == [0, 512, 1024]
+    c = spark.range(50).selectExpr("id", "array(cast(id as float), 1f) as embedding")
+    q = spark.range(40).selectExpr("id as q", "array(1f, cast(id as float)) as query_vector")
+    plan = S.search_batch(c, q, ["id"], ["q"], 2, 3, query_bytes=160)._jdf.queryExecution().executedPlan().toString()
+    scoring = [i for i, line in enumerate(plan.splitlines()) if "MapInArrow" in line]
+    assert len(scoring) == 6  # 640 bytes of vectors and 70 of ids, with the slack, in blocks of 160
+    assert all("Exchange" not in line for line in plan.splitlines()[scoring[0]:])
+
+
+def test_search_leaves_null_ids_and_bad_vectors_out(spark):
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, None), (3, [1.0])], "id int, embedding array<float>")
+    q = spark.createDataFrame([(9, [1.0, 0.0]), (None, [1.0, 0.0]), (8, None)], "q int, query_vector array<float>")
+    assert [(r.q, r.id) for r in S.search_batch(c, q, ["id"], ["q"], 2).collect()] == [(9, 1)]
+    assert S.search_batch(c, q.where("q < 0"), ["id"], ["q"], 2).collect() == []
+
+
 def test_search_with_fewer_rows_than_k(spark):
     c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id int, embedding array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "q int, query_vector array<float>")

@@ -26,6 +26,14 @@ def test_plan_has_no_cross_join(spark, folder, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["answer_contexts", "rag_status", "route_questions", "hydrate_ranked"])
+def test_the_corpus_is_scored_once(spark, folder, name):
+    df = QUERIES[name](spark, folder)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as e
 
