@@ -31,7 +31,7 @@ from ragspark.llm.shared import text_or_null
 from ragspark.llm.suffixes import suffix_array
 
 PHRASE_BYTES = 16 << 20
-SHARD = 8 << 20
+SHARD = 2 << 20
 SAMPLE = 8
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 STATE = "_id string, _text string, _words long, _ranges binary, _items array<string>"

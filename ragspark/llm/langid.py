@@ -29,7 +29,7 @@ from ragspark.llm.kernel import SpanHash
 from ragspark.llm.shared import held_out, text_or_null
 
 WIDTH = 32
-BLOCK = 6 << 20
+BLOCK = 2 << 20
 SAMPLE_CHARS = 2000
 MAX_LANGUAGES = 512
 LETTER = r"\p{L}"

@@ -31,7 +31,7 @@ from ragspark.llm.shared import text_or_null
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 64
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 SLICE = 1 << 18  # pieces decoded at a time
 SLAB = 1 << 16
 FALLBACK = -1e6  # per byte; scores of pieces are above -1e5
