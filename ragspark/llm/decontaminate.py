@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ragspark.llm import kernel
 from ragspark.llm.kernel import SpanHash
-from ragspark.llm.shared import text_or_null
+from ragspark.llm.shared import opened, sent, text_or_null
 from ragspark.llm.suffixes import suffix_array
 
 PHRASE_BYTES = 16 << 20
@@ -210,7 +210,7 @@ def search_pass(shared, last: bool):
     """One pass over documents in ``STATE`` columns with one block of phrases, merging what earlier ones found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases: Phrases = shared.value
+        phrases: Phrases = opened(shared)
         hasher, member = SpanHash(phrases.seed), word_bytes()
         for batch in batches:
             for i, j, texts in kernel.text_blocks(batch.column("_text"), SHARD):
@@ -276,7 +276,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> Dat
                                 F.col("_items").alias("items"), none.alias("spans"))
         last = k == len(blocks) - 1
         schema = f"_id {kind}, {FOUND}" if last else STATE.replace("_id string", f"_id {kind}")
-        state = state.mapInArrow(search_pass(docs.sparkSession.sparkContext.broadcast(block), last), schema)
+        state = state.mapInArrow(search_pass(sent(docs.sparkSession.sparkContext, block), last), schema)
     return state.select(F.col("_id").alias("doc_id"), F.col("_words").alias("n_words"), F.col("_hit").alias("n_hit"),
                         F.col("_items").alias("items"), F.col("_spans").alias("spans"))
 

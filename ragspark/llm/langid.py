@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ragspark.llm import kernel
 from ragspark.llm.kernel import SpanHash
-from ragspark.llm.shared import held_out, text_or_null
+from ragspark.llm.shared import held_out, opened, sent, text_or_null
 
 WIDTH = 32
 BLOCK = 2 << 20
@@ -172,7 +172,7 @@ def pooled(net: BiGRU, hasher: SpanHash, texts: list[bytes]) -> np.ndarray:
 def predict_batches(shared, column: str, letters: str):
     """Append ``_lang`` and ``_score`` to batches; ``letters`` names a flag column: the text has a letter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, net = shared.value
+        names, net = opened(shared)
         hasher = SpanHash()
         for batch in batches:
             for i, j, texts in kernel.text_blocks(batch.column(column), BLOCK):
@@ -232,7 +232,7 @@ def with_language(docs: DataFrame, docs_per_language: int = 500) -> DataFrame:
     text = text_or_null(docs)
     flagged = docs.withColumns({"_plain": text, "_letters": F.coalesce(text.rlike(LETTER), F.lit(False))})
     schema = T.StructType([*flagged.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession.sparkContext, model)
     return flagged.mapInArrow(predict_batches(shared, "_plain", "_letters"), schema).drop("_plain", "_letters")
 
 

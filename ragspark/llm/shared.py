@@ -1,10 +1,13 @@
-"""Session helpers: the shared checkpoint folder and plain names for working columns."""
+"""Session helpers: the shared checkpoint folder, models sent to executors and plain names for working columns."""
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from typing import Any
 
+from pyspark import Broadcast, SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sent(context: SparkContext, model: Any) -> Broadcast:
+    """A broadcast of ``model`` with the code of its classes, so that executors need not have the package."""
+    return context.broadcast(cloudpickle.dumps(model))
+
+
+def opened(shared: Broadcast) -> Any:
+    return pickle.loads(shared.value)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ragspark.llm import kernel
 from ragspark.llm.decontaminate import word_bytes
 from ragspark.llm.kernel import SpanHash
-from ragspark.llm.shared import held_out, text_or_null
+from ragspark.llm.shared import held_out, opened, sent, text_or_null
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -259,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500) -> tup
 
 def score_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf: CRF = shared.value
+        crf: CRF = opened(shared)
         hasher, member = SpanHash(), word_bytes()
         for batch in batches:
             for i, j, part in kernel.text_blocks(batch.column("_text"), 4 << 20):
@@ -291,7 +291,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, docs_per_class: int = 25
     if crf is None:
         scored = rows.select("_id", F.lit(float(share)).alias("_score"), F.array().cast(span_type).alias("_spans"))
     else:
-        shared = docs.sparkSession.sparkContext.broadcast(crf)
+        shared = sent(docs.sparkSession.sparkContext, crf)
         scored = rows.mapInArrow(score_batches(shared), f"_id {kind}, _score double, _spans {span_type}")
     return scored.select(
         F.col("_id").alias("doc_id"), held_out(F.col("_id")).alias("held_out"), F.col("_score").alias("score"),

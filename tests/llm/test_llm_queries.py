@@ -36,3 +36,24 @@ def test_pipeline_takes_empty_and_odd_tables(spark, odd, folder):
     for docs in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, folder).count()
+
+
+def test_executors_do_not_need_the_package(tmp_path):
+    """Operators that send models, run from another folder by a plain session."""
+    import os
+    import subprocess
+    import sys
+
+    entry = os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "__spark_entry__.py")
+    code = (
+        "import importlib.util as u; from pyspark.sql import SparkSession\n"
+        f"s = u.spec_from_file_location('e', {entry!r}); m = u.module_from_spec(s); s.loader.exec_module(m)\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "names = ('op1_decontamination', 'op8_language_id', 'op10_toxicity')\n"
+        "print('rows', [m.queries()[n](spark, '/root/testdata/sf0.001').count() for n in names])\n"
+        "for n in names: m.queries()[n](spark, '/root/testdata/sf0.001').write.format('noop').mode('overwrite').save()\n"
+        "print('done')\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=150)
+    assert "done" in done.stdout, done.stderr[-2000:]
