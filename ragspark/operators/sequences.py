@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,19 +162,74 @@ def progress_steps(progress: DataFrame, keys: list[str], order: str, done: str,
         current, shown = None, -step
         for batch in batches:
             keep = []
-            rows = zip(zip(*[batch.column(k).to_pylist() for k in keys]), batch.column(done).to_pylist(), batch.column(total).to_pylist())
-            for i, (key, d, t) in enumerate(rows):
+            sizes, goals = (batch.column(c).to_numpy(zero_copy_only=False) for c in (done, total))
+            complete = sizes == goals
+            for key, at, end in _stretches(batch, keys):
                 if key != current:
                     current, shown = key, -step
-                if d == t or d - shown >= step:
-                    shown = d
-                    keep.append(i)
+                look = _LOOK_ROWS
+                while at < end:
+                    stop = min(end, at + look)
+                    due = np.flatnonzero(complete[at:stop] | (sizes[at:stop] - shown >= step))
+                    if len(due):
+                        keep.append(at + int(due[0]))
+                        at, shown, look = keep[-1] + 1, sizes[keep[-1]], _LOOK_ROWS
+                    else:
+                        at, look = stop, 2 * look
             if keep:
                 yield batch.take(pa.array(keep))
 
     return placed.select(*columns).mapInArrow(run, progress.schema)
 
 
+def single_flight(frames: DataFrame, by: Ordering, time_ms: str, busy_ms: str) -> DataFrame:
+    """Frames that find none in flight: a frame is dropped if it comes before the last one taken is done.
+
+    A frame is done ``busy_ms`` after its time, which must not fall along the order.  One that comes when all
+    earlier ones would be done is taken whatever was taken before it, so keys are cut there and the parts run
+    in parallel.  Inside a part sorted rows stream past one number; nothing is gathered.
+    """
+    done = F.col(time_ms) + F.col(busy_ms)
+    ahead = scan(frames, by, {"_busy": Running("max", done, inclusive=False)})
+    idle = F.col("_busy").isNull() | (F.col("_busy") <= F.col(time_ms))
+    parts = scan(ahead, by, {"_part": Running("sum", F.when(idle, 1).otherwise(0))})
+    keys = [*by.keys, "_part"]
+    placed = parts.select(*frames.columns, "_part").repartition(*keys).sortWithinPartitions(*keys, *by.order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, free = None, 0
+        for batch in batches:
+            keep = []
+            times, busy = (batch.column(c).to_numpy() for c in (time_ms, busy_ms))
+            for key, at, end in _stretches(batch, keys):
+                if key != current:
+                    current, free = key, times[at]
+                at += int(np.searchsorted(times[at:end], free))
+                while at < end:
+                    keep.append(at)
+                    free = times[at] + busy[at]
+                    at += max(1, int(np.searchsorted(times[at:end], free)))
+            if keep:
+                yield batch.take(pa.array(keep))
+
+    return placed.mapInArrow(run, placed.schema).drop("_part")
+
+
+_LOOK_ROWS = 64
+
+
+def _stretches(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(key, first row, end) of every stretch of rows with equal keys."""
+    n = batch.num_rows
+    new = np.zeros(max(0, n - 1), bool)
+    for k in keys:
+        c = batch.column(k)
+        new |= pc.not_equal(c.slice(1), c.slice(0, max(0, n - 1))).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(new) + 1).tolist(), n] if n else []
+    for at, end in zip(cuts, cuts[1:]):
+        yield tuple(batch.column(k)[at].as_py() for k in keys), at, end
+
+
 def live_phases(events: DataFrame, by: Ordering) -> DataFrame:
     """Phase after each event of a live session: ``event`` in Start, StartFailed, Ready, Partial, Final,
     Translated, TranslateFailed, Spoken, Failed, Ended; ``text`` and ``speak`` qualify it.
@@ -195,5 +252,5 @@ def live_phases(events: DataFrame, by: Ordering) -> DataFrame:
 
 __all__ = [
     "Ordering", "debounce", "drop_oldest", "drop_repeats", "keep_latest", "latest_wins", "live_phases", "pre_roll",
-    "progress_steps", "run_lengths", "scan", "utterances", "with_index",
+    "progress_steps", "run_lengths", "scan", "single_flight", "utterances", "with_index",
 ]

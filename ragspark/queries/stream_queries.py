@@ -52,6 +52,17 @@ def keep_latest(spark, folder):
     return Q.keep_latest(rows, ["user_id", "day"], ["ts_ms", "event_id"]).select("user_id", "day", "event_id")
 
 
+@query("single_flight", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS t, epoch_ms(ts) + (event_id % 5) * {HOUR_MS} AS done, row_number() OVER ({_W}) AS i FROM events),
+f AS (SELECT user_id, event_id, i, done AS free, true AS taken FROM e WHERE i = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN e.t >= f.free THEN e.done ELSE f.free END, e.t >= f.free FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, event_id FROM f WHERE taken""")
+def single_flight(spark, folder):
+    """Events as frames of their user that take up to four hours each; one that comes meanwhile is dropped."""
+    e, by = events(spark, folder)
+    rows = e.withColumn("busy_ms", (F.col("event_id") % 5) * HOUR_MS)
+    return Q.single_flight(rows, by, "ts_ms", "busy_ms").select("user_id", "event_id")
+
+
 _FRAMES = f"""fr AS (SELECT user_id, event_id, row_number() OVER ({_W}) AS seq, CAST(value / 500 AS FLOAT) >= CAST(0.018 AS FLOAT) AS speech FROM events)"""
 
 

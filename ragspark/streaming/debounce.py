@@ -13,20 +13,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DecimalType, FractionalType, IntegralType, StructField, StructType
 
+from ragspark.functions import text as T
+
 
 def debounce_stream(inputs: DataFrame, keys: list[str], time_col: str, order: list[str], wait: str = "300 milliseconds",
-                    watermark: str = "0 seconds") -> DataFrame:
+                    watermark: str = "0 seconds", text_col: str | None = None) -> DataFrame:
     """Latest input of every quiet period, emitted once the watermark passes its end.
 
+    With ``text_col``, adds ``action``: CLEAR for blank text, FIRE otherwise.
+
     A session window with the wait as its gap is the debounce: a new input within the gap extends the
     session, and ``max_by`` keeps the last one.  State is one row per open session.
     """
     rest = [c for c in inputs.columns if c not in keys]
     window = F.session_window(time_col, wait)
-    return (
+    fired = (
         inputs.withWatermark(time_col, watermark).groupBy(*keys, window.alias("_quiet"))
         .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
     )
+    if text_col is None:
+        return fired
+    return fired.withColumn("action", F.when(T.is_blank(F.col(text_col)), "CLEAR").otherwise("FIRE"))
 
 
 def keep_latest_stream(frames: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

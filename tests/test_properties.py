@@ -188,3 +188,38 @@ def test_only_the_current_generation_survives(spark):
 def test_limits_are_whole(spark):
     df = spark.range(200).select(F.lit(1).alias("k"), F.col("id"))
     assert [r.id for r in Q.drop_oldest(df, ["k"], ["id"]).orderBy("id").collect()] == list(range(200 - X.QUEUE_FRAMES, 200))
+
+
+def test_frames_in_flight(spark):
+    rng = random.Random(3)
+    rows, want = [], []
+    for k in ("hot", "b", "c"):
+        t = free = 0
+        for i in range(3000 if k == "hot" else 40):
+            t += rng.choice([0, 1, 5, 40])
+            busy = rng.choice([0, 3, 30, 60])
+            rows.append((k, i, t, t // 100, busy))
+            if i == 0 or t >= free:
+                free = t + busy
+                want.append((k, i))
+    df = spark.createDataFrame(rows, "k string, i int, t long, _bucket long, busy long")
+    got = Q.single_flight(df, Ordering(("k",), ("t", "i")), "t", "busy")
+    assert got.columns == df.columns
+    assert sorted((r.k, r.i) for r in got.collect()) == sorted(want)
+    assert Q.single_flight(df.limit(0), Ordering(("k",), ("t", "i")), "t", "busy").count() == 0
+
+
+def test_progress_against_a_plain_loop(spark):
+    rng = random.Random(4)
+    rows, want = [], []
+    for k in ("a", "b"):
+        total, done, shown = 500_000_000, 0, None
+        for i in range(2500):
+            done += rng.choice([0, 10, 90_000, 700_000, -50_000])
+            size = total if i in (700, 701, 2499) else max(0, done)
+            rows.append((k, i, size, total))
+            if shown is None or size == total or size - shown >= X.PROGRESS_STEP_BYTES:
+                shown = size
+                want.append((k, i))
+    df = spark.createDataFrame(rows, "k string, i int, done long, total long")
+    assert sorted((r.k, r.i) for r in Q.progress_steps(df, ["k"], "i", "done", "total").collect()) == sorted(want)

@@ -43,6 +43,13 @@ def test_debounce(spark, tmp_path):
     assert sorted((r.k, r.text) for r in out.collect()) == [("a", "w"), ("a", "y"), ("a", "z"), ("b", "q")]
 
 
+def test_debounce_clears_on_blank_text(spark, tmp_path):
+    base = [("a", 0, "x"), ("a", 100, " "), ("b", 50, "q"), ("c", 60, ""), ("zz", 10_000, "end")]
+    df = spark.createDataFrame([(k, i, ms, t) for i, (k, ms, t) in enumerate(base)], "k string, id int, ms long, text string").withColumn("ts", F.timestamp_millis("ms"))
+    out = _run(D.debounce_stream(_stream(spark, df, tmp_path, 1), ["k"], "ts", ["ms", "id"], text_col="text"), "cleared", tmp_path)
+    assert sorted((r.k, r.action) for r in out.collect()) == [("a", "CLEAR"), ("b", "FIRE"), ("c", "CLEAR")]
+
+
 def test_repeats_are_dropped_across_triggers(spark, tmp_path):
     values = ["a", "a", "b", "b", "b", "a", "a", "c"]
     df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "k string, id int, v string")
