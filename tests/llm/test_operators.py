@@ -322,6 +322,43 @@ def test_cross_entropy_difference_matches_brute_force(spark, make, odd):
     assert lmscore.cross_entropy_difference(odd.limit(0), target).count() == 0
 
 
+def test_cross_entropy_counts_every_word(spark, make):
+    """Against brute force with more distinct words and bigrams than any list of frequent ones."""
+    rng = random.Random(7)
+    docs = [(i, " ".join(f"{'t' if i % 2 else 'b'}{rng.randrange(4000)}" if rng.random() < 0.7 else "the of" for _ in range(60))) for i in range(100)]
+    docs += [(200, None), (201, "only here"), (None, "no id")]
+    target = spark.createDataFrame([(i,) for i in range(1, 80, 2)], "doc_id int")
+    rows = lmscore.cross_entropy_difference(make(docs), target).collect()
+    words = {d: re.findall(WS, t or "") for d, t in docs}
+    kinds = len({x for w in words.values() for x in w}) + 1
+    assert kinds > 1500
+
+    def model(members):
+        pairs, left, followers, one = {}, {}, {}, {}
+        for d in members:
+            for prev, x in zip(["^", *words[d]], words[d]):
+                followers[prev] = followers.get(prev, 0) + ((prev, x) not in pairs)
+                pairs[prev, x] = pairs.get((prev, x), 0) + 1
+                left[prev] = left.get(prev, 0) + 1
+                one[x] = one.get(x, 0) + 1
+        total = sum(one.values()) + kinds
+
+        def loss(prev, x):
+            uni = (one.get(x, 0) + 1) / total
+            return -np.log((pairs.get((prev, x), 0) + followers[prev] * uni) / (left[prev] + followers[prev])) if prev in left else -np.log(uni)
+
+        return loss
+
+    t, b = model(range(1, 80, 2)), model(words)
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(d) for d, _ in docs)
+    for r in rows:
+        pairs = list(zip(["^", *words[r.doc_id]], words[r.doc_id]))
+        want = [np.mean([f(*p) for p in pairs]) if pairs else 0.0 for f in (t, b)]
+        assert (r.n_words, r.target_loss, r.background_loss) == pytest.approx((len(pairs), *want), abs=2e-6)
+    uniform = lmscore.cross_entropy_difference(make(docs), target.limit(0)).where("doc_id = 201").first()
+    assert uniform.target_loss == pytest.approx(np.log(kinds), abs=1e-6)
+
+
 # sharding --------------------------------------------------------------------------------------
 
 
