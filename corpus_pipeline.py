@@ -5,7 +5,8 @@ written as Parquet and read again as the next one's ``docs``.  All but the last
 ``documents``:
 
 1. language ID rejects documents without a letter and those in which no language holds 0.3 of the probability;
-2. line dedup takes out lines that at least 10 documents share (``n_chars`` is counted anew);
+2. line dedup takes out lines that at least 10 documents share, all but the first line of the first of these
+   documents (in the order of the ids as text); ``n_chars`` is counted anew;
 3. SimHash near-dedup keeps the document with the smallest id of every group;
 4. decontamination drops documents of which a twentieth or more lies in benchmark passages;
 5. SentencePiece encoding returns ``doc_id, n_pieces, ids, round_trip``.
@@ -27,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.line_dedup(docs, min_docs=10)
+    return linededup.line_dedup(docs, min_docs=10, keep_first=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,25 @@ def test_pipeline_takes_empty_and_odd_tables(spark, odd, folder):
             stage(spark, docs, folder).count()
 
 
+def test_pipeline_keeps_one_of_many_copies(spark, make, folder):
+    """Of each group of ten or more exact copies one whole text reaches the last stage, and of near-copies every shared line."""
+    def body(name, n):
+        return "\n".join(" ".join(f"{name}{i}x{k}" for k in range(9)) for i in range(n))
+
+    copies = {"a": 12, "b": 40, "c": 10}
+    rows = [(100 * g + i, body(name, 8)) for g, (name, n) in enumerate(copies.items(), 1) for i in range(n)]
+    rows += [(1000 + i, f"{body('near', 8)}\n{body(f'own{i}', 2)}") for i in range(15)]
+    docs = make(rows + [(2000, body("alone", 5))])
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).toArrow())
+    texts = [r.text for r in docs.collect()]
+    assert [texts.count(body(name, 8)) for name in copies] == [1, 1, 1]
+    assert sum(body("near", 8) in t for t in texts) == 1 and all(any(body(f"own{i}", 2) in t for t in texts) for i in range(15))
+    assert texts.count(body("alone", 5)) == 1
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).where("round_trip").collect()
+    assert {100, 200, 300, 1000, 2000} <= {r.doc_id for r in last}
+
+
 def test_executors_do_not_need_the_package(tmp_path):
     """Operators that send models, run from another folder by a plain session."""
     import os
