@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import attribution, decontaminate, kdshards, langid, linededup, lmscore, pieces, repetition, simhash, toxicity
+from ragspark.llm import attribution, decontaminate, hardneg, kdshards, langid, linededup, lmscore, pieces, repetition, simhash, toxicity
 from ragspark.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -133,3 +133,30 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op6_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
     good = table(spark, folder, "labels").where("quality = 1")
     return lmscore.cross_entropy_difference(table(spark, folder, "documents"), good)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.n AS a, a.vec_id AS anchor_id, b.n AS b, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.n <> b.n WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id, b) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.id, s.b) AS INTEGER) AS rank,
+  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(vectors.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
