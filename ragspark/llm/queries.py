@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import attribution, decontaminate, hardneg, kdshards, langid, linededup, lmscore, pieces, repetition, simhash, toxicity
+from ragspark.llm import attribution, bytebpe, decontaminate, hardneg, kdshards, langid, linededup, lmscore, pieces, prefixtrie, repetition, simhash, toxicity
 from ragspark.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -160,3 +160,50 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hardneg.hard_negatives(vectors.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bytebpe.encode_documents(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", "decoded_sha256")
+
+
+CRC_STEP = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+CRC32 = f"""xor(4294967295, list_reduce(list_transform(string_split({{0}}, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda a, b: list_reduce(range(8), lambda x, k: {CRC_STEP}, xor(a, b)), CAST(4294967295 AS BIGINT)))"""
+
+OP13_SQL = f"""
+WITH o AS (
+  SELECT conv_id, list(coalesce(role, '') || chr(0) || coalesce(text, '') ORDER BY turn NULLS FIRST) AS t,
+    {CRC32.format('CAST(conv_id AS VARCHAR)')} % 9 AS h
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+r AS (
+  SELECT a.conv_id, list_concat(coalesce(b.t[1 : a.h], []), a.t[a.h + 1 :]) AS t
+  FROM o a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 5),
+p AS (
+  SELECT conv_id, d, md5(array_to_string(list_transform(t[1 : d], lambda x: md5(x)), '')) AS node,
+    CASE WHEN d > 0 THEN md5(array_to_string(list_transform(t[1 : d - 1], lambda x: md5(x)), '')) END AS up,
+    CASE WHEN d > 0 THEN strlen(substr(t[d], instr(t[d], chr(0)) + 1)) ELSE 0 END AS size, len(t) = d AS ends
+  FROM r, LATERAL unnest(range(0, len(t) + 1)) u(d)),
+n AS (
+  SELECT d, node, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY d, node),
+c AS (SELECT d - 1 AS d, up AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+k AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (d, node)),
+below AS (
+  SELECT a.d, a.node, sum(k.saved) AS saved, count(*) FILTER (k.n_children = 0) AS n_leaves
+  FROM k JOIN p a ON a.conv_id = k.conv_id AND a.d <= k.d GROUP BY a.d, a.node)
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves,
+  CAST(below.saved AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM k JOIN below USING (d, node) LEFT JOIN n u ON u.d = k.d - 1 AND u.node = k.up"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    turns = prefixtrie.original_turns(table(spark, folder, "conversations"))
+    return prefixtrie.prefix_trie(prefixtrie.rebuilt(turns, F.col("conv_id") - F.col("conv_id") % 5, taken, most=8))
