@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding through one global table of distinct words.
 
-1. A task splits its texts into words by the tokenizer's pattern.  A block of documents becomes one row of each
-   distinct word in it (numbered in order of appearance) and one row of each document: the numbers of its words
-   by position, packed.  These rows are written once, to the shared folder.
-2. The distinct words of all blocks meet in a shuffle, pre-aggregated block by block; each is encoded once.
-3. The ids are joined back to the words of the blocks.  A frequent word has one row a block; adaptive execution
-   splits it when it is large.
-4. Ids and documents meet by block, and a document's ids are read off by the positions of its words.
+1. A task splits its texts into words by the tokenizer's pattern.  The distinct words of a block of documents leave
+   pre-aggregated: one row for each bucket of word hashes, with the block's words of that bucket, packed.
+2. Words meet by bucket and are sorted there; each distinct word is encoded once and its ids are joined to its row of
+   every block.  A frequent word has one row a block, streamed; no table of all words is held anywhere.
+3. The ids go back to their blocks, packed, in the order of the block's words.
+4. The documents, split again, send the places of their words in that order; they meet the ids by block, and a
+   document's ids are read off by the positions of its words.
 5. Decoding looks the ids up in the token-byte table, which the rank file bounds.
 
 Words of one length are merged together: the pair of lowest rank of every word (the first of equals) is joined
@@ -15,7 +15,9 @@ tokens.  Words over ``LONG`` bytes go through a heap each, by the same rule.  A
 that token.
 
 Edge cases: null and empty texts have no tokens; a very long document is a block of its own and so bounds the
-memory of its task; repeated rows and repeated ids are encoded row by row; extra columns stay out.
+memory of its task; repeated rows and repeated ids are encoded row by row; extra columns stay out.  The documents are
+split twice, which costs less than a second copy of them on disk: they must give the same rows in the same order when a
+partition is read again, as files do (write other tables first); a check sum of every block raises an error otherwise.
 """
 
 from __future__ import annotations
@@ -28,15 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.llm import kernel
-from ragspark.llm.shared import opened, partitions, sent, text_or_null, written
+from ragspark.llm.shared import opened, partitions, sent, text_or_null
 
 LONG = 48
-BLOCK = 4 << 20  # bytes of text whose words are numbered together
+BLOCK = 16 << 20  # bytes of text whose words are numbered together
 NONE = np.int32(2**31 - 1)
 SLICE = 1 << 18  # ids decoded at a time
 
@@ -199,89 +202,197 @@ def splitter(pattern: str, differences: dict[int, str]):
     compiled = regex.compile(pattern)
     if not differences:
         return compiled.findall
-    odd = regex.compile(f"[{''.join(map(chr, differences))}]").search
+    odd = np.zeros(0x110000, bool)
+    odd[list(differences)] = True
 
     def words(text: str) -> list[str]:
-        if odd(text) is None:
+        if text.isascii() or not odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
             return compiled.findall(text)
         return [text[m.start() : m.end()] for m in compiled.finditer(text.translate(differences))]
 
     return words
 
 
-def split_batches(pattern: str, block: int, differences: dict[int, str]):
-    """Documents to rows of their distinct words and of their word numbers, block by block."""
+def packed_numbers(x: np.ndarray) -> bytes:
+    """32-bit numbers, byte plane by byte plane, compressed."""
+    return zlib.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], most: int):
+    """(batch, first row, texts, block number, check sum) of every block; the numbers are the same at every reading."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for i, _, texts in kernel.text_blocks(batch.column(batch.num_columns - 1), most):
+            check = 0
+            for text in texts:
+                check = zlib.crc32(text, check)
+            yield batch, i, texts, number, check
+            number += 1
+
+
+def by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of a block's distinct words by bucket, and their buckets; a word's place is its rank in this order."""
+    own = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
+    return np.argsort(own, kind="stable"), own
+
+
+def word_batches(pattern: str, differences: dict[int, str], block: int, buckets: int):
+    """Texts to one row for each block and bucket: the block's distinct words of that bucket, packed in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = splitter(pattern, differences)
-        number = TaskContext.get().partitionId() << 32
-        names = ["block", "doc", "place", "word", "positions"]
-        for batch in batches:
-            for i, j, texts in kernel.text_blocks(batch.column(1), block):
-                seen: dict[str, int] = {}
-                packed = []
-                for text in texts:
-                    found = [seen.setdefault(w, len(seen)) for w in words_of(text.decode())]
-                    packed.append(zlib.compress(np.array(found, np.uint32).tobytes(), 1))
-                words, n = list(seen), len(texts)
-                for k in range(0, len(words), 1 << 16):
-                    part = words[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(part), number)), pa.nulls(len(part), batch.schema.field(0).type),
-                        pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.array([w.encode() for w in part], pa.binary()),
-                        pa.nulls(len(part), pa.binary())], names=names)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, number)), batch.column(0).slice(i, n), pa.array(np.arange(n, dtype=np.int32)),
-                    pa.nulls(n, pa.binary()), pa.array(packed, pa.binary())], names=names)
-                number += 1
+        for _, _, texts, number, check in blocks_of(batches, block):
+            seen: dict[str, None] = {}
+            for text in texts:
+                seen.update(dict.fromkeys(words_of(text.decode())))
+            words = [w.encode() for w in seen]
+            order, own = by_bucket(words, buckets)
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            cuts = np.append(np.flatnonzero(np.diff(own[order], prepend=-1)), len(order))
+            rows = [
+                (int(own[order[x]]), number, check, x, packed_numbers(sizes[order[x:y]]),
+                 zlib.compress(b"".join([words[i] for i in order[x:y].tolist()]), 1))
+                for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            for k in range(0, len(rows), 1 << 12):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows[k : k + (1 << 12)]), types)],
+                    names=["bucket", "block", "check", "place", "sizes", "words"])
+
+    return run
+
+
+def document_batches(pattern: str, differences: dict[int, str], block: int, buckets: int):
+    """Documents to the places of their words, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = splitter(pattern, differences)
+        for batch, i, texts, number, check in blocks_of(batches, block):
+            seen: dict[str, int] = {}
+            found = []
+            for text in texts:
+                words = words_of(text.decode())
+                found.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.uint32, len(words)))
+            order, _ = by_bucket([w.encode() for w in seen], buckets)
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            n = len(texts)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(n, number)), pa.array(np.full(n, check)), batch.column(0).slice(i, n), pa.array(np.arange(n, dtype=np.int32)),
+                pa.array([packed_numbers(place[x]) for x in found], pa.binary())], names=["block", "check", "doc", "place", "packed"])
 
     return run
 
 
+def unpack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each word of a block."""
+    for batch in batches:
+        for block, check, place, sizes, words in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(numbers(sizes), dtype=np.int64)))
+            raw, n = zlib.decompress(words), len(ends) - 1
+            column = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([
+                column.cast(pa.binary()), pa.array(np.full(n, block)), pa.array(np.full(n, check)), pa.array(np.arange(place, place + n, dtype=np.int32))],
+                names=["word", "block", "check", "place"])
+
+
 def encode_words(shared):
+    """Rows sorted by word: each distinct word is encoded once, and its ids joined to all its rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = Merges(opened(shared))
+        last, last_ids = None, b""
         for batch in batches:
-            found = merges.encode(batch.column(0).to_pylist())
+            runs = batch.column(0).dictionary_encode()
+            words = runs.dictionary.to_pylist()
+            fresh = words[1:] if words and words[0] == last else words
+            ids = [last_ids] * (len(words) - len(fresh)) + [x.astype("<u4").tobytes() for x in merges.encode(fresh)]
+            if ids:
+                last, last_ids = words[-1], ids[-1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["word", "ids"])
+                [*batch.columns[1:], pa.array(ids, pa.binary()).take(runs.indices)], names=["block", "check", "place", "ids"])
 
     return run
 
 
+def pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block and place: the ids of neighbouring places, packed together."""
+    for batch in batches:
+        block, place = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        cuts = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(place, prepend=-2) != 1)).tolist()
+        rows = []
+        for x, y in zip(cuts, [*cuts[1:], len(block)]):
+            ids = batch.column(3).slice(x, y - x)
+            flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+            sizes = pc.binary_length(ids).to_numpy() // 4
+            rows.append((int(block[x]), batch.column(1)[x].as_py(), int(place[x]), packed_numbers(sizes), packed_numbers(flat)))
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["block", "check", "place", "sizes", "packed"])
+
+
 def reassemble(shared):
-    """Rows sorted by block, documents after words: ids of every document, by the positions of its words."""
+    """Rows sorted by block, documents after words: ids of every document, by the places of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = Merges(opened(shared))
-        block, ids, flat, starts, sizes = None, [], None, None, None
+        block, flat, starts, counts = None, None, None, None
+        parts: list[tuple[int, np.ndarray, np.ndarray]] = []
+        checks: set[int] = set()
+
+        def of_words() -> None:
+            nonlocal flat, starts, counts, parts
+            counts = np.concatenate([np.empty(0, np.int64), *(numbers(c).astype(np.int64) for _, c, _ in parts)])
+            if [p for p, _, _ in parts] != np.concatenate(([0], np.cumsum([len(numbers(c)) for _, c, _ in parts])))[: len(parts)].tolist():
+                raise RuntimeError("words of a block are missing: the documents gave other rows when they were read again")
+            flat = np.concatenate([np.empty(0, np.uint32), *(numbers(x) for _, _, x in parts)])
+            starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))[:-1]
+            parts = []
+
+        def result(doc: pa.Array, out: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(x) for _, x in out]))).astype(np.int32)
+            decoded = []
+            for _, x in out:
+                digest = hashlib.sha256()
+                for piece in merges.decode(x):
+                    digest.update(piece)
+                decoded.append(digest.hexdigest())
+            return pa.RecordBatch.from_arrays([
+                doc.take(pa.array([i for i, _ in out])),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x for _, x in out]).astype(np.int32))),
+                pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for _, x in out], pa.string()),
+                pa.array(decoded, pa.string())], names=["doc_id", "ids", "ids_sha256", "decoded_sha256"])
+
         for batch in batches:
-            out = []
-            doc = batch.column(1)
-            for i, (number, word_ids, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)))):
+            out: list[tuple[int, np.ndarray]] = []
+            size = 0
+            columns = (batch.column(c).to_pylist() for c in ("block", "check", "place", "sizes", "packed"))
+            for i, (number, check, place, sizes, packed) in enumerate(zip(*columns)):
                 if number != block:
-                    block, ids, flat = number, [], None
-                if packed is None:
-                    ids.append(word_ids)
+                    block, parts, flat, checks = number, [], None, set()
+                checks.add(check)
+                if len(checks) > 1:
+                    raise RuntimeError("the documents gave other texts when they were read again")
+                if sizes is not None:
+                    parts.append((place, sizes, packed))
                     continue
                 if flat is None:
-                    sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                    starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)[:-1])) if ids else sizes
-                    flat = np.frombuffer(b"".join(ids), "<i4")
-                    ids = []
-                words = np.frombuffer(zlib.decompress(packed), np.uint32)
-                out.append((i, flat[kernel.ragged(starts[words], sizes[words])]))
-            for k in range(0, len(out), 256):
-                part = out[k : k + 256]
-                offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(x) for _, x in part]))).astype(np.int32)
-                decoded = [hashlib.sha256() for _ in part]
-                for (_, x), digest in zip(part, decoded):
-                    for piece in merges.decode(x):
-                        digest.update(piece)
-                yield pa.RecordBatch.from_arrays([
-                    doc.take(pa.array([i for i, _ in part])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x for _, x in part]).astype(np.int32))),
-                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for _, x in part], pa.string()),
-                    pa.array([d.hexdigest() for d in decoded], pa.string())], names=["doc_id", "ids", "ids_sha256", "decoded_sha256"])
+                    of_words()
+                words = numbers(packed)
+                if len(words) and words.max() >= len(counts):
+                    raise RuntimeError("words of a block are missing: the documents gave other rows when they were read again")
+                ids = flat[kernel.ragged(starts[words], counts[words])]
+                out.append((i, ids))
+                size += len(ids)
+                if size > SLICE:
+                    yield result(batch.column("doc"), out)
+                    out, size = [], 0
+            if out:
+                yield result(batch.column("doc"), out)
 
     return run
 
@@ -292,18 +403,21 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, blo
     ``ids_sha256`` is over the ids as little-endian 32-bit words, ``decoded_sha256`` over the bytes that the ids decode to.
     """
     spark = docs.sparkSession
-    shared = sent(spark.sparkContext, ranks)
+    shared, differences, buckets = sent(spark.sparkContext, ranks), class_differences(), partitions(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    split = written(docs.select(docs["doc_id"].alias("doc"), text_or_null(docs).alias("text")).mapInArrow(
-        split_batches(pattern, block, class_differences()), f"block long, doc {kind}, place int, word binary, positions binary"), "words")
-    words = split.where("word is not null").select("block", "place", "word")
-    encoded = words.select("word").distinct().mapInArrow(encode_words(shared), "word binary, ids binary")
-    of_blocks = words.join(encoded, "word").select("block", F.lit(None).cast(kind).alias("doc"), "place", "ids", F.lit(None).cast("binary").alias("positions"))
-    documents = split.where("positions is not null").select("block", "doc", "place", F.lit(None).cast("binary").alias("ids"), "positions")
-    blocks = of_blocks.unionByName(documents).repartition(partitions(spark), "block")
-    sorted_blocks = blocks.sortWithinPartitions("block", F.col("positions").isNotNull(), "place")
-    return sorted_blocks.select("block", "doc", "ids", "positions").mapInArrow(
-        reassemble(shared), f"doc_id {kind}, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    read = docs.select(docs["doc_id"].alias("doc"), text_or_null(docs).alias("text"))
+    words = read.mapInArrow(
+        word_batches(pattern, differences, block, buckets), "bucket int, block long, check long, place int, sizes binary, words binary")
+    ids = (
+        words.repartitionById(buckets, F.col("bucket")).mapInArrow(unpack_words, "word binary, block long, check long, place int")
+        .sortWithinPartitions("word").mapInArrow(encode_words(shared), "block long, check long, place int, ids binary")
+        .sortWithinPartitions("block", "place").mapInArrow(pack_ids, "block long, check long, place int, sizes binary, packed binary")
+    )
+    documents = read.mapInArrow(
+        document_batches(pattern, differences, block, buckets), f"block long, check long, doc {kind}, place int, packed binary")
+    blocks = ids.withColumn("doc", F.lit(None).cast(kind)).unionByName(documents.withColumn("sizes", F.lit(None).cast("binary")))
+    blocks = blocks.repartition(buckets, "block").sortWithinPartitions("block", F.col("sizes").isNull(), "place")
+    return blocks.mapInArrow(reassemble(shared), f"doc_id {kind}, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
