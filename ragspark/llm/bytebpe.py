@@ -31,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,10 +222,15 @@ def numbers(raw: bytes) -> np.ndarray:
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], most: int):
-    """(batch, first row, texts, block number, check sum) of every block; the numbers are the same at every reading."""
-    number = TaskContext.get().partitionId() << 32
+    """(batch, first row, texts, block number, check sum) of every block; the numbers are the same at every reading.
+
+    The batches have ``doc, part, text``; the part is a column because a task of a union has another number.
+    """
+    number = None
     for batch in batches:
-        for i, _, texts in kernel.text_blocks(batch.column(batch.num_columns - 1), most):
+        if number is None and batch.num_rows:
+            number = batch.column(1)[0].as_py() << 32
+        for i, _, texts in kernel.text_blocks(batch.column(2), most):
             check = 0
             for text in texts:
                 check = zlib.crc32(text, check)
@@ -405,7 +409,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, blo
     spark = docs.sparkSession
     shared, differences, buckets = sent(spark.sparkContext, ranks), class_differences(), partitions(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    read = docs.select(docs["doc_id"].alias("doc"), text_or_null(docs).alias("text"))
+    read = docs.select(docs["doc_id"].alias("doc"), F.spark_partition_id().alias("part"), text_or_null(docs).alias("text"))
     words = read.mapInArrow(
         word_batches(pattern, differences, block, buckets), "bucket int, block long, check long, place int, sizes binary, words binary")
     ids = (
