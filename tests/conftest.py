@@ -27,8 +27,3 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def folder() -> str:
     return SMALL
-
-
-def one(spark, **columns):
-    """Evaluate named expressions over one row."""
-    return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first()

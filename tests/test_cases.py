@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pytest
-from conftest import one
+from helpers import one
 from pyspark.sql import functions as F
 
 from ragspark.functions import audio as A
