@@ -270,17 +270,25 @@ def word_batches(pattern: str, differences: dict[int, str], block: int, buckets:
     return run
 
 
+class Numbered(dict):
+    """Gives every new key the next number."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 def document_batches(pattern: str, differences: dict[int, str], block: int, buckets: int):
     """Documents to the places of their words, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = splitter(pattern, differences)
         for batch, i, texts, number, check in blocks_of(batches, block):
-            seen: dict[str, int] = {}
+            seen = Numbered()
             found = []
             for text in texts:
                 words = words_of(text.decode())
-                found.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.uint32, len(words)))
+                found.append(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)))
             order, _ = by_bucket([w.encode() for w in seen], buckets)
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)

@@ -7,20 +7,27 @@ clean ones by far marks its words as toxic in toxic documents; every word of a c
 The chain weights maximise the conditional likelihood of those token labels.
 
 Forward and backward messages of a two-state chain are odds, so all lines of a block advance together,
-one multiplication-division per word.  Marginals give toxic spans (at least one half) and, through a
-logistic fit of their largest value and their sum, the document's score.
-
-The fit uses a bounded sample of labelled rows: at most ``docs_per_class`` documents of either label by
-hash of their id, at most ``DOC_WORDS`` words of each, from rows whose crc32(doc_id) is not divisible
-by 5.  The score is weighted back to the true share of labels.  Scoring covers whole texts of all rows.
+one multiplication-division per word.  Marginals give toxic spans (at least one half).  A document is judged
+by its worst stretch: of all runs of ``WINDOW`` words the one with the largest sum of marginals, whose sum
+and largest marginal enter a logistic fit.  Length alone does not raise a score: clean documents joined
+score as the worst of them does.
+
+The fit uses a bounded sample of labelled rows: about ``docs_per_class`` documents of either label (three
+times as many in all at most), chosen by hash of their id from rows whose crc32(doc_id) is not divisible by 5.
+Token labels and the logistic fit read these documents whole, in tasks.  Chains for the gradient are stretches
+of ``CHUNK`` words spread over the whole text, the last words included: at most ``chains_per_doc`` of a
+document chosen by hash, and of those without a toxic mark one in ``1 / UNMARKED``.  The score is weighted back
+to the true share of labels.  Scoring covers whole texts of all rows.
 
 Edge cases: null and empty texts have no words and get the score of a document without evidence; null
-labels are not learned from; a document with differing labels counts as its largest; without rows of both
-labels every score is the share of toxic rows, or 0; repeated rows are each scored; extra columns stay out.
+labels are not learned from; a document with differing labels counts as its largest; repeated rows enter the
+sample once; without rows of both labels every score is the share of toxic rows, or 0; repeated rows are each
+scored; extra columns stay out.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +38,13 @@ from pyspark.sql import functions as F
 from ragspark.llm import kernel
 from ragspark.llm.decontaminate import word_bytes
 from ragspark.llm.kernel import SpanHash
-from ragspark.llm.shared import held_out, opened, sent, text_or_null
+from ragspark.llm.shared import cut, held_out, opened, sent, text_or_null
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
-DOC_WORDS = 4096
 CHUNK = 64  # words of a training chain
+WINDOW = 64  # words of the stretch that a document is judged by
+UNMARKED = 0.15  # share of the chains without a mark that are learned from
 
 
 def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: SpanHash) -> np.ndarray:
@@ -87,6 +95,24 @@ def marginal_odds(emission: np.ndarray, lines: np.ndarray, lengths: np.ndarray,
     return out
 
 
+def slopes(score: np.ndarray, label: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the log-likelihood of ``label`` by every word's score (n x T) and by ``move`` (logarithms, 2 x 2)."""
+    e, c = np.exp(score), np.exp(move)
+    ahead, back = e.copy(), np.ones_like(e)
+    for t in range(1, e.shape[1]):
+        ahead[:, t] = e[:, t] * (c[0, 1] + c[1, 1] * ahead[:, t - 1]) / (c[0, 0] + c[1, 0] * ahead[:, t - 1])
+    for t in range(e.shape[1] - 2, -1, -1):
+        after = e[:, t + 1] * back[:, t + 1]
+        back[:, t] = (c[1, 0] + c[1, 1] * after) / (c[0, 0] + c[0, 1] * after)
+    odds = ahead * back
+    left, right = ahead[:, :-1], e[:, 1:] * back[:, 1:]
+    joint = np.ones_like(left) * c[0, 0], c[0, 1] * right, c[1, 0] * left, c[1, 1] * left * right
+    whole = sum(joint)
+    pairs = np.array([(x / whole).sum() for x in joint]).reshape(2, 2)
+    seen = np.array([((label[:, :-1] == i) & (label[:, 1:] == j)).sum() for i in (0, 1) for j in (0, 1)]).reshape(2, 2)
+    return label - odds / (1 + odds), seen - pairs
+
+
 class CRF:
     """Weights of features and moves; the clean state's weights are zero."""
 
@@ -109,29 +135,15 @@ class CRF:
         flat = f.reshape(-1, f.shape[-1])
         known, where = np.unique(flat, return_inverse=True)
         where = where.reshape(flat.shape).astype(np.int32)
-        y = label.astype(float)
         w, b, m = np.zeros(len(known)), self.bias, self.move.copy()
         g2, gb2, gm2 = np.full(len(known), 1e-6), 1e-6, np.full((2, 2), 1e-6)
-        seen = np.stack([((label[:, :-1] == i) & (label[:, 1:] == j)).sum() for i in (0, 1) for j in (0, 1)]).reshape(2, 2)
-        lines, lengths = np.arange(n) * CHUNK, np.full(n, CHUNK)
         for _ in range(rounds):
-            score = np.clip(b + w[where].sum(1), -30, 30)
-            e = np.exp(score)
-            move = np.exp(m)
-            odds = marginal_odds(e, lines, lengths, move)
-            p = (odds / (1 + odds)).reshape(n, CHUNK)
-            slope = (y - p).ravel()
+            slope, gm = slopes(np.clip(b + w[where].sum(1), -30, 30).reshape(n, CHUNK), label, m)
+            slope = slope.ravel()
             gw = np.zeros(len(known))
             for k in range(where.shape[1]):
                 gw += np.bincount(where[:, k], slope, len(known))
-            # pair marginals from the forward odds of the left word and the backward odds of the right one
-            ahead, back = self.messages(e.reshape(n, CHUNK), move)
-            right = e.reshape(n, CHUNK)[:, 1:] * back[:, 1:]
-            left = ahead[:, :-1]
-            joint = np.full_like(left, move[0, 0]), move[0, 1] * right, move[1, 0] * left, move[1, 1] * left * right
-            whole = sum(joint)
-            pairs = np.array([(x / whole).sum() for x in joint]).reshape(2, 2)
-            gm, gb = seen - pairs, slope.sum()
+            gb = slope.sum()
             gw, gm, gb = gw / n - decay * w, gm / n, gb / n
             g2, gm2, gb2 = g2 + gw * gw, gm2 + gm * gm, gb2 + gb * gb
             w += rate * gw / np.sqrt(g2)
@@ -141,17 +153,6 @@ class CRF:
         self.weight[known] = w
         self.bias, self.move = float(b), m
 
-    @staticmethod
-    def messages(e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        (c00, c01), (c10, c11) = move
-        ahead, back = e.copy(), np.ones_like(e)
-        for t in range(1, e.shape[1]):
-            ahead[:, t] = e[:, t] * (c01 + c11 * ahead[:, t - 1]) / (c00 + c10 * ahead[:, t - 1])
-        for t in range(e.shape[1] - 2, -1, -1):
-            after = e[:, t + 1] * back[:, t + 1]
-            back[:, t] = (c10 + c11 * after) / (c00 + c01 * after)
-        return ahead, back
-
     def calibrate(self, top: np.ndarray, mass: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
         """Logistic fit of document labels by Newton steps, with a small ridge."""
         x = np.stack((np.ones(len(top)), top, np.log1p(mass)), 1)
@@ -178,83 +179,128 @@ def words_of(texts: list[bytes], member: np.ndarray):
     return buf, bounds, starts, ends, cuts, first, np.diff(np.append(first, len(starts)))
 
 
-def document_totals(p: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Largest marginal and sum of marginals of every document."""
+def worst_stretch(p: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every document's run of ``WINDOW`` words with the largest sum of marginals: largest marginal and sum."""
     n = len(cuts) - 1
     top, mass = np.zeros(n), np.zeros(n)
-    has = np.flatnonzero(cuts[1:] > cuts[:-1])
-    if len(has):
-        top[has] = np.maximum.reduceat(p, cuts[has])
-        mass[has] = np.add.reduceat(p, cuts[has])
-    return top, mass
+    total = np.concatenate((np.zeros(1), np.cumsum(p)))
+    ends = np.minimum(np.arange(len(p)) + WINDOW, np.repeat(cuts[1:], np.diff(cuts)))
+    sums = total[ends] - total[:-1]
+    for d in np.flatnonzero(cuts[1:] > cuts[:-1]):
+        at = cuts[d] + int(sums[cuts[d] : cuts[d + 1]].argmax())
+        top[d], mass[d] = p[at : ends[at]].max(), sums[at]
+    return top, np.maximum(mass, 0)
+
 
+def block_marginals(crf: CRF, texts: list[bytes], hasher: SpanHash, member: np.ndarray):
+    buf, bounds, starts, ends, cuts, lines, lengths = words_of(texts, member)
+    return crf.marginals(features(buf, starts, ends, hasher), lines, lengths), buf, bounds, starts, ends, cuts
 
-def sampled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def held_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each feature that a document holds."""
     hasher, member = SpanHash(), word_bytes()
     for batch in batches:
-        out = []
-        for raw in kernel.blobs(batch.column("_text")):
-            buf, _, starts, ends, *_ = words_of([raw], member)
-            out.append(features(buf, starts[:DOC_WORDS], ends[:DOC_WORDS], hasher).astype("<i4").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("_toxic"), pa.array(out, pa.binary())], names=["toxic", "features"])
+        for toxic, raw in zip(batch.column("_toxic").to_pylist(), batch.column("_text").cast(pa.binary())):
+            buf, _, starts, ends, *_ = words_of([raw.as_py() or b""], member)
+            found = np.unique(features(buf, starts, ends, hasher))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), toxic, np.int32)), pa.array(found)], names=["toxic", "feature"])
 
 
-def token_labels(docs: list[np.ndarray], toxic: np.ndarray) -> list[np.ndarray]:
-    """Words of toxic documents with a feature that toxic documents hold far more often than clean ones."""
-    counts = np.zeros((2, BUCKETS))
-    for f, t in zip(docs, toxic):
-        counts[int(t), np.unique(f)] += 1
-    share = (counts + 0.5) / (np.array([[(~toxic).sum()], [toxic.sum()]]) + 1)
-    marks = (counts[1] >= 5) & (share[1] >= 12 * share[0])
-    return [marks[f].any(1) & bool(t) for f, t in zip(docs, toxic)]
+def chain_batches(shared, chains_per_doc: int):
+    """Training chains of sampled documents: features and tags of ``CHUNK`` words each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(BUCKETS, bool)
+        marks[opened(shared)] = True
+        hasher, member = SpanHash(), word_bytes()
+        for batch in batches:
+            out = []
+            for toxic, raw in zip(batch.column("_toxic").to_pylist(), batch.column("_text").cast(pa.binary())):
+                text = raw.as_py() or b""
+                buf, _, starts, ends, *_ = words_of([text], member)
+                f = features(buf, starts, ends, hasher)
+                if not len(f):
+                    continue
+                m = marks[f].any(1) & (toxic == 1)
+                if len(f) < CHUNK:
+                    f, m = np.resize(f, (CHUNK, f.shape[1])), np.resize(m, CHUNK)
+                first = np.unique(np.minimum(np.arange(0, len(f), CHUNK), len(f) - CHUNK))
+                marked = np.array([m[i : i + CHUNK].any() for i in first])
+                rng = np.random.default_rng([zlib.crc32(text), len(text)])
+                first = first[marked | (rng.random(len(first)) < UNMARKED)]
+                for i in np.sort(rng.permutation(first)[:chains_per_doc]):
+                    out.append((f[i : i + CHUNK].astype("<i4").tobytes(), m[i : i + CHUNK].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["features", "tags"])
 
-def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500) -> tuple[CRF | None, float]:
+    return run
+
+
+def stretch_batches(shared):
+    """What the logistic fit reads of every sampled document; the same as in scoring."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf: CRF = opened(shared)
+        hasher, member = SpanHash(), word_bytes()
+        for batch in batches:
+            for i, j, part in kernel.text_blocks(batch.column("_text"), 4 << 20):
+                p, *_, cuts = block_marginals(crf, part, hasher, member)
+                top, mass = worst_stretch(p, cuts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_toxic").slice(i, j - i), pa.array(top), pa.array(mass)], names=["toxic", "top", "mass"])
+
+    return run
+
+
+def labelled_sample(docs: DataFrame, marked: DataFrame, counts: dict[int, int], docs_per_class: int) -> DataFrame:
+    """``_toxic, _text`` of the sampled documents, written once; the bound holds whatever repeats."""
+    ticket = F.pmod(F.xxhash64("_id", F.lit("toxicity")), F.lit(1 << 30))
+    share = F.when(F.col("_toxic") == 1, docs_per_class / counts[1]).otherwise(docs_per_class / counts[0])
+    chosen = marked.where(ticket < share * (1 << 30)).orderBy(ticket, "_id").limit(3 * docs_per_class)
+    rows = docs.select(docs["doc_id"].alias("_doc"), text_or_null(docs).alias("_text")).join(
+        F.broadcast(chosen), F.col("_doc") == F.col("_id")).withColumn("_hash", F.xxhash64(F.coalesce("_text", F.lit(""))))
+    rows = cut(rows.select("_id", "_hash", "_toxic", "_text"))
+    keys = rows.select("_id", "_hash").distinct().orderBy("_hash", "_id").limit(3 * docs_per_class)
+    return rows.join(F.broadcast(keys), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_toxic", "_text")
+
+
+def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, chains_per_doc: int = 24) -> tuple[CRF | None, float]:
     """A fitted model, or None with the share of toxic rows if one label is missing."""
+    context = docs.sparkSession.sparkContext
     marked = labels.select(labels["doc_id"].alias("_id"), labels["toxic"].cast("int").alias("_toxic")).where(
         "_id is not null and _toxic in (0, 1)").where(~held_out(F.col("_id")))
     marked = marked.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     counts = {r["_toxic"]: r["n"] for r in marked.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
+    share = counts.get(1, 0) / total if total else 0.0
     if len(counts) < 2:
-        return None, counts.get(1, 0) / total if total else 0.0
-    ticket = F.pmod(F.xxhash64("_id", F.lit("toxicity")), F.lit(1 << 30))
-    share = F.when(F.col("_toxic") == 1, docs_per_class / counts[1]).otherwise(docs_per_class / counts[0])
-    # about docs_per_class rows of either label; the limit makes the bound of the broadcast certain
-    chosen = marked.where(ticket < share * (1 << 30)).orderBy(ticket, "_id").limit(3 * docs_per_class)
-    rows = docs.select(docs["doc_id"].alias("_doc"), text_or_null(docs).alias("_text")).join(
-        F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_toxic", "_text")
-    sample = rows.mapInArrow(sampled_features, "toxic int, features binary").limit(3 * docs_per_class).toArrow()
-    toxic = sample.column("toxic").to_numpy() == 1
-    found = [np.frombuffer(x, "<i4").reshape(-1, len(PREFIXES) + 1) for x in sample.column("features").to_pylist()]
-    order = sorted(range(len(found)), key=lambda i: (toxic[i], found[i].tobytes()))
-    found, toxic = [found[i] for i in order], toxic[order]
-    if not toxic.any() or toxic.all():
-        return None, counts[1] / total
-    marks = token_labels(found, toxic)
+        return None, share
+    sample = cut(labelled_sample(docs, marked, counts, docs_per_class))
+    size = {r["_toxic"]: r["n"] for r in sample.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    if len(size) < 2:
+        return None, share
+    # words of toxic documents with a feature that toxic documents hold far more often than clean ones
+    held = sample.mapInArrow(held_features, "toxic int, feature int").groupBy("feature").agg(
+        F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
+    often = held.where((F.col("bad") >= 5) & ((F.col("bad") + 0.5) / (size[1] + 1) >= 12 * (F.col("good") + 0.5) / (size[0] + 1)))
+    marks = np.sort(often.select("feature").toArrow().column("feature").to_numpy())
+    chains = sample.mapInArrow(chain_batches(sent(context, marks), chains_per_doc), "features binary, tags binary").toArrow()
+    if not chains.num_rows:
+        return None, share
+    chains = chains.sort_by([("features", "ascending"), ("tags", "ascending")])  # the same order whatever the tasks' order
+    f = np.frombuffer(b"".join(chains.column("features").to_pylist()), "<i4").reshape(-1, CHUNK, len(PREFIXES) + 1)
+    tags = np.frombuffer(b"".join(chains.column("tags").to_pylist()), bool).reshape(-1, CHUNK)
+    del chains
     crf = CRF()
-    chains, tags = [], []
-    rng = np.random.default_rng(1)
-    for f, m in zip(found, marks):
-        n = len(f) // CHUNK * CHUNK
-        if n == 0 and len(f):
-            f, m, n = np.resize(f, (CHUNK, f.shape[1])), np.resize(m, CHUNK), CHUNK
-        c, t = f[:n].reshape(-1, CHUNK, f.shape[1]), m[:n].reshape(-1, CHUNK)
-        take = t.any(1) | (rng.random(len(t)) < 0.15)
-        chains.append(c[take])
-        tags.append(t[take])
-    crf.fit(np.concatenate(chains), np.concatenate(tags))
-    del chains, tags, marks
-    totals = []
-    for i in range(0, len(found), 256):
-        part = found[i : i + 256]
-        sizes = np.array([len(f) for f in part])
-        p = crf.marginals(np.concatenate(part), (np.cumsum(sizes) - sizes)[sizes > 0], sizes[sizes > 0])
-        totals.append(document_totals(p, np.concatenate(([0], np.cumsum(sizes)))))
-    top, mass = (np.concatenate(x) for x in zip(*totals))
+    crf.fit(f, tags)
+    del f, tags
+    seen = sample.mapInArrow(stretch_batches(sent(context, crf)), "toxic int, top double, mass double").toArrow()
+    seen = seen.sort_by([(c, "ascending") for c in ("toxic", "top", "mass")])
+    toxic = seen.column("toxic").to_numpy() == 1
     weight = np.where(toxic, counts[1] / toxic.sum(), counts[0] / (~toxic).sum()) / total * len(toxic)
-    crf.calibrate(top, mass, toxic.astype(float), weight)
-    return crf, counts[1] / total
+    crf.calibrate(seen.column("top").to_numpy(), seen.column("mass").to_numpy(), toxic.astype(float), weight)
+    return crf, share
 
 
 def score_batches(shared):
@@ -263,11 +309,10 @@ def score_batches(shared):
         hasher, member = SpanHash(), word_bytes()
         for batch in batches:
             for i, j, part in kernel.text_blocks(batch.column("_text"), 4 << 20):
-                buf, bounds, starts, ends, cuts, lines, lengths = words_of(part, member)
-                p = crf.marginals(features(buf, starts, ends, hasher), lines, lengths)
-                top, mass = document_totals(p, cuts)
+                p, buf, bounds, starts, ends, cuts = block_marginals(crf, part, hasher, member)
+                top, mass = worst_stretch(p, cuts)
                 spans: list[list] = [[] for _ in part]
-                for d in np.flatnonzero(top >= 0.5):
+                for d in np.unique(np.searchsorted(cuts, np.flatnonzero(p >= 0.5), "right") - 1):
                     at = np.arange(cuts[d], cuts[d + 1])[p[cuts[d] : cuts[d + 1]] >= 0.5]
                     lead = np.concatenate(([0], np.cumsum((buf[bounds[d] : bounds[d + 1]] & 0xC0) != 0x80)))
                     run_start = np.concatenate(([True], at[1:] != at[:-1] + 1))
