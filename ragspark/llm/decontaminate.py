@@ -286,13 +286,28 @@ def contaminated(n_hit="n_hit", n_words="n_words"):
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
+def without_spans(text, spans):
+    """``text`` without the ranges ``spans`` (start and end in code points, ordered, disjoint)."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(text)))
+    return F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(text, a + 1, b - a)), "")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
-    """``docs`` without the contaminated documents; the others unchanged.
+    """``docs`` without the contaminated documents, and without the hit spans of the others.
 
-    Rows are joined back by (id, text), so rows that share an id are judged each by its own text.
+    Rows are joined back by (id, text), so rows that share an id are judged each by its own text.  A document that
+    loses spans has its ``n_chars`` counted anew, if there is such a column; the others are unchanged.
     """
-    key = F.xxhash64(docs["doc_id"], text_or_null(docs))
+    text = text_or_null(docs)
+    key = F.xxhash64(docs["doc_id"], text)
     tagged = docs.select(F.struct("*").alias("_doc"), key.alias("_key"))
-    flat = docs.select(key.alias("doc_id"), text_or_null(docs).alias("text"))
-    bad = contamination(flat, benchmark, width).where(contaminated()).select(F.col("doc_id").alias("_key")).distinct()
-    return tagged.join(bad, "_key", "left_anti").select("_doc.*")
+    flat = docs.select(key.alias("doc_id"), text.alias("text"))
+    hit = contamination(flat, benchmark, width).where("n_hit > 0").select(
+        F.col("doc_id").alias("_key"), contaminated().alias("_bad"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
+    left = without_spans(F.col("_doc.text").cast("string"), F.col("_spans"))
+    mended = F.col("_doc").withField("text", left.cast(docs.schema["text"].dataType))
+    if "n_chars" in docs.columns:
+        mended = mended.withField("n_chars", F.char_length(left).cast(docs.schema["n_chars"].dataType))
+    kept = tagged.join(hit, "_key", "left").where("_bad is null or not _bad")
+    return kept.select(F.when(F.col("_spans").isNull(), F.col("_doc")).otherwise(mended).alias("_doc")).select("_doc.*")

@@ -31,6 +31,7 @@ from ragspark.llm.shared import held_out, opened, sent, text_or_null
 WIDTH = 32
 BLOCK = 2 << 20
 SAMPLE_CHARS = 2000
+SURE = 200  # bytes of words from which on a text is judged sharply
 MAX_LANGUAGES = 512
 LETTER = r"\p{L}"
 
@@ -145,13 +146,13 @@ def word_units(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return begin, np.minimum(begin + WIDTH, np.repeat(ends, pieces))
 
 
-def pooled(net: BiGRU, hasher: SpanHash, texts: list[bytes]) -> np.ndarray:
-    """Mean probabilities over all positions of every text; zeros where no word holds a letter."""
+def pooled(net: BiGRU, hasher: SpanHash, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean probabilities over all positions of every text, zeros where no word holds a letter; the number of positions."""
     buf, bounds = kernel.joined([x.lower() for x in texts])
     starts, ends = word_units(buf, bounds)
     labels = len(net.p["bias"])
     if not len(starts):
-        return np.zeros((len(texts), labels))
+        return np.zeros((len(texts), labels)), np.zeros(len(texts), np.int64)
     _, one, inverse = np.unique(hasher(buf, starts, ends), return_index=True, return_inverse=True)
     sums = np.zeros((len(one), labels), np.float32)
     size = (ends - starts)[one]
@@ -164,35 +165,38 @@ def pooled(net: BiGRU, hasher: SpanHash, texts: list[bytes]) -> np.ndarray:
     out = np.zeros((len(texts), labels))
     has = np.flatnonzero(cuts[1:] > cuts[:-1])
     out[has] = np.add.reduceat(sums[inverse], cuts[has], axis=0, dtype=np.float64)
-    length = np.add.reduceat(ends - starts, cuts[has])
-    out[has] /= length[:, None]
-    return out
+    length = np.zeros(len(texts), np.int64)
+    length[has] = np.add.reduceat(ends - starts, cuts[has])
+    out[has] /= length[has, None]
+    return out, length
 
 
-def predict_batches(shared, column: str, letters: str):
-    """Append ``_lang`` and ``_score`` to batches; ``letters`` names a flag column: the text has a letter."""
+def predict_batches(shared):
+    """``row, text, letters`` (the text has a letter) to ``row, lang, score, positions``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, net = opened(shared)
+        names, net, _ = opened(shared)
         hasher = SpanHash()
         for batch in batches:
-            for i, j, texts in kernel.text_blocks(batch.column(column), BLOCK):
+            for i, j, texts in kernel.text_blocks(batch.column(1), BLOCK):
                 rows = batch.slice(i, j - i)
-                prob = pooled(net, hasher, texts)
+                prob, length = pooled(net, hasher, texts)
                 best = prob.argmax(1)
                 found = prob[np.arange(len(prob)), best]
-                known = np.asarray(rows.column(letters).fill_null(False)) & (found > 0)
+                known = np.asarray(rows.column(2).fill_null(False)) & (found > 0)
                 lang = [names[b] if k else "und" for b, k in zip(best, known)]
                 score = np.clip(np.where(known, found, 0.0), 0.0, 1.0)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                                 names=[*batch.schema.names, "_lang", "_score"])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(length, pa.int64())],
+                    names=["row", "lang", "score", "positions"])
 
     return run
 
 
-def train(docs: DataFrame, docs_per_language: int = 500, hidden: int = 16) -> tuple[list[str], BiGRU] | None:
+def train(docs: DataFrame, docs_per_language: int = 500, hidden: int = 16) -> tuple[list[str], BiGRU, float] | None:
     """A network fitted to a bounded sample of the rows that may be learned from; None without such rows.
 
-    At most 8 000 documents in all are taken, chosen by a hash of their id.
+    The third value is the score that a text of a learned language reaches: half way from chance to the score that all
+    but a hundredth of the sample have.  At most 8 000 documents in all are taken, chosen by a hash of their id.
     """
     rows = docs.select(docs["doc_id"].alias("_id"), text_or_null(docs).alias("_text"), docs["lang"].cast("string").alias("_lang")).where(
         ~held_out(F.col("_id")) & F.col("_lang").isNotNull() & F.col("_text").rlike(LETTER))
@@ -211,37 +215,55 @@ def train(docs: DataFrame, docs_per_language: int = 500, hidden: int = 16) -> tu
     taken = rows.join(share, F.col("_lang") == F.col("_name")).where(ticket < F.col("_share") * (1 << 30)).select(
         "_lang", ticket.alias("_ticket"), F.substring(F.col("_text"), start, F.lit(SAMPLE_CHARS)).alias("_text"))
     sample = taken.orderBy("_ticket", "_text").limit(2 * want * len(names)).collect()
-    words, target = [], []
+    words, target, whole = [], [], []
     for r in sample:
         raw = r["_text"].encode().lower()
         buf, bounds = kernel.joined([raw])
         starts, ends = word_units(buf, bounds)
         words += [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
         target += [names.index(r["_lang"])] * len(starts)
-    net = BiGRU(len(names), hidden)
-    if words:
-        net.fit(words, np.array(target))
-    return names, net
+        whole.append(raw)
+    net, chance = BiGRU(len(names), hidden), 1 / len(names)
+    if not words:
+        return names, net, chance
+    net.fit(words, np.array(target))
+    reached, length = pooled(net, SpanHash(), whole)
+    reached = reached.max(1)[length > 0]
+    return names, net, chance + 0.5 * max(0.0, float(np.quantile(reached, 0.01)) - chance)
+
+
+def judged(docs: DataFrame, model: tuple[list[str], BiGRU, float] | None) -> DataFrame:
+    """``row`` (a struct of the columns of ``docs``), ``lang``, ``score`` and ``positions`` (bytes of words with a letter)."""
+    text = text_or_null(docs)
+    rows = docs.select(F.struct("*").alias("row"), text.alias("text"), F.coalesce(text.rlike(LETTER), F.lit(False)).alias("letters"))
+    if model is None:
+        return rows.select("row", F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("positions"))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("positions", T.LongType())])
+    return rows.mapInArrow(predict_batches(sent(docs.sparkSession.sparkContext, model)), schema)
 
 
 def with_language(docs: DataFrame, docs_per_language: int = 500) -> DataFrame:
-    """``docs`` with ``_lang`` and ``_score`` beside its columns."""
-    model = train(docs, docs_per_language)
-    if model is None:
-        return docs.withColumns({"_lang": F.lit("und"), "_score": F.lit(0.0)})
-    text = text_or_null(docs)
-    flagged = docs.withColumns({"_plain": text, "_letters": F.coalesce(text.rlike(LETTER), F.lit(False))})
-    schema = T.StructType([*flagged.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
-    shared = sent(docs.sparkSession.sparkContext, model)
-    return flagged.mapInArrow(predict_batches(shared, "_plain", "_letters"), schema).drop("_plain", "_letters")
+    """``docs`` with ``_lang`` and ``_score`` beside its columns (which should not have these names)."""
+    found = judged(docs, train(docs, docs_per_language))
+    return found.select("row.*", F.col("lang").alias("_lang"), F.col("score").alias("_score"))
 
 
 def language_report(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row."""
-    named = with_language(docs.select("doc_id", "text", "lang"))
-    return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    found = judged(docs.select("doc_id", "text", "lang"), train(docs))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
 
+def accepted(docs: DataFrame, sure: int = SURE) -> DataFrame:
+    """``docs`` without rows that have no language or are of none of the learned ones.
 
-def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """``docs`` without rows that have no language, or none with ``least`` of the probability."""
-    return with_language(docs).where((F.col("_lang") != "und") & (F.col("_score") >= least)).drop("_lang", "_score")
+    A text has to reach the score that ``train`` derives from the learned rows; for one of fewer than ``sure`` bytes
+    of words the demand falls in proportion, down to chance.  With one learned language nothing but texts
+    without a letter can be told apart.
+    """
+    model = train(docs)
+    chance, least = (1 / len(model[0]), model[2]) if model else (0.0, 0.0)
+    demand = F.lit(chance) + F.lit(least - chance) * F.least(F.lit(1.0), F.col("positions") / F.lit(float(sure)))
+    return judged(docs, model).where((F.col("lang") != "und") & (F.col("score") >= demand)).select("row.*")

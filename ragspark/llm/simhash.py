@@ -61,9 +61,9 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 def fingerprint_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             found = [fingerprint(x.as_py() or b"", words) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["_doc", "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], names=["_doc", "_key", "_fp"])
 
     return run
 
@@ -174,30 +174,41 @@ def fingerprint_links(fingerprints: DataFrame, count: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet(bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` per row: fingerprints at most three bits apart are linked.
+def row_key(docs: DataFrame) -> Column:
+    """The same for rows with equal id and text."""
+    return F.xxhash64(docs["doc_id"], text_or_null(docs))
 
-    ``fingerprint`` is 16 lowercase hex digits, ``component_id`` the smallest doc_id reachable.
-    """
-    pairs = docs.select(docs["doc_id"].alias("_doc"), text_or_null(docs).alias("_text"))
-    kind = pairs.schema["_doc"].dataType.simpleString()
-    pairs = cut(pairs.mapInArrow(fingerprint_batches(words), f"_doc {kind}, _fp long"))
+
+def grouped(docs: DataFrame, words: int) -> DataFrame:
+    """``_doc, _key, _fp, class, root`` per row: ``class`` names the component, ``root`` is its smallest id."""
+    rows = docs.select(docs["doc_id"].alias("_doc"), row_key(docs).alias("_key"), text_or_null(docs).alias("_text"))
+    kind = rows.schema["_doc"].dataType.simpleString()
+    pairs = cut(rows.mapInArrow(fingerprint_batches(words), f"_doc {kind}, _key long, _fp long"))
     nodes = cut(pairs.groupBy(F.col("_fp").alias("fp")).agg(F.min("_doc").alias("least")))
     labels = components(fingerprint_links(nodes.select("fp"), nodes.count()))
     label = F.coalesce("label", "fp")
     classed = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", label.alias("class"))
     roots = classed.groupBy("class").agg(F.min("least").alias("root"))
-    classed = classed.join(roots, "class").select("fp", "root")
-    return pairs.join(classed, F.col("_fp") == F.col("fp")).select(
-        F.col("_doc").alias("doc_id"), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
-        F.col("root").alias("component_id"),
-    )
+    classed = classed.join(roots, "class").select("fp", "class", "root")
+    return pairs.join(classed, F.col("_fp") == F.col("fp"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` per row: fingerprints at most three bits apart are linked.
+
+    ``fingerprint`` is 16 lowercase hex digits, ``component_id`` the smallest doc_id reachable.
+    """
+    return grouped(docs, words).select(
+        F.col("_doc").alias("doc_id"), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("root").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's, one row for each such id."""
-    chosen = near_duplicates(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_chosen")).distinct()
-    rows = docs.select(F.struct("*").alias("_doc"), docs["doc_id"].alias("_key"))
-    kept = rows.join(chosen, F.col("_key").eqNullSafe(F.col("_chosen")), "left_semi")
+    """One row of ``docs`` for each component: the smallest id, null last, of equal ids the smallest hash of (id, text).
+
+    Rows of different components stay whatever their ids: none is lost by a null or repeated id.
+    """
+    first = F.min(F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_key"))
+    chosen = grouped(docs, words).groupBy("class").agg(first.alias("first")).select(F.col("first._key").alias("_chosen"))
+    rows = docs.select(F.struct("*").alias("_doc"), row_key(docs).alias("_key"))
+    kept = rows.join(chosen, F.col("_key") == F.col("_chosen"), "left_semi")
     return kept.dropDuplicates(["_key"]).select("_doc.*")
