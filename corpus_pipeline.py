@@ -4,14 +4,18 @@
 written as Parquet and read again as the next one's ``docs``.  All but the last keep the columns of
 ``documents``:
 
-1. language ID rejects documents without a letter and those in which no language holds 0.3 of the probability;
+1. language ID rejects documents without a letter and those that fall short of the score that texts of the learned
+   languages reach (see ``langid.accepted``);
 2. line dedup takes out lines that at least 10 documents share, all but the first line of the first of these
    documents (in the order of the ids as text); ``n_chars`` is counted anew;
 3. SimHash near-dedup keeps the document with the smallest id of every group;
-4. decontamination drops documents of which a twentieth or more lies in benchmark passages;
+4. decontamination drops documents of which a twentieth or more lies in benchmark passages, and cuts the benchmark
+   passages out of the others;
 5. SentencePiece encoding returns ``doc_id, n_pieces, ids, round_trip``.
 
-Nulls, empty texts and empty tables pass as the operators define them.
+Null texts and texts without a letter end at the first stage.  Texts that lose all their lines are empty and meet as
+one empty document.  Null and repeated ids lose no row: groups and passages are told by (id, text), and of rows equal
+in both one stays.  Empty tables give empty results; extra columns pass whatever their names.
 """
 
 from __future__ import annotations
