@@ -3,9 +3,9 @@
 One query is a literal folded into the scan.  A batch of queries is scored in Arrow blocks with
 numpy: only the running top k of each task leaves it, never a (query, vector) pair.
 
-Queries travel in blocks of at most about ``QUERY_BYTES``, each one pass over the corpus, which is never
-shuffled or replicated.  A block is scored in tiles of ``TILE_QUERIES`` queries by ``TILE_ROWS`` vectors,
-so a task's memory depends on neither side's size.  The driver handles one block at a time.
+Queries of at most ``QUERY_BYTES`` in all are broadcast and take one pass over the corpus, which is neither
+shuffled nor replicated; they are scored in tiles of ``TILE_QUERIES`` queries by ``TILE_ROWS`` vectors.  More
+queries go as rows to the pivot cells of the corpus that they have to read (see ``cells``).
 """
 
 from __future__ import annotations
@@ -76,9 +76,9 @@ def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _TopK:
     """Running top k of one tile of queries; order is score descending, ids ascending."""
 
-    def __init__(self, query_ids: pa.Table, unit: np.ndarray, bad: np.ndarray, k: int):
+    def __init__(self, query_ids: pa.Table, unit: np.ndarray, bad: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.query_ids, self.unit, self.bad, self.k = query_ids, unit, bad, k
-        self.floor = np.full(len(unit), -np.inf, dtype=np.float32)
+        self.floor = np.full(len(unit), -np.inf, dtype=np.float32) if floor is None else floor
         self.query = np.empty(0, dtype=np.int64)
         self.score = np.empty(0, dtype=np.float32)
         self.ids: pa.Table | None = None
@@ -127,25 +127,19 @@ class _TopK:
         yield from out.append_column("score", pa.array(self.score)).select(columns).to_batches()
 
 
-def _tiles(query_ids: pa.Table, matrix: np.ndarray, k: int) -> list[_TopK]:
+def _tiles(query_ids: pa.Table, matrix: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[_TopK]:
+    """``floor``: scores below it are of no use to the query."""
     unit, bad = _unit(matrix)
-    cuts = range(0, len(unit), TILE_QUERIES)
-    return [_TopK(query_ids.slice(i, TILE_QUERIES), unit[i:i + TILE_QUERIES], bad[i:i + TILE_QUERIES], k) for i in cuts]
+    cuts = [slice(i, i + TILE_QUERIES) for i in range(0, len(unit), TILE_QUERIES)]
+    return [_TopK(query_ids.slice(c.start, TILE_QUERIES), unit[c], bad[c], k, None if floor is None else floor[c].copy()) for c in cuts]
 
 
-def _blocks(asked: DataFrame, query_cols: Sequence[str], vector_col: str, dimensions: int,
-            query_bytes: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Query ids and vectors in blocks by hash, with a quarter of slack over the expected share."""
+def _one_block(asked: DataFrame, query_cols: Sequence[str], query_bytes: int, dimensions: int) -> bool:
+    """Whether the queries' ids and vectors fit a broadcast of ``query_bytes``."""
     width = F.lit(dimensions * 8).cast("bigint")
     for c in query_cols:
         width = width + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
-    total = asked.agg(F.sum(width)).first()[0] or 0
-    n = 1 if total <= query_bytes else -(-total * 5 // (query_bytes * 4))
-    for i in range(n):
-        part = asked if n == 1 else asked.where(F.pmod(F.xxhash64(*query_cols), F.lit(n)) == i)
-        table = part.toArrow()
-        matrix, where = _matrix(table.column(vector_col), dimensions)
-        yield table.select(list(query_cols)).take(pa.array(where)), matrix
+    return (asked.agg(F.sum(width)).first()[0] or 0) <= query_bytes
 
 
 def search_batch(
@@ -173,28 +167,31 @@ def search_batch(
     columns = [f.name for f in schema]
     context = corpus.sparkSession.sparkContext
 
-    def one_pass(block: tuple[pa.Table, np.ndarray]) -> DataFrame:
-        # plain Arrow and numpy values: a broadcast is unpickled without the package
-        shared = context.broadcast(block)
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tiles = _tiles(*shared.value, k)
-            for batch in batches:
-                for start in range(0, batch.num_rows, TILE_ROWS):
-                    part = batch.slice(start, TILE_ROWS)
-                    rows, where = _matrix(part.column(vector_col), dimensions)
-                    if len(rows):
-                        ids = pa.Table.from_batches([part.select(id_cols)]).take(pa.array(where))
-                        unit, bad = _unit(rows)
-                        for tile in tiles:
-                            tile.add(ids, unit, bad)
-            for tile in tiles:
-                yield from tile.result(columns)
-
-        return narrow.mapInArrow(score, schema)
-
-    passes = [one_pass(b) for b in _blocks(asked, query_cols, query_vector_col, dimensions, query_bytes)]
-    partial = reduce(DataFrame.unionByName, passes)
+    if not _one_block(asked, query_cols, query_bytes, dimensions):
+        from ragspark.operators.cells import build_cells, search_cells
+
+        index = build_cells(narrow, id_cols, dimensions, vector_col)
+        return search_cells(index, asked, id_cols, query_cols, dimensions, k, vector_col, query_vector_col)
+    table = asked.toArrow()
+    matrix, where = _matrix(table.column(query_vector_col), dimensions)
+    # plain Arrow and numpy values: a broadcast is unpickled without the package
+    shared = context.broadcast((table.select(query_cols).take(pa.array(where)), matrix))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles = _tiles(*shared.value, k)
+        for batch in batches:
+            for start in range(0, batch.num_rows, TILE_ROWS):
+                part = batch.slice(start, TILE_ROWS)
+                rows, where = _matrix(part.column(vector_col), dimensions)
+                if len(rows):
+                    ids = pa.Table.from_batches([part.select(id_cols)]).take(pa.array(where))
+                    unit, bad = _unit(rows)
+                    for tile in tiles:
+                        tile.add(ids, unit, bad)
+        for tile in tiles:
+            yield from tile.result(columns)
+
+    partial = narrow.mapInArrow(score, schema)
     # said here once, so that every use of the hits has the same exchange and the corpus is scored once
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*query_cols, *id_cols)])
     # the row limit is applied before the shuffle too

@@ -75,9 +75,9 @@ def test_tiles_are_bounded_and_the_corpus_is_not_shuffled(spark):
     assert [t.query_ids.column("q")[0].as_py() for t in tiles] == [0, 512, 1024]
     c = spark.range(50).selectExpr("id", "array(cast(id as float), 1f) as embedding")
     q = spark.range(40).selectExpr("id as q", "array(1f, cast(id as float)) as query_vector")
-    plan = S.search_batch(c, q, ["id"], ["q"], 2, 3, query_bytes=160)._jdf.queryExecution().executedPlan().toString()
+    plan = S.search_batch(c, q, ["id"], ["q"], 2, 3)._jdf.queryExecution().executedPlan().toString()
     scoring = [i for i, line in enumerate(plan.splitlines()) if "MapInArrow" in line]
-    assert len(scoring) == 6  # 640 bytes of vectors and 70 of ids, with the slack, in blocks of 160
+    assert len(scoring) == 1
     assert all("Exchange" not in line for line in plan.splitlines()[scoring[0]:])
 
 
