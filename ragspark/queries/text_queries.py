@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as T
@@ -83,20 +84,22 @@ def id_windows(spark, folder):
     ))
 
 
-def letter_vocabulary(spark, folder, size: int = 30_000) -> dict[str, int]:
-    """The ``size`` most frequent word pieces of the corpus: letters, continued letters, short heads.
+def letter_vocabulary(spark, folder, size: int = 30_000):
+    """A table ``token, id`` of the ``size`` most frequent word pieces of the corpus: letters, continued letters, short heads.
 
     ``size`` is the vocabulary's own size, as a model file would fix it: pieces beyond it do not exist and
     their words become unknown.  Words are counted first, so the shuffle moves each distinct word once per task.
     """
     words = _chunk_rows(spark, folder).select(F.explode(T.pretokens(F.col("text"))).alias("w")).groupBy("w").count()
-    letters = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(F.col("w"), i, F.lit(1)))
+    letters = F.split("w", "")
     pieces = F.array_distinct(F.concat(
         letters, F.transform(letters, lambda c: F.concat(F.lit("##"), c)), F.array(F.substring("w", 1, 2), F.substring("w", 1, 3))
     ))
     counted = words.select(F.explode(pieces).alias("p"), "count").groupBy("p").agg(F.sum("count").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "p").limit(size).collect()
-    return {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *[r["p"] for r in rows]])}
+    fixed = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
+    top = counted.orderBy(F.desc("n"), "p").limit(size)  # numbered by one task: no more rows than the vocabulary
+    ranked = top.select(F.col("p").alias("token"), (F.row_number().over(Window.orderBy(F.desc("n"), "p")) + len(fixed) - 1).alias("id"))
+    return spark.createDataFrame(list(zip(fixed, range(len(fixed)))), "token string, id int").unionByName(ranked)
 
 
 # the longest piece at every position of every distinct word, then a walk from match to match
@@ -120,7 +123,7 @@ SELECT doc_id, ordinal, window_no, len(part) + 2 AS n_active,
   md5('2,' || CASE WHEN len(part) > 0 THEN array_to_string(part, ',') || ',' ELSE '' END || '3' || repeat(',0', 254 - len(part))) AS ids_md5 FROM win""")
 def wordpiece_windows(spark, folder):
     """Framed WordPiece windows of every chunk."""
-    pieces = WordPiece(spark, letter_vocabulary(spark, folder))
+    pieces = WordPiece.from_table(letter_vocabulary(spark, folder))
     rows = pieces.window_rows(_chunk_rows(spark, folder))
     return plain(rows.select(
         "doc_id", "ordinal", "window_no", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"),

@@ -223,3 +223,37 @@ def test_progress_against_a_plain_loop(spark):
                 want.append((k, i))
     df = spark.createDataFrame(rows, "k string, i int, done long, total long")
     assert sorted((r.k, r.i) for r in Q.progress_steps(df, ["k"], "i", "done", "total").collect()) == sorted(want)
+
+
+def _pieces_by_hand(word, ids, unknown):
+    if len(word) > 100:
+        return [unknown]
+    out, at = [], 0
+    while at < len(word):
+        prefix = "##" if at else ""
+        cut = next((e for e in range(len(word), at, -1) if prefix + word[at:e] in ids), None)
+        if cut is None:
+            return [unknown]
+        out.append(ids[prefix + word[at:cut]])
+        at = cut
+    return out
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 128])
+def test_longest_match_of_many_words_equals_the_plain_one(monkeypatch, piece):
+    from ragspark.operators import wordpiece as W
+
+    monkeypatch.setattr(W, "PIECE", piece)
+    rng = random.Random(piece)
+    letters = "abcé漢𝒳"
+
+    def draw(n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    tokens = {draw(rng.randint(1, 6)) for _ in range(150)} | {"##" + draw(rng.randint(1, 5)) for _ in range(150)} | {"##", "a" * 99, "##c" + "b" * 98}
+    ids = {t: i for i, t in enumerate(sorted(tokens))}
+    words = [draw(rng.randint(1, 14)) for _ in range(3000)] + ["a" * 99, "a" * 100, "c" * 101, "zzz", "##a", "", "a" + "c" + "b" * 98]
+    found, counts = W.Pieces(ids, 777).encode(pa.array(words))
+    want = [_pieces_by_hand(w, ids, 777) for w in words]
+    assert counts.tolist() == [len(x) for x in want]
+    assert found.tolist() == [i for x in want for i in x]
