@@ -23,6 +23,8 @@ HISTORY_TEXT_CHARS = 20_000
 # Web evidence limits
 WEB_BODY_BYTES = 512 * 1024
 WEB_BODY_TOO_LARGE = "Web response exceeded the safety limit"
+ENCYCLOPEDIA_FAILED = "Web search could not be completed"
+SEARCH_FAILED = "Brave Search could not be completed"
 DOCUMENT_TOO_LARGE = "Document exceeds the 200 MB limit"
 WEB_QUERY_CHARS = (2, 400)
 WEB_MAX_RESULTS = 5

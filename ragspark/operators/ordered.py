@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragspark.sources.tables import written
+
 
 @dataclass(frozen=True)
 class Ordering:
@@ -101,6 +103,23 @@ def with_index(df: DataFrame, by: Ordering, name: str = "seq") -> DataFrame:
     return scan(df, by, {name: Running("sum", F.lit(1).cast("bigint"))})
 
 
+def with_place(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """One-based place of every row in the order of the whole table, without a key to split it by.
+
+    Rows are range-partitioned by sampled bounds and sorted, written with their position inside the range, and get
+    the rows of the ranges before theirs added: one number a range.  Ties should be decided by ``order``.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once: bounds drawn a second time would give other ranges
+    rows = written(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    range_of = F.shiftright("_at", 33)
+    sizes = rows.groupBy(range_of.alias("_range")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))  # at most ``ranges`` rows
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(starts), range_of == F.col("_range")).select(*df.columns, (F.col("_before") + inside + 1).alias(name))
+
+
 def with_halo(df: DataFrame, index: str, block_rows: int, before: int) -> DataFrame:
     """Split dense positions into blocks and copy the ``before`` rows ahead of each block into it.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import fixed as X
 from ragspark.functions import text as T
+from ragspark.operators.ordered import with_place
 
 # How results are labelled, including one no path produces any more.
 PROVIDERS = ("ML_KIT_PLAY_SERVICES", "LOCAL_OPUS_ONNX", "UNAVAILABLE")
@@ -28,6 +29,11 @@ def language_options(rows: DataFrame, tag: str, display: str | None = None) -> D
     return best.select("tag", F.coalesce("_name", "tag").alias("display_name"))
 
 
+def sorted_options(options: DataFrame) -> DataFrame:
+    """Options with their ``place`` in caseless order of the display name, then the tag."""
+    return with_place(options.withColumn("_key", F.lower("display_name")), "_key", "tag").drop("_key")
+
+
 def matches_language(query: Column, name: Column, tag: Column) -> Column:
     """Autocomplete: the trimmed lowercase query is part of the name or tag; a blank one matches all."""
     q = F.lower(T.trim_all(query))

@@ -34,9 +34,16 @@ def _filled(c: Column) -> Column:
     return ~T.is_blank(F.coalesce(c, F.lit("")))
 
 
+def _time(retrieved: Column | None) -> list[Column]:
+    return [] if retrieved is None else [F.coalesce(retrieved.cast("bigint"), F.lit(0).cast("bigint")).alias("retrieved_ms")]
+
+
 def encyclopedia_evidence(rows: DataFrame, page_id: str, title: str, extract: str, url: str, keep: list[str] = (),
-                          host: str = U.ENCYCLOPEDIA_HOST) -> DataFrame:
-    """Evidence from encyclopedia results; rows without id, title, extract or a trusted URL drop out."""
+                          host: str = U.ENCYCLOPEDIA_HOST, retrieved: Column | None = None) -> DataFrame:
+    """Evidence from encyclopedia results; rows without id, title, extract or a trusted URL drop out.
+
+    ``retrieved`` (milliseconds), if given, becomes ``retrieved_ms``; unknown times are 0.
+    """
     content, link = T.trim_all(F.col(extract)), T.trim_all(F.col(url))
     return rows.where(
         F.col(page_id).isNotNull() & _filled(F.col(title)) & _filled(content) & U.is_trusted_host(link, host)
@@ -46,43 +53,54 @@ def encyclopedia_evidence(rows: DataFrame, page_id: str, title: str, extract: st
         T.take_chars(T.collapse_spaces(content), X.WEB_EXCERPT_CHARS).alias("excerpt"),
         T.take_chars(content, X.WEB_CONTENT_CHARS).alias("content"),
         F.lit("Wikipedia").alias("provider"),
-        F.concat(F.lit("wikipedia:"), F.col(page_id).cast("string")).alias("source_id"),
+        F.concat(F.lit("wikipedia:"), F.col(page_id).cast("string")).alias("source_id"), *_time(retrieved),
     )
 
 
-def search_evidence(rows: DataFrame, title: str, description: str, url: str, keep: list[str] = ()) -> DataFrame:
-    """Evidence from web search results; markup stripped, unsafe URLs and blank fields drop out."""
+def search_evidence(rows: DataFrame, title: str, description: str, url: str, keep: list[str] = (),
+                    retrieved: Column | None = None) -> DataFrame:
+    """Evidence from web search results; markup stripped, unsafe URLs and blank fields drop out; ``retrieved`` as above."""
     link, text = T.trim_all(F.col(url)), T.strip_tags(F.col(description))
-    cleaned = rows.select(*keep, F.col(title).alias("_title"), link.alias("_url"), text.alias("_text"))
+    cleaned = rows.select(*keep, *_time(retrieved), F.col(title).alias("_title"), link.alias("_url"), text.alias("_text"))
     return cleaned.where(_filled(F.col("_title")) & _filled(F.col("_text")) & U.is_safe_https(F.col("_url"))).select(
         *keep,
         T.take_chars(T.trim_all(F.col("_title")), X.WEB_TITLE_CHARS).alias("title"), F.col("_url").alias("url"),
         T.take_chars(F.col("_text"), X.WEB_EXCERPT_CHARS).alias("excerpt"),
         T.take_chars(F.col("_text"), X.WEB_CONTENT_CHARS).alias("content"),
         F.lit("Brave Search").alias("provider"),
-        F.concat(F.lit("brave:"), T.stable_id(F.col("_url"))).alias("source_id"),
+        F.concat(F.lit("brave:"), T.stable_id(F.col("_url"))).alias("source_id"), *([] if retrieved is None else ["retrieved_ms"]),
     )
 
 
-def oversize(payloads: DataFrame, body: str, keep: list[str] = ()) -> DataFrame:
-    """One row with an error for every body over the limit."""
-    return payloads.where(~body_within_limit(F.col(body))).select(*keep, F.lit(X.WEB_BODY_TOO_LARGE).alias("error"))
+def _items(payloads: DataFrame, body: str, keep: list[str], schema: str, path: str, failed: str) -> DataFrame:
+    """``item, error`` of every result in JSON bodies, each body parsed once.
+
+    A body over the limit, a null one and one that is not JSON of the schema give one row with an ``error`` and no item;
+    a body without results gives no row.
+    """
+    within = F.coalesce(body_within_limit(F.col(body)), F.lit(True))
+    parsed = F.from_json(F.when(within, F.col(body)), f"{schema}, _rest string", {"columnNameOfCorruptRecord": "_rest"})
+    checked = payloads.select(*keep, within.alias("_within"), parsed.alias("_parsed"))
+    error = F.when(~F.col("_within"), X.WEB_BODY_TOO_LARGE).when(
+        F.col("_parsed").isNull() | F.col("_parsed._rest").isNotNull(), failed)
+    items = F.col(f"_parsed.{path}")
+    kind = checked.select(items).schema[0].dataType
+    none = F.array(F.lit(None).cast(kind.elementType))
+    rows = checked.select(*keep, error.alias("error"), F.when(error.isNotNull(), none).otherwise(items).alias("_items"))
+    return rows.select(*keep, F.explode("_items").alias("item"), "error")
 
 
 def parse_encyclopedia(payloads: DataFrame, body: str, keep: list[str] = ()) -> DataFrame:
-    """Result rows from JSON bodies; unknown keys are ignored, an oversize body gives one row with an ``error``."""
-    parsed = F.from_json(F.col(body), ENCYCLOPEDIA_SCHEMA)
-    rows = payloads.where(body_within_limit(F.col(body))).select(*keep, F.explode(parsed["query"]["pages"]).alias("p"))
-    found = rows.select(*keep, F.coalesce("p.title", F.lit("")).alias("title"), "p.extract", F.col("p.fullurl").alias("url"),
-                        F.col("p.pageid").alias("page_id"), F.lit(None).cast("string").alias("error"))
-    return found.unionByName(oversize(payloads, body, keep), allowMissingColumns=True)
+    """Result rows from JSON bodies; unknown keys are ignored, a body that cannot be used gives one row with an ``error``."""
+    rows = _items(payloads, body, list(keep), ENCYCLOPEDIA_SCHEMA, "query.pages", X.ENCYCLOPEDIA_FAILED)
+    title = F.when(F.col("error").isNull(), F.coalesce("item.title", F.lit("")))
+    return rows.select(*keep, title.alias("title"), "item.extract", F.col("item.fullurl").alias("url"), F.col("item.pageid").alias("page_id"), "error")
 
 
 def parse_search(payloads: DataFrame, body: str, keep: list[str] = ()) -> DataFrame:
-    parsed = F.from_json(F.col(body), SEARCH_SCHEMA)
-    rows = payloads.where(body_within_limit(F.col(body))).select(*keep, F.explode(parsed["web"]["results"]).alias("r"))
-    found = rows.select(*keep, "r.title", "r.url", "r.description", F.lit(None).cast("string").alias("error"))
-    return found.unionByName(oversize(payloads, body, keep), allowMissingColumns=True)
+    """Result rows of web search bodies; errors as in ``parse_encyclopedia``."""
+    rows = _items(payloads, body, list(keep), SEARCH_SCHEMA, "web.results", X.SEARCH_FAILED)
+    return rows.select(*keep, "item.title", "item.url", "item.description", "error")
 
 
 def failover(primary: DataFrame, secondary: DataFrame, keys: list[str]) -> DataFrame:

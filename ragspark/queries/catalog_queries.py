@@ -9,7 +9,7 @@ from ragspark.functions import text as T
 from ragspark.functions import vectors as V
 from ragspark.operators import catalog as C
 from ragspark.operators.chunking import chunk_text, first_and_last, rebase
-from ragspark.operators.ordered import Ordering, with_index
+from ragspark.operators.ordered import Ordering, with_index, with_place
 from ragspark.operators.embedding import HashedBagOfWords
 from ragspark.plans.ingestion import ingest
 from ragspark.queries.registry import documents, plain, query, sql_chunks, table
@@ -161,13 +161,16 @@ def failed_documents(spark, folder):
 
 @query("documents_nocase", """SELECT p_partkey, p_name, row_number() OVER (ORDER BY translate(CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p_partkey) AS place FROM part""")
 def documents_nocase(spark, folder):
-    """Caseless order over the parts, with each row's place.
-
-    Places come from a two-level count over name prefixes, so the table is never sorted in one task.
-    """
+    """Caseless order over the parts, with each row's place."""
     key = T.nocase_key(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")))
-    rows = table(spark, folder, "part").select("p_partkey", "p_name", key.alias("k")).withColumn("_bucket", F.substring("k", 1, 5))
-    return with_index(rows, Ordering((), ("k", "p_partkey")), "place").select("p_partkey", "p_name", "place")
+    rows = table(spark, folder, "part").select("p_partkey", "p_name", key.alias("k"))
+    return with_place(rows, "k", "p_partkey").select("p_partkey", "p_name", "place")
+
+
+@query("uri_listing", """SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) AS place FROM pages""")
+def uri_listing(spark, folder):
+    """All sources in the order of their URI strings, with each one's place."""
+    return plain(with_place(table(spark, folder, "pages").select("page_id", "url"), "url", "page_id"))
 
 
 @query("documents_by_name", "SELECT doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY lower(source), doc_id) AS position FROM documents")

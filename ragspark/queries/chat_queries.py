@@ -164,6 +164,38 @@ def web_json_parse(spark, folder):
     )
 
 
+def _bodies(spark, folder, pack):
+    """Provider bodies of all pages: as packed, cut short, the bare page, an object without results, none at all, and very long."""
+    m, good = F.col("page_id") % 13, F.to_json(pack)
+    body = F.when(m == 3, F.substring(good, F.lit(1), F.length(good) - 1)).when(m == 5, F.col("html")).when(m == 7, "{}").when(
+        m == 9, F.lit(None).cast("string")).when(m == 11, F.concat(good, F.repeat(F.lit(" "), F.lit(600_000)))).otherwise(good)
+    return _pages(spark, folder).select("page_id", body.alias("body"), (F.col("page_id") * 1000).alias("at"))
+
+
+_ERROR = """CASE WHEN page_id % 13 = 11 THEN 'Web response exceeded the safety limit' WHEN page_id % 13 IN (3, 5, 9) THEN '{}' END"""
+
+
+@query("web_json_errors", f"""WITH {_PAGES} SELECT page_id, 'Wikipedia' AS provider, {_ERROR.format('Web search could not be completed')} AS error FROM p WHERE page_id % 13 <> 7
+UNION ALL SELECT page_id, 'Brave Search', {_ERROR.format('Brave Search could not be completed')} FROM p WHERE page_id % 13 <> 7""")
+def web_json_errors(spark, folder):
+    """What becomes of every provider body: a result or an error, never nothing but for an object without results."""
+    page = F.struct(F.col("title"), F.col("html").alias("extract"), F.col("url").alias("fullurl"), F.col("page_id").alias("pageid"))
+    first = W.parse_encyclopedia(_bodies(spark, folder, F.struct(F.struct(F.array(page).alias("pages")).alias("query"))).withColumnRenamed("page_id", "id"), "body", ["id"])
+    result = F.struct(F.col("title"), F.col("html").alias("description"), F.col("url"))
+    second = W.parse_search(_bodies(spark, folder, F.struct(F.struct(F.array(result).alias("results")).alias("web"))), "body", ["page_id"])
+    return first.select(F.col("id").alias("page_id"), F.lit("Wikipedia").alias("provider"), "error").unionByName(
+        second.select("page_id", F.lit("Brave Search").alias("provider"), "error"))
+
+
+@query("web_search_parse", f"WITH {_PAGES}, {_BRAVE} SELECT *, page_id * 1000 AS retrieved_ms FROM brave WHERE page_id % 13 NOT IN (3, 5, 7, 9, 11)")
+def web_search_parse(spark, folder):
+    """Web search bodies of all pages parsed and normalised, with the time of each answer."""
+    result = F.struct(F.col("title"), F.col("html").alias("description"), F.col("url"))
+    bodies = _bodies(spark, folder, F.struct(F.struct(F.array(result).alias("results")).alias("web")))
+    rows = W.parse_search(bodies, "body", ["page_id", "at"])
+    return W.search_evidence(rows, "title", "description", "url", ["page_id"], retrieved=F.col("at"))
+
+
 @query("body_limits", f"""SELECT doc_id, strlen(text) <= 524288 AS within, strlen(text) <= 524288 AND (CASE WHEN doc_id % 3 = 0 THEN -1 ELSE n_chars * 600 END) <= 524288 AS both_within,
   CASE WHEN len({sql_trim('text')}) NOT BETWEEN 2 AND 400 THEN 'Web search query must be between 2 and 400 characters' END AS query_error,
   least(greatest(doc_id % 9 - 2, 1), 5) AS n_results FROM documents""")

@@ -163,6 +163,19 @@ def language_options(spark, folder):
     return L.language_options(d, "lang", "name")
 
 
+@query("language_options_sorted", """WITH t AS (SELECT lower(trim(CASE WHEN doc_id % 3 = 0 THEN ' ' || upper(lang) ELSE lang END)) || '-' || source AS tag,
+  CASE WHEN doc_id % 2 = 0 THEN upper(source) || lang ELSE ' ' END AS name FROM documents),
+o AS (SELECT tag, coalesce(min(CASE WHEN trim(name) <> '' THEN name END), tag) AS display_name FROM t GROUP BY tag)
+SELECT tag, display_name, row_number() OVER (ORDER BY lower(display_name), tag) AS place FROM o""")
+def language_options_sorted(spark, folder):
+    """Every language and source as an option, in caseless order of the display names."""
+    d = table(spark, folder, "documents").select(
+        F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.upper("lang"))).otherwise(F.col("lang")), F.lit("-"), "source").alias("lang"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.upper("source"), "lang")).otherwise(" ").alias("name"),
+    )
+    return L.sorted_options(L.language_options(d, "lang", "name"))
+
+
 @query("language_filter", """SELECT doc_id, trim(q) = '' OR contains(lower(source), lower(trim(q))) OR contains(lower(lang), lower(trim(q))) AS shown
 FROM (SELECT doc_id, source, lang, CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN ' SRC1 ' WHEN 2 THEN 'E' ELSE 'zz' END AS q FROM documents)""")
 def language_filter(spark, folder):
