@@ -4,7 +4,9 @@ Both models are bigram models with Witten-Bell smoothing over one vocabulary: al
 (runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased), one symbol for any other word, and a start symbol.  The
 background counts every document, the target the documents of the target set.  A document's score is its
 mean loss per word under the target less the mean loss under the background; the lower, the more it
-resembles the target.
+resembles the target.  A document is left out of the models it is scored by: its own counts of words, pairs and
+followers are taken off, in each model that holds it, so target documents are not known by heart.  The number of
+word kinds stays that of all documents.
 
 No table of the model is held in one place.  Documents are dealt into buckets of some megabytes of text by
 hash, and keys of the model into slots by hash.  A bucket asks each slot once for all of its distinct
@@ -12,8 +14,9 @@ hash, and keys of the model into slots by hash.  A bucket asks each slot once fo
 the order of the request.  Words are asked for in the same way in a second round, with their counts as
 word and as previous word and the number of distinct followers (a pair is counted by the first bucket that
 holds it).  Each bucket then scores its documents from the answers.  A frequent pair or word is one
-entry per bucket, so no key is hot, and requests, buckets and slots grow with the corpus while their sizes do
-not.  Text is shuffled once.
+entry per bucket, so no key is hot, and buckets and slots grow with the corpus while their sizes do not.  The rows
+that carry requests are buckets times slots until a slot gets less than one key of a bucket, so their number, not
+their content, grows with the square of the corpus up to there (README).  Text is shuffled once.
 
 Edge cases: null and empty texts have no words, score 0; a null or missing label is not target; with no
 target document at all the target model is uniform; repeated rows count and score each (all rows of one id
@@ -106,6 +109,7 @@ class Bucket:
         before[self.cuts[:-1][self.n > 0]] = START
         self.keys, first, self.at, self.background = np.unique(
             kernel.mix(kernel.mix(before) + words), return_index=True, return_inverse=True, return_counts=True)
+        self.members = np.ones(len(target), np.int64), target
         self.target = added(self.at, np.repeat(target, self.n), len(self.keys))
         self.words, at = np.unique(np.concatenate((before[first], words[first])), return_inverse=True)
         self.before, self.word = at[: len(first)], at[len(first) :]
@@ -121,6 +125,24 @@ class Bucket:
         return out
 
 
+    def own_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, Within, Within]:
+        """Each document's distinct pairs: document, pair, how often; and the document's words and previous words."""
+        size = len(self.keys)
+        code, times = np.unique(np.repeat(np.arange(len(self.n)), self.n) * size + self.at, return_counts=True)
+        doc, pair = code // size, code % size
+        return doc, pair, times, Within(doc, self.word[pair]), Within(doc, self.before[pair])
+
+
+class Within:
+    """Sums over the entries that share a document and a key."""
+
+    def __init__(self, doc: np.ndarray, key: np.ndarray):
+        self.at = np.unique(doc * (int(key.max(initial=0)) + 1) + key, return_inverse=True)[1]
+
+    def sums(self, n: np.ndarray) -> np.ndarray:
+        return added(self.at, n, len(self.at))[self.at]
+
+
 HASHER: list[SpanHash] = []
 
 
@@ -211,7 +233,7 @@ def answer_words(rows: pa.Table) -> pa.Table:
         c: pa.array([s, *rest], pa.int64()) for c, s in zip(("kinds", "background", "target"), sums)})
 
 
-def losses(pair: np.ndarray, word: np.ndarray, left: np.ndarray, followers: np.ndarray, total: int, kinds: int) -> np.ndarray:
+def losses(pair: np.ndarray, word: np.ndarray, left: np.ndarray, followers: np.ndarray, total, kinds: int) -> np.ndarray:
     """-ln P(word | previous) of every pair, Witten-Bell over a unigram model with one added to each count.
 
     ``pair``, ``word`` and ``left`` are the counts of the pair, its word and its previous word; ``kinds`` has
@@ -232,11 +254,16 @@ def score(shared, slots: int):
             pair = b.answers(answers.filter(pc.invert(of_words)), b.keys, slots, 2)
             word = b.answers(words, b.words, slots, 6)
             kinds = words.column("kinds")[0].as_py() + 1
-            has = np.flatnonzero(b.n)
+            doc, p, times, of_word, of_before = b.own_counts()
             for k, name in enumerate(("background", "target")):
                 count, left, followers = word[3 * k : 3 * k + 3]
-                loss = losses(pair[k], count[b.word], left[b.before], followers[b.before], words.column(name)[0].as_py(), kinds)
-                means[k][has] = np.add.reduceat(loss[b.at], b.cuts[has]) / b.n[has]
+                w, v, member = b.word[p], b.before[p], b.members[k][doc]
+                own = times * member
+                alone = (own > 0) & (pair[k][p] == own)  # pairs that no other document of the model holds
+                loss = losses(
+                    pair[k][p] - own, count[w] - of_word.sums(times) * member, left[v] - of_before.sums(times) * member,
+                    followers[v] - of_before.sums(alone), words.column(name)[0].as_py() - b.n[doc] * member, kinds)
+                means[k] = np.bincount(doc, loss * times, len(b.n)) / np.maximum(b.n, 1)
         background, target = means
         return pa.table({"_id": b.ids, "_n": pa.array(b.n, pa.int64()), "_target": pa.array(target), "_background": pa.array(background)})
 

@@ -306,14 +306,14 @@ def test_cross_entropy_difference_matches_brute_force(spark, make, odd):
         total = sum(one.values())
 
         def loss(prev, x):
-            kinds = sum(1 for a, _ in pairs if a == prev)
+            kinds = len({x for a, x in pairs if a == prev})
             uni = one[x] / total
             return -np.log((pairs.get((prev, x), 0) + kinds * uni) / (left[prev] + kinds)) if prev in left else -np.log(uni)
 
         return loss
 
-    t, b = losses([d for d in words if d % 3 == 0 and d < 40]), losses(list(words))
-    for r in rows:
+    for r in rows:  # each document is scored by models that do not hold it
+        t, b = losses([d for d in words if d % 3 == 0 and d < 40 and d != r.doc_id]), losses([d for d in words if d != r.doc_id])
         s = [x if x in vocabulary else "?" for x in words[r.doc_id]]
         pairs = list(zip(["^", *s], s))
         want = [np.mean([f(*p) for p in pairs]) if pairs else 0.0 for f in (t, b)]
@@ -349,9 +349,9 @@ def test_cross_entropy_counts_every_word(spark, make):
 
         return loss
 
-    t, b = model(range(1, 80, 2)), model(words)
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(d) for d, _ in docs)
     for r in rows:
+        t, b = model([d for d in range(1, 80, 2) if d != r.doc_id]), model([d for d in words if d != r.doc_id])
         pairs = list(zip(["^", *words[r.doc_id]], words[r.doc_id]))
         want = [np.mean([f(*p) for p in pairs]) if pairs else 0.0 for f in (t, b)]
         assert (r.n_words, r.target_loss, r.background_loss) == pytest.approx((len(pairs), *want), abs=2e-6)
@@ -359,6 +359,16 @@ def test_cross_entropy_counts_every_word(spark, make):
     assert uniform.target_loss == pytest.approx(np.log(kinds), abs=1e-6)
 
 
+def test_random_targets_are_not_told_apart(spark, make):
+    rng = random.Random(9)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(60))) for i in range(300)]
+    chosen = set(rng.sample(range(300), 150))
+    rows = lmscore.cross_entropy_difference(make(docs), spark.createDataFrame([(i,) for i in chosen], "doc_id long")).collect()
+    inside, outside = ([r.score for r in rows if (r.doc_id in chosen) == side] for side in (True, False))
+    noise = np.sqrt(np.var(inside) / len(inside) + np.var(outside) / len(outside))
+    assert abs(np.mean(inside) - np.mean(outside)) < 4 * noise + 0.02
+
+
 # sharding --------------------------------------------------------------------------------------
 
 
