@@ -9,6 +9,7 @@ DOCUMENTS = (
 CHUNKS = (
     "document_id string, ordinal int, text string, start_token int, end_token int, embedding array<float>"
 )
+OFFSETS = "document_id string, block int, at bigint, n_bytes bigint, n_tokens int, text_key bigint"
 PERSONAS = (
     "persona_id string, name string, description string, system_prompt string, temperature float, top_p float, "
     "max_tokens int, active boolean"
