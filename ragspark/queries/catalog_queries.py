@@ -8,11 +8,14 @@ from ragspark.functions import fixed as X
 from ragspark.functions import text as T
 from ragspark.functions import vectors as V
 from ragspark.operators import catalog as C
+from ragspark.operators import offsets as O
 from ragspark.operators.chunking import chunk_text, first_and_last, rebase
 from ragspark.operators.ordered import Ordering, with_index, with_place
 from ragspark.operators.embedding import HashedBagOfWords
-from ragspark.plans.ingestion import ingest
+from ragspark.plans.ingestion import ingest, ingest_store
 from ragspark.queries.registry import documents, plain, query, sql_chunks, table
+from ragspark.sources.store import BucketStore
+from ragspark.sources.tables import shared_path
 
 DIM = 64
 
@@ -321,7 +324,8 @@ def chunks_with_documents(spark, folder):
     return plain(rows.join(names, "doc_id").select("doc_id", "ordinal", "document_name", "end_token"))
 
 
-@query("incremental_ingest", f"""WITH {_LISTING}, {sql_chunks()},
+# one run over a mutated listing, from chunks with holes
+_INGESTED = f"""WITH {_LISTING}, {sql_chunks()},
 s AS (SELECT coalesce(l.document_id, c.document_id) AS document_id, CASE WHEN l.document_id IS NULL THEN 'ABSENT' WHEN l.size_bytes > {X.DOCUMENT_BYTES} OR lower(l.display_name) LIKE '%.bin' THEN 'REJECTED' WHEN c.document_id IS NULL THEN 'NEW'
   WHEN l.size_bytes <> c.size_bytes THEN 'CHANGED' WHEN NOT c.indexed OR NOT EXISTS (SELECT 1) OR coalesce(h.bad, 0) > 0 THEN 'INCOMPLETE' ELSE 'UNCHANGED' END AS status
   FROM listing l FULL JOIN catalog c ON l.document_id = c.document_id LEFT JOIN (SELECT doc_id, count(*) AS bad FROM chunks WHERE (doc_id * 31 + ordinal) % 7 = 3 GROUP BY doc_id) h ON h.doc_id = c.document_id),
@@ -330,7 +334,10 @@ todo AS (SELECT document_id FROM s WHERE status IN ('NEW', 'CHANGED', 'INCOMPLET
 fresh AS (SELECT doc_id AS document_id, ordinal FROM chunks WHERE doc_id IN (SELECT document_id FROM todo)
   UNION ALL SELECT doc_id + 10000000, ordinal FROM chunks WHERE doc_id + 10000000 IN (SELECT document_id FROM todo)),
 final AS (SELECT * FROM kept UNION SELECT * FROM fresh)
-SELECT s.document_id, s.status, CASE s.status WHEN 'UNCHANGED' THEN 'SKIPPED' WHEN 'REJECTED' THEN 'FAILED' WHEN 'ABSENT' THEN 'ABSENT' ELSE 'INDEXED' END AS outcome, count(f.ordinal) AS n_chunks FROM s LEFT JOIN final f USING (document_id) GROUP BY ALL""")
+SELECT s.document_id, s.status, CASE s.status WHEN 'UNCHANGED' THEN 'SKIPPED' WHEN 'REJECTED' THEN 'FAILED' WHEN 'ABSENT' THEN 'ABSENT' ELSE 'INDEXED' END AS outcome, count(f.ordinal) AS n_chunks FROM s LEFT JOIN final f USING (document_id) GROUP BY ALL"""
+
+
+@query("incremental_ingest", _INGESTED)
 def incremental_ingest(spark, folder):
     """One incremental run over a mutated listing, starting from chunks with holes."""
     embedder = HashedBagOfWords(DIM)
@@ -344,3 +351,37 @@ def incremental_ingest(spark, folder):
     return done.outcomes.join(counts, "document_id", "left").select(
         "document_id", "status", "outcome", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_chunks")
     )
+
+
+@query("store_ingest", _INGESTED)
+def store_ingest(spark, folder):
+    """The same run on a stored corpus: made here from the tables, then only buckets with open documents are rewritten."""
+    embedder = HashedBagOfWords(DIM)
+    store = BucketStore.create(spark, shared_path(spark, "store"), buckets=32)
+    vector = F.array_repeat(F.lit(0.125).cast("float"), DIM)
+    first = store.begin()
+    texts = documents(spark, folder).select(F.col("doc_id").cast("string").alias("document_id"), "text", "doc_id")
+    first.stage("chunks", _chunks(spark, folder).select(
+        F.col("document_id").cast("string"), "ordinal", "text", "start_token", "end_token", F.when(F.col("ok"), vector).alias("embedding")))
+    first.stage("offsets", O.token_offsets(texts))
+    named = {"document_id": F.col("document_id").cast("string"), "source_uri": F.lit("")}
+    headers = _catalog(spark, folder).withColumns({**named, "chunk_count": F.lit(0)})
+    first.stage("catalog", headers.select(*store.read("catalog").columns))
+    first.publish(range(store.buckets))
+
+    listing = _listing(spark, folder).withColumns(named)
+    added = texts.where("doc_id % 10 = 3").withColumn("document_id", (F.col("doc_id") + 10_000_000).cast("string"))
+    found = texts.unionByName(added).select("document_id", "text", F.lit(None).cast("string").alias("error"))
+    outcomes = ingest_store(store, listing, found, embedder, audit=True)
+    counts = store.read("chunks").where(V.is_valid(F.col("embedding"), DIM)).groupBy("document_id").agg(F.count("*").alias("n"))
+    return outcomes.join(counts, "document_id", "left").select(
+        F.col("document_id").cast("bigint").alias("document_id"), "status", "outcome", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_chunks"))
+
+
+@query("fill_holes", f"""WITH {sql_chunks()} SELECT doc_id AS document_id, ordinal, text, start_token, end_token FROM chunks WHERE (doc_id * 31 + ordinal) % 7 = 3""")
+def fill_holes(spark, folder):
+    """Every seventh chunk is lost and cut again, each from the stretch that the offset index tells."""
+    docs = documents(spark, folder).select(F.col("doc_id").alias("document_id"), "text")
+    index = O.token_offsets(docs)
+    stored = O.expected_chunks(index).where((F.col("document_id") * 31 + F.col("ordinal")) % 7 != 3)
+    return plain(O.fill_holes(docs, index, stored))

@@ -24,14 +24,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as a new table in the shared folder and read again: lineage ends here.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; without a configured one, as in tests, in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    Without a configured folder, as in tests, the warehouse is used.
-    """
-    conf = df.sparkSession.conf
-    base = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as a new table in the shared folder and read again: lineage ends here."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
