@@ -17,6 +17,7 @@ from ragspark.functions import fixed as X
 from ragspark.functions import text as T
 from ragspark.operators.ordered import Ordering, Running, scan, with_halo, with_index
 from ragspark.operators.segmentation import SpeechSegmenter
+from ragspark.sources.tables import written
 
 
 def debounce(inputs: DataFrame, by: Ordering, time_ms: str, wait_ms: int = 300, text_col: str | None = None) -> DataFrame:
@@ -149,37 +150,121 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def progress_steps(progress: DataFrame, keys: list[str], order: str, done: str, total: str,
-                   step: int = X.PROGRESS_STEP_BYTES) -> DataFrame:
+                   step: int = X.PROGRESS_STEP_BYTES, block_rows_log2: int = 16) -> DataFrame:
     """Progress rows worth showing: ``step`` or more since the last one shown, or complete.
 
-    What is shown depends on what was shown before, so each key's rows are sorted and streamed
-    through one counter; nothing is gathered.
-    """
-    columns = progress.columns
-    placed = progress.repartition(*keys).sortWithinPartitions(*keys, order)
+    What is shown depends on what was shown before, but on one number of it only.  Rows are range-sorted by (key,
+    order) and written in blocks of at most ``2 ** block_rows_log2`` rows, so a hot key fills many blocks.  A block
+    tells, for the keys at its two ends, the size shown last at its end for every size shown last before it, as a step
+    function; these maps are followed from block to block, and each block then finds its rows from its own
+    start.  A null size is never shown.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, shown = None, -step
+    ``order`` must order the rows of a key; keys must not be null.
+    """
+    ranges = int(progress.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = progress.repartitionByRange(ranges, *keys, order).sortWithinPartitions(*keys, order)
+    # written once: bounds drawn a second time would give other blocks
+    rows = written(placed.withColumn("_at", F.monotonically_increasing_id()), "progress")
+    rows = rows.withColumn("_block", F.shiftright("_at", block_rows_log2))
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in progress.select(*keys).schema)
+    n_keys = len(keys)
+
+    def ends(block: pa.Table) -> pa.Table:
+        batch = _in_order(block)
+        sizes, complete = _sizes(batch, done, total)
+        stretches = list(_stretches(batch, keys))
+        block_of = batch.column("_block")
+        found = [(at, *_last_shown(sizes[at:end], complete[at:end], step)) for _, at, end in (stretches[:1] + stretches[1:][-1:])]
+        at = pa.array([f[0] for f in found])
+        return pa.table({
+            **{k: batch.column(k).take(at) for k in keys}, "_block": block_of.take(at),
+            "upto": pa.array([f[1] for f in found], pa.list_(pa.int64())), "shown": pa.array([f[2] for f in found], pa.list_(pa.int64())),
+        })
+
+    maps = rows.select(*keys, order, done, total, "_at", "_block").groupBy("_block").applyInArrow(
+        ends, f"{named}, _block bigint, upto array<bigint>, shown array<bigint>")
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, -step
         for batch in batches:
-            keep = []
-            sizes, goals = (batch.column(c).to_numpy(zero_copy_only=False) for c in (done, total))
-            complete = sizes == goals
-            for key, at, end in _stretches(batch, keys):
+            entries = []
+            for i in range(batch.num_rows):
+                key = tuple(batch.column(k)[i].as_py() for k in range(n_keys))
                 if key != current:
-                    current, shown = key, -step
-                look = _LOOK_ROWS
-                while at < end:
-                    stop = min(end, at + look)
-                    due = np.flatnonzero(complete[at:stop] | (sizes[at:stop] - shown >= step))
-                    if len(due):
-                        keep.append(at + int(due[0]))
-                        at, shown, look = keep[-1] + 1, sizes[keep[-1]], _LOOK_ROWS
-                    else:
-                        at, look = stop, 2 * look
-            if keep:
-                yield batch.take(pa.array(keep))
+                    current, last = key, -step
+                entries.append(last)
+                upto, shown = (batch.column(c)[i].values.to_numpy() for c in ("upto", "shown"))
+                k = int(np.searchsorted(upto, last + step))
+                last = int(shown[k]) if k < len(upto) else last
+            columns = [*batch.columns[: n_keys + 1], pa.array(entries, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: n_keys + 1], "_entry"])
+
+    starts = maps.repartition(*keys).sortWithinPartitions(*keys, "_block").mapInArrow(follow, f"{named}, _block bigint, _entry bigint")
+
+    def show(block: pa.Table) -> pa.Table:
+        batch = _in_order(block)
+        sizes, complete = _sizes(batch, done, total)
+        keep = []
+        for _, at, end in _stretches(batch, keys):
+            entry, look = batch.column("_entry")[at].as_py(), _LOOK_ROWS
+            last = -step if entry is None else entry
+            while at < end:
+                stop = min(end, at + look)
+                due = np.flatnonzero(complete[at:stop] | (sizes[at:stop] >= last + step))
+                if len(due):
+                    keep.append(at + int(due[0]))
+                    at, last, look = keep[-1] + 1, int(sizes[keep[-1]]), _LOOK_ROWS
+                else:
+                    at, look = stop, 2 * look
+        return pa.Table.from_batches([batch]).select(names).take(pa.array(keep, pa.int64()))
 
-    return placed.select(*columns).mapInArrow(run, progress.schema)
+    names = progress.columns
+    return rows.join(starts, [*keys, "_block"], "left").groupBy("_block").applyInArrow(show, progress.schema)
+
+
+def _in_order(block: pa.Table) -> pa.RecordBatch:
+    table = block.sort_by("_at").combine_chunks()
+    return table.to_batches()[0]
+
+
+_NEVER = -(1 << 62)  # a size that no threshold admits
+
+
+def _sizes(batch: pa.RecordBatch, done: str, total: str) -> tuple[np.ndarray, np.ndarray]:
+    sizes, goals = batch.column(done).cast(pa.int64()), batch.column(total).cast(pa.int64())
+    complete = pc.fill_null(pc.equal(sizes, goals), False)
+    return sizes.fill_null(_NEVER).to_numpy(), complete.to_numpy(zero_copy_only=False)
+
+
+def _last_shown(sizes: np.ndarray, complete: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The size shown last at the end of a stretch, by the size ``v`` shown last before it: ``(upto, shown)``.
+
+    It is ``shown`` of the first ``upto`` not below ``v + step``, or ``v`` if there is none.  All rows find the row
+    shown after them at once, by range maxima in powers of two, and pointer doubling follows them to the end.
+    """
+    n = len(sizes)
+    lift = np.where(complete, np.int64(1 << 62), sizes)
+    tables = [lift]
+    while 2 << (len(tables) - 1) <= n:
+        half = 1 << (len(tables) - 1)
+        tables.append(np.maximum(tables[-1][:-half], tables[-1][half:]))
+    after = np.arange(1, n + 1)
+    goal = sizes + step
+    for k in range(len(tables) - 1, -1, -1):
+        skip = after + (1 << k) <= n
+        skip[skip] = tables[k][after[skip]] < goal[skip]
+        after = after + (skip.astype(np.int64) << k)
+    jump = np.where(after == n, np.arange(n), np.minimum(after, n - 1))
+    while True:
+        further = jump[jump]
+        if (further == jump).all():
+            break
+        jump = further
+    top = np.maximum.accumulate(lift)
+    records = np.flatnonzero(np.concatenate(([True], top[1:] > top[:-1])))
+    upto, shown = top[records], sizes[jump[records]]
+    last = np.concatenate((shown[1:] != shown[:-1], [True]))  # neighbours with the same end are one step
+    return upto[last], shown[last]
 
 
 def single_flight(frames: DataFrame, by: Ordering, time_ms: str, busy_ms: str) -> DataFrame:

@@ -257,3 +257,44 @@ def test_longest_match_of_many_words_equals_the_plain_one(monkeypatch, piece):
     want = [_pieces_by_hand(w, ids, 777) for w in words]
     assert counts.tolist() == [len(x) for x in want]
     assert found.tolist() == [i for x in want for i in x]
+
+
+def _shown(rows, step):
+    """(sizes, goals) in order -> positions shown, one row at a time."""
+    last, out = -step, []
+    for i, (size, goal) in enumerate(rows):
+        if size is not None and (size == goal or size - last >= step):
+            out.append(i)
+            last = size
+    return out
+
+
+def test_last_shown_is_that_of_the_plain_loop():
+    rng = random.Random(5)
+    for _ in range(300):
+        n, step = rng.randint(1, 40), rng.randint(1, 12)
+        sizes = [rng.randint(-5, 60) for _ in range(n)] if rng.random() < 0.5 else sorted(rng.randint(0, 60) for _ in range(n))
+        complete = [rng.random() < 0.05 for _ in range(n)]
+        upto, shown = Q._last_shown(np.array(sizes, np.int64), np.array(complete), step)
+        assert (np.diff(upto) > 0).all()
+        for before in range(-step, 70):
+            last = before
+            for size, full in zip(sizes, complete):
+                if full or size - last >= step:
+                    last = size
+            k = int(np.searchsorted(upto, before + step))
+            assert (int(shown[k]) if k < len(upto) else before) == last
+
+
+def test_progress_of_a_hot_key_is_found_block_by_block(spark):
+    """One key in very small blocks, nulls and falling sizes included, equals the plain loop; extra columns stay."""
+    rng = random.Random(6)
+    data = {key: [(None if rng.random() < 0.05 else i * 3 - rng.choice([0, 0, 0, 40]), 3 * n) for i in range(n + 1)]
+            for key, n in (("hot", 700), ("a", 3), ("b", 20), ("z", 64))}
+    rows = [(k, i, size, goal, i % 3) for k, part in data.items() for i, (size, goal) in enumerate(part)]
+    df = spark.createDataFrame(rows, "key string, at int, done bigint, total bigint, _look int")
+    got = Q.progress_steps(df, ["key"], "at", "done", "total", step=25, block_rows_log2=4)
+    assert got.columns == df.columns
+    want = {(k, i) for k, part in data.items() for i in _shown(part, 25)}
+    assert {(r.key, r["at"]) for r in got.collect()} == want and got.count() == len(want)
+    assert Q.progress_steps(df.limit(0), ["key"], "at", "done", "total").isEmpty()
