@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ragspark.functions import fixed as X
 from ragspark.functions import text as T
 from ragspark.operators.chunking import CHUNK_OVERLAP
+from ragspark.schemas import TRANSLATION_HISTORY
 
 METADATA = ("display_name", "size_bytes", "mime_type", "modified_ms")
 
@@ -249,6 +250,7 @@ MIGRATIONS = (
     (2, "document_chunks", "embedding", "array<float>", None),
     (4, "documents", "modified_ms", "bigint", 0),
 )
+HISTORY_VERSION = 3  # brought the table of translation history
 
 
 def upgrade(table: DataFrame, name: str, from_version: int, to_version: int = 4) -> DataFrame:
@@ -259,6 +261,20 @@ def upgrade(table: DataFrame, name: str, from_version: int, to_version: int = 4)
     return table
 
 
+def upgrade_tables(tables: dict[str, DataFrame], from_version: int, to_version: int = 4) -> dict[str, DataFrame]:
+    """All tables of a store brought to ``to_version``: columns added with their defaults, new tables created empty.
+
+    Running it again, or on tables that have a step already, changes nothing.
+    """
+    if not tables:
+        raise ValueError("a store has at least one table")
+    spark = next(iter(tables.values())).sparkSession
+    done = {name: upgrade(rows, name, from_version, to_version) for name, rows in tables.items()}
+    if from_version < HISTORY_VERSION <= to_version and "translation_history" not in done:
+        done["translation_history"] = spark.createDataFrame([], TRANSLATION_HISTORY)
+    return done
+
+
 def first_match(rows: DataFrame, keys: list[str], condition: Column, order: list[str]) -> DataFrame:
     """First row per key that satisfies the condition, in an explicit order."""
     rest = [c for c in rows.columns if c not in keys]

@@ -309,6 +309,25 @@ def schema_upgrade(spark, folder):
     return C.upgrade(table(spark, folder, "documents").select("doc_id"), "documents", 1)
 
 
+@query("schema_upgrade_steps", f"""WITH {sql_chunks(64, 16)} SELECT CAST(v AS BIGINT) AS from_version, d.doc_id, d.source, d.lang, d.n_chars, CAST(0 AS BIGINT) AS modified_ms,
+  count(c.ordinal) AS n_chunks, count(CASE WHEN v >= 2 AND c.ordinal % 2 = 0 THEN 1 END) AS n_vectors
+FROM (VALUES (1), (2), (3)) t(v) CROSS JOIN documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY ALL""")
+def schema_upgrade_steps(spark, folder):
+    """Documents and chunks as versions 1 to 3 stored them, each brought to the newest version; stored vectors stay."""
+    docs = documents(spark, folder)
+    chunks = chunk_text(docs, "doc_id", size=64, overlap=16).select("doc_id", "ordinal")
+    vector = F.when(F.col("ordinal") % 2 == 0, F.array(F.lit(1.0).cast("float")))
+    done = []
+    for version in (1, 2, 3):
+        stored = chunks if version == 1 else chunks.withColumn("embedding", vector)
+        tables = C.upgrade_tables({"documents": docs.drop("text"), "document_chunks": stored}, version)
+        counts = tables["document_chunks"].groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count("embedding").alias("n_vectors"))
+        done.append(tables["documents"].join(counts, "doc_id", "left").select(
+            F.lit(version).alias("from_version"), "doc_id", "source", "lang", "n_chars", "modified_ms",
+            F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("n_vectors", F.lit(0)).alias("n_vectors")))
+    return plain(done[0].unionByName(done[1]).unionByName(done[2]))
+
+
 @query("active_persona", f"WITH {_PERSONAS} SELECT owner, arg_min(name, persona_id) AS name FROM p WHERE active GROUP BY owner")
 def active_persona(spark, folder):
     return C.first_match(_personas(spark, folder), ["owner"], F.col("active"), ["persona_id"]).select("owner", "name")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ragspark import schemas
 from ragspark.operators import offsets as O
+from ragspark.operators.catalog import upgrade_tables
 from ragspark.operators.chunking import chunk_text
 from ragspark.operators.embedding import HashedBagOfWords
 from ragspark.plans.ingestion import ingest, ingest_store
@@ -162,3 +163,15 @@ def test_rows_outside_the_replaced_buckets_are_refused(spark, tmp_path):
     empty.stage("t", rows.limit(0))
     empty.publish([2])
     assert store.read("t", [2]).isEmpty() and store.read("t").count() == rows.where(store.bucket() != 2).count()
+
+
+def test_every_step_of_the_schema_is_taken_once(spark):
+    documents, chunks = spark.createDataFrame([("a",)], "document_id string"), spark.createDataFrame([("a", 0)], "document_id string, ordinal int")
+    columns = lambda tables: {name: df.columns for name, df in tables.items()}
+    old = {"documents": documents, "document_chunks": chunks}
+    assert columns(upgrade_tables(old, 1, 2)) == {"documents": ["document_id"], "document_chunks": ["document_id", "ordinal", "embedding"]}
+    assert set(upgrade_tables(old, 2, 3)) == {*old, "translation_history"}
+    done = upgrade_tables(old, 1)
+    assert done["documents"].collect() == [("a", 0)] and done["document_chunks"].collect() == [("a", 0, None)]
+    assert done["translation_history"].isEmpty() and columns(upgrade_tables(done, 1)) == columns(done)
+    assert upgrade_tables({**old, "translation_history": chunks}, 1)["translation_history"] is chunks
