@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import fixed as X
 from ragspark.functions import text as T
+from ragspark.operators.islands import utterances
 from ragspark.operators.ordered import Ordering, Running, scan, with_halo, with_index
-from ragspark.operators.segmentation import SpeechSegmenter
 from ragspark.sources.tables import written
 
 
@@ -81,74 +81,6 @@ def pre_roll(frames: DataFrame, keys: list[str], value: str, index: str = "seq",
     return haloed.withColumn("pre_roll", F.collect_list(value).over(window)).where(~F.col("_halo")).drop("_block", "_halo")
 
 
-def utterances(frames: DataFrame, by: Ordering, speech: Column, samples: Column, time_ms: Column, index: str = "seq") -> DataFrame:
-    """Voice-activity segments and partial-result points per key.
-
-    ``frames`` must have a dense one-based ``index``.  A silence of 43 frames erases all state (35 end
-    an utterance, 8 refill the pre-roll), so streams are cut there and the parts run in parallel; long
-    silences are dropped before the shuffle.  Inside a part, rows arrive sorted and pass through a
-    constant-size state, so a part is never gathered in memory.
-    """
-    end, ring = X.TRAILING_SILENCE_FRAMES, X.PRE_ROLL_FRAMES
-    base = frames.select(
-        *by.keys, by.bucket, *[c for c in by.order if c != index], F.col(index).alias("_i"), speech.alias("_speech"),
-        samples.cast("int").alias("_n"), time_ms.cast("bigint").alias("_t"),
-    )
-    order = Ordering(by.keys, ("_i",), by.bucket)
-    heard = F.when(F.col("_speech"), F.col("_i"))
-    ahead = scan(base, order, {"_next": Running("min", heard)}, reverse=True)
-    both = scan(ahead, order, {"_last": Running("max", heard)})
-    quiet = F.col("_i") - F.coalesce("_last", F.lit(0))
-    long_enough = F.col("_next").isNull() | (F.col("_next") - F.coalesce("_last", F.lit(0)) - 1 >= end + ring)
-    parts = scan(both, order, {"_part": Running("sum", F.when((quiet == end + 1) & long_enough, 1).otherwise(0))})
-    # the end + 1st silent frame starts a part; only frames that can matter travel
-    useful = (quiet <= end) | F.coalesce(F.col("_next") - F.col("_i") <= ring, F.lit(False))
-    keys = [*by.keys, "_part"]
-    placed = parts.where(useful).select(*keys, "_i", "_speech", "_n", "_t").repartition(*keys).sortWithinPartitions(*keys, "_i")
-
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*by.keys).schema]
-    schema = ", ".join([*fields, "kind string, start_seq bigint, end_seq bigint, n_frames int, n_samples int, reason string"])
-    n_keys = len(by.keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, machine = None, SpeechSegmenter()
-        for batch in batches:
-            out = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns):
-                part = row[: n_keys + 1]
-                if part != current:
-                    if current is not None:
-                        out += [(*current[:n_keys], *u) for u in machine.flush()]
-                    current, machine = part, SpeechSegmenter()
-                out += [(*part[:n_keys], *u) for u in machine.push(*row[n_keys + 1:])]
-            if out:
-                yield _rows(out, arrow_schema)
-        if current is not None:
-            out = [(*current[:n_keys], *u) for u in machine.flush()]
-            if out:
-                yield _rows(out, arrow_schema)
-
-    arrow_schema = _arrow(frames, by.keys)
-    return placed.mapInArrow(run, schema)
-
-
-def _arrow(frames: DataFrame, keys: tuple[str, ...]) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    keyed = [pa.field(f.name, to_arrow_type(f.dataType)) for f in frames.select(*keys).schema]
-    return pa.schema([
-        *keyed, ("kind", pa.string()), ("start_seq", pa.int64()), ("end_seq", pa.int64()),
-        ("n_frames", pa.int32()), ("n_samples", pa.int32()), ("reason", pa.string()),
-    ])
-
-
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(col), f.type) for col, f in zip(zip(*rows), schema)], schema=schema
-    )
-
-
 def progress_steps(progress: DataFrame, keys: list[str], order: str, done: str, total: str,
                    step: int = X.PROGRESS_STEP_BYTES, block_rows_log2: int = 16) -> DataFrame:
     """Progress rows worth showing: ``step`` or more since the last one shown, or complete.

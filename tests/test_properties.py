@@ -165,6 +165,46 @@ def test_segments_equal_one_machine_over_the_whole_stream(spark, seed):
     assert {w[6] for w in want} >= {"SILENCE", "MAX_LENGTH", "CADENCE"}
 
 
+@pytest.mark.parametrize("block_rows", [44, 64, 333])
+def test_segments_do_not_depend_on_blocks(spark, block_rows):
+    """Utterances over many blocks, resets and openings at every place of one, frames of any size, wandering clocks."""
+    rng = random.Random(block_rows)
+    rows, want = [], []
+    for stream in range(12):
+        frames = [True] * 1500 if stream % 4 == 3 else _frames(rng, (1, 44, 700, 0, 1500, 900)[stream % 6])
+        sizes = [[0], [320], [9_000, 100_000], [0, 4_000, 30_000], [500_000]][stream % 5]
+        machine, now = SpeechSegmenter(), 0
+        for seq, loud in enumerate(frames, 1):
+            n = rng.choice(sizes)
+            now += rng.choice([20, 20, 700, -600])
+            rows.append((stream, seq, loud, n, now))
+            want += [(stream, *u) for u in machine.push(seq, loud, n, now)]
+        want += [(stream, *u) for u in machine.flush()]
+    df = spark.createDataFrame(rows, "stream int, seq long, loud boolean, n int, t long")
+    got = Q.utterances(df, Ordering(("stream",), ("seq",)), F.col("loud"), F.col("n"), F.col("t"), block_rows=block_rows)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {w[6] for w in want} == {"SILENCE", "MAX_LENGTH", "CADENCE", "END_OF_STREAM"}
+
+
+def test_segments_of_nulls_and_nothing(spark):
+    by = Ordering(("stream",), ("seq",))
+    empty = spark.createDataFrame([], "stream int, seq long, loud boolean, n int, t long")
+    assert Q.utterances(empty, by, F.col("loud"), F.col("n"), F.col("t")).count() == 0
+    rows = [(1, i, True, 8_000, None) for i in range(1, 4)] + [(1, 4, None, None, None), (1, 5, True, -5, None)]
+    df = spark.createDataFrame(rows, empty.schema)
+    got = Q.utterances(df, by, F.col("loud"), F.col("n"), F.col("t"))
+    assert list(map(tuple, got.collect())) == [(1, "FINAL", 1, 5, 5, 24_000, "END_OF_STREAM")]
+
+
+def test_a_stream_without_pauses_is_many_tasks_and_one_shuffle(spark):
+    df = spark.range(1, 20_001).select(F.lit("hot").alias("stream"), F.col("id").alias("seq"))
+    got = Q.utterances(df, Ordering(("stream",), ("seq",)), F.lit(True), F.lit(320), F.col("seq") * 20, block_rows=256)
+    assert sum(r.n_frames for r in got.collect() if r.kind == "FINAL") == 20_000
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # the maps and the utterances are taken from one exchange of frames, by key and block
+    assert final.count("ReusedExchange") == 1 and final.count("Range (") == 1
+
+
 def test_progress_starts_over_for_each_key_and_shows_completion(spark):
     rows = [("a", i, i * 400_000, 4_000_000) for i in range(11)] + [("b", 0, 10, 500), ("b", 1, 20, 500), ("b", 2, 500, 500)]
     df = spark.createDataFrame(rows, "k string, i int, done long, total long")
