@@ -4,10 +4,12 @@ A plain window over ``partitionBy(key)`` sends every row of a key to one task.
 works in two levels: a window inside ``(key, bucket)``, and a window over one summary row per
 bucket that carries the value in from earlier buckets.  Summaries are built with map-side
 aggregation, so a key that holds a third of all rows is spread over its buckets.  Results are the
-same as those of the plain window.
+same as those of the plain window.  A scan along the same keys and bucket as the one before it does
+not move its rows again.
 
 Buckets must follow the order: ``bucket`` is non-decreasing along ``order`` within a key (a time
-or sequence range).  Keys must not be null.
+or sequence range).  Where one range may hold very many rows of a key, ``by_count`` makes buckets of
+bounded size.  Keys must not be null.
 """
 
 from __future__ import annotations
@@ -48,6 +50,18 @@ def range_bucket(value: Column, width: int) -> Column:
     return F.floor(value.cast("bigint") / F.lit(width)).cast("bigint")
 
 
+def by_count(df: DataFrame, keys: list[str], order: list[str], block_rows_log2: int = 16) -> tuple[DataFrame, Ordering]:
+    """Buckets of at most ``2 ** block_rows_log2`` rows, whatever the order column holds (a busy day, equal times).
+
+    Rows are range-partitioned and sorted by (keys, order) and written once.  ``order`` should decide ties.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(ranges, *keys, *order).sortWithinPartitions(*keys, *order)
+    # written once: bounds drawn a second time would give other buckets
+    rows = written(placed.withColumn("_at", F.monotonically_increasing_id()), "blocks")
+    return rows.select(*df.columns, F.shiftright("_at", block_rows_log2).alias("_block_no")), Ordering(tuple(keys), tuple(order), "_block_no")
+
+
 def scan(df: DataFrame, by: Ordering, values: Mapping[str, Running], reverse: bool = False) -> DataFrame:
     """Add running values along the order; ``reverse`` runs from the end (so ``last`` means next)."""
     inner_order = [F.col(c).desc() if reverse else F.col(c).asc() for c in by.order]

@@ -11,7 +11,7 @@ from ragspark.functions import text as T
 from ragspark.operators import sequences as Q
 from ragspark.operators import translation as L
 from ragspark.operators.chunking import chunk_text
-from ragspark.operators.ordered import Ordering, range_bucket
+from ragspark.operators.ordered import Ordering, by_count, range_bucket
 from ragspark.queries.registry import documents, events, plain, query, sql_chunks, sql_trim, table
 
 HOUR_MS = 3_600_000
@@ -75,13 +75,26 @@ def _frames(spark, folder):
     return rows.withColumn("speech", speech).withColumn("_block_no", range_bucket(F.col("seq"), 4096)), by_seq
 
 
-@query("speech_runs", f"""WITH {_FRAMES}, m AS (SELECT *, max(CASE WHEN NOT speech THEN seq END) OVER w AS s0, max(CASE WHEN speech THEN seq END) OVER w AS s1 FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY seq))
-SELECT user_id, event_id, seq, seq - coalesce(s0, 0) AS speech_run, seq - coalesce(s1, 0) AS silence_run FROM m""")
+_RUNS = f"""WITH {_FRAMES}, m AS (SELECT *, max(CASE WHEN NOT speech THEN seq END) OVER w AS s0, max(CASE WHEN speech THEN seq END) OVER w AS s1 FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+SELECT user_id, event_id, seq, seq - coalesce(s0, 0) AS speech_run, seq - coalesce(s1, 0) AS silence_run FROM m"""
+
+
+@query("speech_runs", _RUNS)
 def speech_runs(spark, folder):
     frames, by = _frames(spark, folder)
     return plain(Q.run_lengths(frames, by, F.col("speech")).select("user_id", "event_id", "seq", "speech_run", "silence_run"))
 
 
+@query("speech_runs_by_count", _RUNS)
+def speech_runs_by_count(spark, folder):
+    """The same over buckets of bounded size, however many frames of a user fall on one day."""
+    e = table(spark, folder, "events").select("user_id", "event_id", "ts", "value")
+    rows, by = by_count(e, ["user_id"], ["ts", "event_id"])
+    frames = Q.with_index(rows, by).withColumn("speech", A.is_speech((F.col("value") / 500).cast("float")))
+    runs = Q.run_lengths(frames, Ordering(by.keys, ("seq",), by.bucket), F.col("speech"))
+    return plain(runs.select("user_id", "event_id", "seq", "speech_run", "silence_run"))
+
+
 @query("pre_roll", f"""WITH {_FRAMES} SELECT user_id, seq, array_to_string(list(event_id) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), ',') AS held FROM fr""")
 def pre_roll(spark, folder):
     frames, _ = _frames(spark, folder)

@@ -14,7 +14,7 @@ from ragspark.functions import fixed as X
 from ragspark.operators import chunking as K
 from ragspark.operators import search as S
 from ragspark.operators import sequences as Q
-from ragspark.operators.ordered import Ordering, Running, range_bucket, scan, with_halo
+from ragspark.operators.ordered import Ordering, Running, by_count, range_bucket, scan, with_halo
 from ragspark.operators.segmentation import SpeechSegmenter
 
 
@@ -205,6 +205,21 @@ def test_a_stream_without_pauses_is_many_tasks_and_one_shuffle(spark):
     assert final.count("ReusedExchange") == 1 and final.count("Range (") == 1
 
 
+def test_a_busy_day_is_many_buckets(spark):
+    """All rows of one user at one time: buckets by count split them, and running values are those of the plain window."""
+    rng = random.Random(11)
+    rows = [("hot", 5, i, rng.randint(0, 9)) for i in range(3000)] + [(k, i % 3, i, i) for k in ("a", "z") for i in range(40)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, day int, id int, v int")
+    placed, by = by_count(df, ["k"], ["day", "id"], block_rows_log2=6)
+    sizes = [r["count"] for r in placed.groupBy("k", by.bucket).count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 64
+    w = Window.partitionBy("k").orderBy("day", "id").rowsBetween(Window.unboundedPreceding, 0)
+    got = Q.with_index(scan(placed, by, {"top": Running("max", F.col("v")), "s": Running("sum", F.col("v"))}), by)
+    want = df.select("k", "id", F.max("v").over(w), F.sum("v").over(w), F.count("*").over(w))
+    assert sorted(map(tuple, got.select("k", "id", "top", "s", "seq").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_progress_starts_over_for_each_key_and_shows_completion(spark):
     rows = [("a", i, i * 400_000, 4_000_000) for i in range(11)] + [("b", 0, 10, 500), ("b", 1, 20, 500), ("b", 2, 500, 500)]
     df = spark.createDataFrame(rows, "k string, i int, done long, total long")
