@@ -14,6 +14,7 @@ from ragspark.operators.ordered import Ordering, with_index, with_place
 from ragspark.operators.embedding import HashedBagOfWords
 from ragspark.plans.ingestion import ingest, ingest_store
 from ragspark.queries.registry import documents, plain, query, sql_chunks, table
+from ragspark.sources.snapshots import feed, write_snapshot
 from ragspark.sources.store import BucketStore
 from ragspark.sources.tables import shared_path
 
@@ -53,6 +54,26 @@ def catalog_diff(spark, folder):
     return C.classify(_listing(spark, folder), _catalog(spark, folder))
 
 
+_HEADER = "document_id, display_name, size_bytes, mime_type, modified_ms"
+
+
+@query("catalog_feed", f"""WITH {_LISTING}, d AS (SELECT coalesce(l.document_id, c.document_id) AS document_id, c.size_bytes AS was, l.size_bytes AS now,
+  CASE WHEN l.document_id IS NULL THEN 'REMOVED' WHEN c.document_id IS NULL THEN 'ADDED' ELSE 'CHANGED' END AS change
+  FROM listing l FULL JOIN catalog c ON l.document_id = c.document_id
+  WHERE (l.display_name, l.size_bytes, l.mime_type, l.modified_ms) IS DISTINCT FROM (c.display_name, c.size_bytes, c.mime_type, c.modified_ms))
+SELECT 1 AS version, document_id, change, was, now FROM d
+UNION ALL SELECT 3, document_id, CASE change WHEN 'REMOVED' THEN 'ADDED' WHEN 'ADDED' THEN 'REMOVED' ELSE change END, now, was FROM d""")
+def catalog_feed(spark, folder):
+    """What observers of the catalog are told over four versions: the listing comes, comes again unchanged, and is taken back.
+
+    The step without a change reads no part of either version.
+    """
+    columns = _HEADER.split(", ")
+    headers, listed = _catalog(spark, folder).select(columns), _listing(spark, folder).select(columns)
+    versions = [write_snapshot(rows, shared_path(spark, "catalog"), ["document_id"], parts=16) for rows in (headers, listed, listed, headers)]
+    return feed(versions).select("version", "document_id", "change", F.col("before.size_bytes").alias("was"), F.col("after.size_bytes").alias("now"))
+
+
 # chunks of all documents with every seventh embedding missing
 _KNOCKED = f"{sql_chunks()}, k AS (SELECT doc_id AS document_id, ordinal, end_token, (doc_id * 31 + ordinal) % 7 <> 3 AS ok FROM chunks)"
 
