@@ -7,6 +7,7 @@ operators around a model can run; replace it with any object that has the same t
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
@@ -60,11 +61,29 @@ class HashedBagOfWords:
 
         @F.arrow_udf("array<float>")
         def hashed(tokens: pa.Array) -> pa.Array:
-            return _hash_counts(tokens, dim)
+            return pa.concat_arrays([_hash_counts(part, dim) for part in token_blocks(tokens)])
 
         return hashed(T.pretokens(text))
 
 
+BLOCK_TOKENS = 1 << 19
+
+
+def token_blocks(tokens: pa.ListArray, block_tokens: int = BLOCK_TOKENS) -> Iterator[pa.ListArray]:
+    """Stretches of rows with at most ``block_tokens`` tokens in all, or one row; at least one stretch.
+
+    What is made of a batch besides its result then follows the block, not the rows that Spark put into the batch.
+    """
+    ends = tokens.offsets.to_numpy()
+    low = 0
+    while True:
+        high = max(low + 1, int(np.searchsorted(ends, int(ends[low]) + block_tokens, "right")) - 1)
+        yield tokens.slice(low, high - low)
+        if high >= len(tokens):
+            return
+        low = high
+
+
 def _hash_counts(tokens: pa.Array, dim: int) -> pa.Array:
     n = len(tokens)
     parents = pc.list_parent_indices(tokens).to_numpy()

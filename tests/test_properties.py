@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import fixed as X
 from ragspark.operators import chunking as K
+from ragspark.operators import embedding as M
 from ragspark.operators import search as S
 from ragspark.operators import sequences as Q
 from ragspark.operators.ordered import Ordering, Running, by_count, range_bucket, scan, with_halo
@@ -353,3 +354,15 @@ def test_progress_of_a_hot_key_is_found_block_by_block(spark):
     want = {(k, i) for k, part in data.items() for i in _shown(part, 25)}
     assert {(r.key, r["at"]) for r in got.collect()} == want and got.count() == len(want)
     assert Q.progress_steps(df.limit(0), ["key"], "at", "done", "total").isEmpty()
+
+
+def test_batches_of_tokens_are_read_in_bounded_blocks():
+    rng = random.Random(8)
+    rows = [None if i % 9 == 4 else [rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 7, 40]))] for i in range(300)]
+    for tokens in (pa.array(rows, pa.list_(pa.string())), pa.array(rows, pa.list_(pa.string())).slice(11, 200)):
+        parts = list(M.token_blocks(tokens, 50))
+        assert pa.concat_arrays(parts).equals(tokens)
+        assert max(len(p.flatten()) for p in parts) <= 50 and len(parts) < len(tokens) / 2
+        assert pa.concat_arrays([M._hash_counts(p, 16) for p in parts]).equals(M._hash_counts(tokens, 16))
+    assert [len(p) for p in M.token_blocks(pa.array([["a"] * 60, ["b"] * 60], pa.list_(pa.string())), 50)] == [1, 1]
+    assert [len(p) for p in M.token_blocks(pa.array([], pa.list_(pa.string())), 50)] == [0]
