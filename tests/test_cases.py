@@ -311,3 +311,15 @@ def test_stand_in_vectors_are_unit_length(spark):
     rows = M.with_embedding(df, M.HashedBagOfWords(16)).collect()
     assert sum(x * x for x in rows[0].embedding) == pytest.approx(1.0, abs=1e-6)
     assert rows[1].embedding is None
+
+
+def test_wordpiece_ids_do_not_depend_on_the_block():
+    import pyarrow as pa
+
+    from ragspark.operators.embedding import token_blocks
+    from ragspark.operators.wordpiece import Pieces, _ids_of
+
+    pieces = Pieces({**TOY, "un": 6, "##known": 7}, 1)
+    words = pa.array([["unknown", "hello"], None, [], ["zzz"], ["world", "unknown", "un"]], pa.list_(pa.string()))
+    whole = [[6, 7, 4], [], [], [1], [5, 6, 7, 6]]
+    assert pa.concat_arrays([_ids_of(p, pieces) for p in token_blocks(words, 2)]).to_pylist() == whole == _ids_of(words, pieces).to_pylist()
