@@ -47,12 +47,16 @@ def default_language(options: DataFrame, preferred: str, exclude: str | None = N
 
 
 def valid_pairs(requests: DataFrame, supported: DataFrame, source: str, target: str) -> DataFrame:
-    """Requests with normalised tags and ``pair_ok``: both are supported languages."""
+    """Requests with normalised tags and ``pair_ok``: both are supported languages.
+
+    A handful of tags holds most requests, so a shuffle by tag would send a whole language's texts to one task.  The
+    distinct supported tags, a short list of languages, are broadcast instead; requests stay where they are.
+    """
     tags = supported.select(T.language_tag(F.col("tag")).alias("_tag")).where("_tag IS NOT NULL").distinct()
     norm = requests.withColumn("source_tag", T.language_tag(F.col(source))).withColumn("target_tag", T.language_tag(F.col(target)))
     s = tags.select(F.col("_tag").alias("source_tag"), F.lit(True).alias("_s"))
     t = tags.select(F.col("_tag").alias("target_tag"), F.lit(True).alias("_t"))
-    joined = norm.join(s, "source_tag", "left").join(t, "target_tag", "left")
+    joined = norm.join(F.broadcast(s), "source_tag", "left").join(F.broadcast(t), "target_tag", "left")
     ok = F.coalesce(F.col("_s") & F.col("_t"), F.lit(False))
     return joined.select(*requests.columns, "source_tag", "target_tag", ok.alias("pair_ok"))
 

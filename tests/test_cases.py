@@ -323,3 +323,22 @@ def test_wordpiece_ids_do_not_depend_on_the_block():
     words = pa.array([["unknown", "hello"], None, [], ["zzz"], ["world", "unknown", "un"]], pa.list_(pa.string()))
     whole = [[6, 7, 4], [], [], [1], [5, 6, 7, 6]]
     assert pa.concat_arrays([_ids_of(p, pieces) for p in token_blocks(words, 2)]).to_pylist() == whole == _ids_of(words, pieces).to_pylist()
+
+
+def test_unit_vectors_sum_the_norm_once(spark):
+    from ragspark.functions import vectors as V
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([float("inf"), 1.0],), ([],)], "v array<double>")
+    unit = df.select(V.l2_normalise(F.col("v")).alias("u"))
+    assert [r.u and [round(x, 6) for x in r.u] for r in unit.collect()] == [[0.6, 0.8], None, None, None, None]
+    plan = unit._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
+def test_language_guards_do_not_shuffle_requests(spark):
+    from ragspark.operators import translation as L
+
+    rows = spark.range(100).select("id", F.lit(" EN ").alias("a"), F.when(F.col("id") % 2 == 0, "fr").when(F.col("id") % 5 == 0, "xx").alias("b"))
+    pairs = L.valid_pairs(rows, spark.createDataFrame([("en",), ("FR",), ("en",)], "tag string"), "a", "b")
+    assert "Exchange hashpartitioning(source_tag" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert [r.id for r in pairs.where("pair_ok").orderBy("id").collect()] == list(range(0, 100, 2)) and pairs.count() == 100
