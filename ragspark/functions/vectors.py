@@ -62,9 +62,12 @@ def cosine_to(v: Column, query: list[float]) -> Column:
 
 def l2_normalise(v: Column, epsilon: float = 1e-12) -> Column:
     """Unit vector as ``array<float>``; null when the norm is not finite or not above ``epsilon``."""
-    norm = F.sqrt(squared_norm(v))
-    ok = (norm > epsilon) & (norm < F.lit(float("inf")))
-    return F.when(ok, F.transform(v, lambda x: F.try_divide(x.cast("double"), norm).cast("float")))
+    def unit(norm: Column) -> Column:
+        ok = (norm > epsilon) & (norm < F.lit(float("inf")))
+        return F.when(ok, F.transform(v, lambda x: F.try_divide(x.cast("double"), norm).cast("float")))
+
+    # the lambda binds the norm, which would be summed again for every component
+    return F.transform(F.array(F.sqrt(squared_norm(v))), unit)[0]
 
 
 def active_tokens(mask: Column) -> Column:
