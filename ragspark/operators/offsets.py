@@ -33,12 +33,14 @@ def token_offsets(docs: DataFrame, id_col: str = "document_id", text_col: str =
     one = f"[{T.WHITESPACE_CLASS}]*+{T.token_pattern(max_token_length)}+"
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?:{one}){{1,{every}}}+"), F.lit(0))
     # only the last block can be short, so only its tokens are counted
-    facts = F.transform(pieces, lambda p, i: F.struct(F.octet_length(p).cast("bigint").alias("n_bytes"), p.alias("piece")))
-    short = docs.select(F.col(id_col), facts.alias("_f"), text_key(text_col).alias("text_key")).select(
-        id_col, "text_key", F.transform("_f", lambda f: f["n_bytes"]).alias("_sizes"),
-        T.token_count(F.element_at("_f", -1)["piece"], max_token_length).alias("_rest"), F.size("_f").alias("_n"),
-    ).where(F.col("_n") > 0)
-    rows = short.select(id_col, "text_key", "_rest", "_n", F.posexplode("_sizes").alias("block", "n_bytes"))
+    found = docs.select(F.col(id_col), pieces.alias("_f"), text_key(text_col).alias("text_key")).select(
+        id_col, "text_key", F.transform("_f", lambda p: F.octet_length(p).cast("bigint")).alias("_sizes"),
+        T.token_count(F.try_element_at("_f", F.lit(-1)), max_token_length).alias("_rest"), F.size("_f").alias("_n"),
+    )
+    # conditions sit inside explode: a filter would be pushed down and run the pattern twice
+    each = F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = found.select(id_col, "text_key", "_rest", "_n", "_sizes", each.alias("block")).select(
+        id_col, "text_key", "_rest", "_n", "block", F.get("_sizes", "block").alias("n_bytes"))
     before = Window.partitionBy(id_col).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return rows.select(
         id_col, "block", F.coalesce(F.sum("n_bytes").over(before), F.lit(0).cast("bigint")).alias("at"), "n_bytes",

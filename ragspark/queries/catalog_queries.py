@@ -16,7 +16,7 @@ from ragspark.plans.ingestion import ingest, ingest_store
 from ragspark.queries.registry import documents, plain, query, sql_chunks, table
 from ragspark.sources.snapshots import feed, write_snapshot
 from ragspark.sources.store import BucketStore
-from ragspark.sources.tables import shared_path
+from ragspark.sources.tables import shared_path, written
 
 DIM = 64
 
@@ -420,8 +420,8 @@ def store_ingest(spark, folder):
 
 @query("fill_holes", f"""WITH {sql_chunks()} SELECT doc_id AS document_id, ordinal, text, start_token, end_token FROM chunks WHERE (doc_id * 31 + ordinal) % 7 = 3""")
 def fill_holes(spark, folder):
-    """Every seventh chunk is lost and cut again, each from the stretch that the offset index tells."""
+    """Every seventh chunk is lost and cut again, each from the stretch that the stored offset index tells."""
     docs = documents(spark, folder).select(F.col("doc_id").alias("document_id"), "text")
-    index = O.token_offsets(docs)
+    index = written(O.token_offsets(docs), "offsets")
     stored = O.expected_chunks(index).where((F.col("document_id") * 31 + F.col("ordinal")) % 7 != 3)
     return plain(O.fill_holes(docs, index, stored))

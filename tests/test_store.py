@@ -175,3 +175,15 @@ def test_every_step_of_the_schema_is_taken_once(spark):
     assert done["documents"].collect() == [("a", 0)] and done["document_chunks"].collect() == [("a", 0, None)]
     assert done["translation_history"].isEmpty() and columns(upgrade_tables(done, 1)) == columns(done)
     assert upgrade_tables({**old, "translation_history": chunks}, 1)["translation_history"] is chunks
+
+
+def test_the_index_runs_its_pattern_once(spark):
+    from pyspark.sql import functions as F
+
+    from ragspark.operators import offsets as O
+
+    docs = spark.createDataFrame([(1, "a b  c d e"), (2, ""), (3, None), (4, " \t")], "document_id int, text string")
+    index = O.token_offsets(docs, every=2)
+    assert [tuple(r)[:5] for r in index.orderBy("block").collect()] == [(1, 0, 0, 3, 2), (1, 1, 3, 5, 2), (1, 2, 8, 2, 1)]
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(text#") == 1  # the other counts the words of the last block
