@@ -10,9 +10,10 @@
 5. Decoding looks the ids up in the token-byte table, which the rank file bounds.
 
 Words of one length are merged together: the pair of lowest rank of every word (the first of equals) is joined
-until no pair of a word is a token.  Pairs are found in the sorted list of all splits of all tokens into two
-tokens.  Words over ``LONG`` bytes go through a heap each, by the same rule.  A word that is itself a token is
-that token.
+until no pair of a word is a token.  Pairs are looked up in hash tables of all splits of all tokens into two
+tokens, built once by the driver.  Text without characters above U+FFFF is split by the standard library, with the
+classes of the tiktoken library written out.  Words over ``LONG`` bytes go through a heap each, by the same rule.
+A word that is itself a token is that token.
 
 Edge cases: null and empty texts have no tokens; a very long document is a block of its own and so bounds the
 memory of its task; repeated rows and repeated ids are encoded row by row; extra columns stay out.  The documents are
@@ -23,8 +24,10 @@ partition is read again, as files do (write other tables first); a check sum of
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,6 +43,7 @@ from ragspark.llm.shared import opened, partitions, sent, text_or_null
 LONG = 48
 BLOCK = 16 << 20  # bytes of text whose words are numbered together
 NONE = np.int32(2**31 - 1)
+KINDS = (r"\p{L}", r"\p{N}", r"\s")
 SLICE = 1 << 18  # ids decoded at a time
 
 
@@ -50,7 +54,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Merges:
-    """All splits of a token into two tokens, sorted, and the bytes of every token."""
+    """All splits of a token into two tokens, hashed, and the bytes of every token."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -59,8 +63,8 @@ class Merges:
         pairs = [(ranks[t[:i]] * self.size + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t))
                  if t[:i] in ranks and t[i:] in ranks]
         keys, made = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64),) * 2
-        order = np.argsort(keys)
-        self.keys, self.made = keys[order], made[order].astype(np.int32)
+        self.keys, self.made = keys, made.astype(np.int32)
+        self.levels = self.slots()
         by_id = [b""] * self.size
         for t, r in ranks.items():
             by_id[r] = t
@@ -68,13 +72,42 @@ class Merges:
         self.starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.sizes)[:-1]))
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
 
+    def slots(self) -> list[tuple[np.uint64, np.ndarray, np.ndarray]]:
+        """Hash tables (shift, keys, tokens): a pair is in the first of them in which no earlier pair has its slot."""
+        levels, left = [], np.arange(len(self.keys))
+        while len(left):
+            bits = int(4 * len(left)).bit_length()
+            shift = np.uint64(64 - bits)
+            slot = self.slot(self.keys[left], len(levels), shift)
+            _, first = np.unique(slot, return_index=True)
+            keys, made = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE)
+            keys[slot[first]], made[slot[first]] = self.keys[left[first]], self.made[left[first]]
+            levels.append((shift, keys, made))
+            left = np.delete(left, first)
+        return levels
+
+    @staticmethod
+    def slot(keys: np.ndarray, level: int, shift: np.uint64) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * level)) >> shift).view(np.int64)
+
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The token that each pair makes, which is its rank too; ``NONE`` without one."""
-        if not len(self.keys):
-            return np.full(left.shape, NONE)
-        key = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], NONE)
+        key = (left.astype(np.int64) * self.size + right).ravel()
+        out = np.full(len(key), NONE)
+        rest, asked = None, key
+        for level, (shift, keys, made) in enumerate(self.levels):
+            slot = self.slot(asked, level, shift)
+            there = keys[slot]
+            found = np.where(there == asked, made[slot], NONE)
+            if rest is None:
+                out = found
+            else:
+                out[rest] = found
+            on = np.flatnonzero((there != asked) & (there >= 0))  # an empty slot ends the search
+            if not len(on):
+                break
+            rest, asked = (on if rest is None else rest[on]), asked[on]
+        return out.reshape(left.shape)
 
     def merge_equal(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of one length (n x L bytes): (ids n x L from the left, counts)."""
@@ -85,29 +118,26 @@ class Merges:
             return ids, counts
         pair = np.full((n, size), NONE)
         pair[:, :-1] = self.joined(ids[:, :-1], ids[:, 1:])
-        active = np.arange(n)
-        steps = np.arange(size)
-        while len(active):
-            at = pair[active].argmin(axis=1)
-            best = pair[active, at]
+        done, own, steps = np.empty_like(ids), np.arange(n), np.arange(size)
+        while len(own):
+            at = pair.argmin(axis=1)
+            best = pair[np.arange(len(own)), at]
             go = best < NONE
-            active, at, best = active[go], at[go], best[go]
-            if not len(active):
-                break
+            if not go.all():
+                done[own[~go]] = ids[~go]
+                own, ids, pair, at, best = own[go], ids[go], pair[go], at[go], best[go]
+            row = np.arange(len(own))
             moved = np.minimum(steps + (steps > at[:, None]), size - 1)  # everything after the pair goes one to the left
-            ids[active] = np.take_along_axis(ids[active], moved, 1)
-            pair[active] = np.take_along_axis(pair[active], moved, 1)
-            ids[active, at] = best
-            counts[active] -= 1
-            last = counts[active] - 1
-            pair[active, last] = NONE
-            before = at > 0
-            rows, spot = active[before], at[before]
-            pair[rows, spot - 1] = self.joined(ids[rows, spot - 1], ids[rows, spot])
-            after = at < last
-            rows, spot = active[after], at[after]
+            moved += row[:, None] * size
+            ids, pair = ids.ravel()[moved], pair.ravel()[moved]
+            ids[row, at] = best
+            counts[own] -= 1
+            last = counts[own] - 1
+            pair[row, last] = NONE
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < last)
+            rows, spot = np.concatenate((before, after)), np.concatenate((at[before] - 1, at[after]))
             pair[rows, spot] = self.joined(ids[rows, spot], ids[rows, spot + 1])
-        return ids, counts
+        return done, counts
 
     def merge_long(self, word: bytes) -> list[int]:
         """The same merges over one word, with a heap of pairs."""
@@ -146,27 +176,38 @@ class Merges:
             self._pairs = dict(zip(self.keys.tolist(), self.made.tolist()))
         return self._pairs
 
+    def encode_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many ids each word has)."""
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+        counts = (whole >= 0).astype(np.int64)
+        made: list[tuple[np.ndarray, np.ndarray]] = [(np.flatnonzero(whole >= 0), whole[whole >= 0])]
+        for i in np.flatnonzero((whole < 0) & (sizes > LONG)).tolist():
+            ids = np.array(self.merge_long(words[i]), np.int64)
+            counts[i] = len(ids)
+            made.append((np.array([i]), ids))
+        rest = np.flatnonzero((whole < 0) & (sizes <= LONG))
+        rest = rest[np.argsort(sizes[rest], kind="stable")]
+        cuts = np.flatnonzero(np.diff(sizes[rest], prepend=-1)).tolist()
+        for x, y in zip(cuts, [*cuts[1:], len(rest)]):
+            size = int(sizes[rest[x]])
+            step = (1 << 20) // max(size, 1)
+            for k in range(x, y, step):
+                rows = rest[k : min(k + step, y)]
+                ids, n = self.merge_equal(raw[starts[rows][:, None] + np.arange(size)])
+                counts[rows] = n
+                made.append((rows, ids[np.arange(size) < n[:, None]]))
+        place = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), np.int32)
+        for rows, ids in made:
+            flat[kernel.ragged(place[rows], counts[rows])] = ids
+        return flat, counts
+
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of every word."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        rest: dict[int, list[int]] = {}
-        for i, word in enumerate(words):
-            whole = self.ranks.get(word)
-            if whole is not None:
-                out[i] = np.array([whole], np.int32)
-            elif len(word) > LONG:
-                out[i] = np.array(self.merge_long(word), np.int32)
-            else:
-                rest.setdefault(len(word), []).append(i)
-        for size, rows in rest.items():
-            step = (1 << 20) // max(size, 1)
-            for k in range(0, len(rows), step):
-                part = rows[k : k + step]
-                block = np.frombuffer(b"".join([words[i] for i in part]), np.uint8).reshape(len(part), size)
-                ids, counts = self.merge_equal(block)
-                for i, row, n in zip(part, ids, counts.tolist()):
-                    out[i] = row[:n]
-        return out
+        flat, counts = self.encode_flat(words)
+        return np.split(flat, np.cumsum(counts)[:-1]) if words else []
 
     def decode(self, ids: np.ndarray) -> Iterator[bytes]:
         """The bytes of the tokens, a slice at a time."""
@@ -175,37 +216,73 @@ class Merges:
             yield self.bytes[kernel.ragged(self.starts[part], self.sizes[part])].tobytes()
 
 
+@functools.cache
+def library_classes() -> dict[str, list[int]]:
+    """The letters, numbers and white space of the tiktoken library, as code points."""
+    import tiktoken
+
+    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    single = {bytes([b]): b for b in range(256)}
+    out = {}
+    for kind in KINDS:
+        there = tiktoken.Encoding("classes", pat_str=kind, mergeable_ranks=single, special_tokens={})
+        out[kind] = list(map(ord, bytes(there.encode_ordinary(every)).decode()))
+    return out
+
+
 def class_differences() -> dict[int, str]:
     """Characters that the splitting here and in the tiktoken library put in different classes, as stand-ins of the latter's.
 
     The two follow different versions of Unicode; classes are letters, numbers, white space and the rest.
     """
     import regex
-    import tiktoken
 
     every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
-    single = {bytes([b]): b for b in range(256)}
     kind_there, kind_here = {}, {}
-    for kind in (r"\p{L}", r"\p{N}", r"\s"):
-        there = tiktoken.Encoding("classes", pat_str=kind, mergeable_ranks=single, special_tokens={})
-        kind_there.update(dict.fromkeys(map(ord, bytes(there.encode_ordinary(every)).decode()), kind))
+    for kind, there in library_classes().items():
+        kind_there.update(dict.fromkeys(there, kind))
         kind_here.update(dict.fromkeys(map(ord, regex.findall(kind, every)), kind))
     stand_in = {r"\p{L}": "\u3042", r"\p{N}": "\u0660", r"\s": "\u00a0", None: "\u00a1"}
     return {c: stand_in[kind_there.get(c)] for c in {*kind_there, *kind_here} if kind_there.get(c) != kind_here.get(c)}
 
 
-def splitter(pattern: str, differences: dict[int, str]):
-    """A function from a text to its words."""
+def plain_pattern(pattern: str) -> str | None:
+    """``pattern`` for the standard library, with the tiktoken library's classes below U+10000 written out.
+
+    None for a pattern with more than classes, groups, look-ahead and repeats.  The standard library takes half the time.
+    """
+    ranges = {}
+    for kind, members in library_classes().items():
+        code = np.array([c for c in members if c < 0x10000])
+        cut = np.flatnonzero(np.diff(code, prepend=-2) != 1)
+        ranges[kind] = "".join(f"\\u{code[x]:04x}-\\u{code[y]:04x}" for x, y in zip(cut, [*(cut[1:] - 1), len(code) - 1]))
+    out, inside = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|\(\?.|\[\^?\]|\{\D|[?*+}]\+|&&|\|\||--|~~|.", pattern, re.S):
+        if part in ranges:
+            out.append(ranges[part] if inside else f"[{ranges[part]}]")
+        elif part == r"\S" and not inside:
+            out.append(f"[^{ranges[chr(92) + 's']}]")
+        elif part in (r"\r", r"\n", r"\t", "(?:", "(?!", "(?=") or len(part) == 1 and (part not in "[(" or not inside and part == "["):
+            inside = part == "[" or inside and part != "]"
+            out.append(part)
+        else:
+            return None
+    return "".join(out)
+
+
+def splitter(pattern: str, differences: dict[int, str], plain: str | None = None):
+    """A function from a text to its words; ``plain``: see ``plain_pattern``."""
     import regex
 
     compiled = regex.compile(pattern)
-    if not differences:
-        return compiled.findall
+    quick = re.compile(plain).findall if plain else None
     odd = np.zeros(0x110000, bool)
     odd[list(differences)] = True
 
     def words(text: str) -> list[str]:
-        if text.isascii() or not odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+        if quick and (text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)):
+            return quick(text)
+        if not differences or text.isascii() or not odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
             return compiled.findall(text)
         return [text[m.start() : m.end()] for m in compiled.finditer(text.translate(differences))]
 
@@ -244,11 +321,11 @@ def by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]
     return np.argsort(own, kind="stable"), own
 
 
-def word_batches(pattern: str, differences: dict[int, str], block: int, buckets: int):
+def word_batches(words_in: tuple[str, dict[int, str], str | None], block: int, buckets: int):
     """Texts to one row for each block and bucket: the block's distinct words of that bucket, packed in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = splitter(pattern, differences)
+        words_of = splitter(*words_in)
         for _, _, texts, number, check in blocks_of(batches, block):
             seen: dict[str, None] = {}
             for text in texts:
@@ -278,11 +355,11 @@ class Numbered(dict):
         return number
 
 
-def document_batches(pattern: str, differences: dict[int, str], block: int, buckets: int):
+def document_batches(words_in: tuple[str, dict[int, str], str | None], block: int, buckets: int):
     """Documents to the places of their words, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = splitter(pattern, differences)
+        words_of = splitter(*words_in)
         for batch, i, texts, number, check in blocks_of(batches, block):
             seen = Numbered()
             found = []
@@ -316,17 +393,21 @@ def encode_words(shared):
     """Rows sorted by word: each distinct word is encoded once, and its ids joined to all its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges(opened(shared))
-        last, last_ids = None, b""
+        merges: Merges = opened(shared)
+        last, last_ids = None, np.empty(0, np.int32)
         for batch in batches:
             runs = batch.column(0).dictionary_encode()
             words = runs.dictionary.to_pylist()
-            fresh = words[1:] if words and words[0] == last else words
-            ids = [last_ids] * (len(words) - len(fresh)) + [x.astype("<u4").tobytes() for x in merges.encode(fresh)]
-            if ids:
-                last, last_ids = words[-1], ids[-1]
+            again = bool(words) and words[0] == last
+            flat, counts = merges.encode_flat(words[again:])
+            if again:
+                flat, counts = np.concatenate((last_ids, flat)), np.append(len(last_ids), counts)
+            if words:
+                last, last_ids = words[-1], flat[len(flat) - counts[-1] :]
+            ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(4 * counts))).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype("<u4"))])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(ids, pa.binary()).take(runs.indices)], names=["block", "check", "place", "ids"])
+                [*batch.columns[1:], ids.take(runs.indices)], names=["block", "check", "place", "ids"])
 
     return run
 
@@ -351,7 +432,7 @@ def reassemble(shared):
     """Rows sorted by block, documents after words: ids of every document, by the places of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges(opened(shared))
+        merges: Merges = opened(shared)
         block, flat, starts, counts = None, None, None, None
         parts: list[tuple[int, np.ndarray, np.ndarray]] = []
         checks: set[int] = set()
@@ -415,18 +496,19 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, blo
     ``ids_sha256`` is over the ids as little-endian 32-bit words, ``decoded_sha256`` over the bytes that the ids decode to.
     """
     spark = docs.sparkSession
-    shared, differences, buckets = sent(spark.sparkContext, ranks), class_differences(), partitions(spark)
+    shared, buckets = sent(spark.sparkContext, Merges(ranks)), partitions(spark)
+    words_in = pattern, class_differences(), plain_pattern(pattern)
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select(docs["doc_id"].alias("doc"), F.spark_partition_id().alias("part"), text_or_null(docs).alias("text"))
     words = read.mapInArrow(
-        word_batches(pattern, differences, block, buckets), "bucket int, block long, check long, place int, sizes binary, words binary")
+        word_batches(words_in, block, buckets), "bucket int, block long, check long, place int, sizes binary, words binary")
     ids = (
         words.repartitionById(buckets, F.col("bucket")).mapInArrow(unpack_words, "word binary, block long, check long, place int")
         .sortWithinPartitions("word").mapInArrow(encode_words(shared), "block long, check long, place int, ids binary")
         .sortWithinPartitions("block", "place").mapInArrow(pack_ids, "block long, check long, place int, sizes binary, packed binary")
     )
     documents = read.mapInArrow(
-        document_batches(pattern, differences, block, buckets), f"block long, check long, doc {kind}, place int, packed binary")
+        document_batches(words_in, block, buckets), f"block long, check long, doc {kind}, place int, packed binary")
     blocks = ids.withColumn("doc", F.lit(None).cast(kind)).unionByName(documents.withColumn("sizes", F.lit(None).cast("binary")))
     blocks = blocks.repartition(buckets, "block").sortWithinPartitions("block", F.col("sizes").isNull(), "place")
     return blocks.mapInArrow(reassemble(shared), f"doc_id {kind}, ids array<int>, ids_sha256 string, decoded_sha256 string")
@@ -434,11 +516,11 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, blo
 
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``doc_id, decoded`` (bytes) from ``doc_id, ids``; ids beyond the table raise."""
-    shared = sent(encoded.sparkSession.sparkContext, ranks)
+    shared = sent(encoded.sparkSession.sparkContext, Merges(ranks))
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges(opened(shared))
+        merges: Merges = opened(shared)
         for batch in batches:
             column = batch.column(1)
             raw = [b"".join(merges.decode(x.values.to_numpy(zero_copy_only=False))) if x.is_valid else None for x in column]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -130,6 +131,40 @@ def test_documents_are_encoded_and_decoded(spark, make, odd, ranks, reference, b
     assert bytebpe.encode_documents(docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_plain_pattern_splits_as_the_library(reference):
+    plain = bytebpe.plain_pattern(public_tokenizers.PATTERN)
+    # the first pattern, for text above U+FFFF only, finds nothing here
+    quick = bytebpe.splitter("(?!)", {}, plain)
+    slow = bytebpe.splitter(public_tokenizers.PATTERN, bytebpe.class_differences())
+    words_of = bytebpe.splitter(public_tokenizers.PATTERN, bytebpe.class_differences(), plain)
+    rng = random.Random(8)
+    every = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    rng.shuffle(every)
+    for text in ["".join(f"a{c} {c}1{c}{c}'s" for c in every[i : i + 500]) for i in range(0, len(every), 500)] + odd_texts(rng, 20):
+        want = slow(text)
+        assert words_of(text) == want
+        assert sum((reference.encode_ordinary(w) for w in want), []) == reference.encode_ordinary(text)
+        if max(text, default="") <= "\uffff":
+            assert quick(text) == want
+    for other in (r"\w+|\s+", r"(?i:'s)| ?\p{L}+", r"\p{Lu}\p{Ll}*+", r"[]\s]+", r"(a)|b", r"[a&&b]"):
+        assert bytebpe.plain_pattern(other) is None
+
+
+def test_tasks_get_the_merge_tables_built(spark, make, monkeypatch, ranks, reference):
+    here, build = os.getpid(), bytebpe.Merges.__init__
+
+    def only_here(self, ranks):
+        if os.getpid() != here:
+            raise AssertionError("merge tables built again in a task")
+        build(self, ranks)
+
+    monkeypatch.setattr(bytebpe.Merges, "__init__", only_here)
+    encoded = bytebpe.encode_documents(make([(i, f"some words {i}") for i in range(9)]), ranks, public_tokenizers.PATTERN)
+    assert {r.doc_id: list(r.ids) for r in encoded.collect()} == {i: reference.encode_ordinary(f"some words {i}") for i in range(9)}
+    rows = bytebpe.decode_documents(encoded, ranks).collect()
+    assert {bytes(r.decoded).decode() for r in rows} == {f"some words {i}" for i in range(9)}
+
+
 # prefix trie -----------------------------------------------------------------------------------
 
 
