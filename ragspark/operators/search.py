@@ -5,18 +5,22 @@ numpy: only the running top k of each task leaves it, never a (query, vector) pa
 
 Queries of at most ``QUERY_BYTES`` in all are broadcast and take one pass over the corpus, which is neither
 shuffled nor replicated; they are scored in tiles of ``TILE_QUERIES`` queries by ``TILE_ROWS`` vectors.  More
-queries go as rows to the pivot cells of the corpus that they have to read (see ``cells``).
+queries and the corpus meet as rows in a grid: a task holds a block of about ``BLOCK_BYTES`` of queries, whatever
+their number in all, and streams a share of the corpus.  The pairs are quadratic by nature; the corpus is sent once
+for each block, the queries once for each share.  With ``pruned``, queries go instead to the pivot cells of the
+corpus that they have to read (see ``cells``), which pays where vectors are clustered.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +28,8 @@ from ragspark.functions import vectors as V
 
 MAX_K = 50
 DEFAULT_K = 5
-QUERY_BYTES = 64 * 1024 * 1024
+QUERY_BYTES = 16 * 1024 * 1024
+BLOCK_BYTES = 32 * 1024 * 1024
 TILE_QUERIES = 512
 TILE_ROWS = 4096
 
@@ -134,12 +139,90 @@ def _tiles(query_ids: pa.Table, matrix: np.ndarray, k: int, floor: np.ndarray |
     return [_TopK(query_ids.slice(c.start, TILE_QUERIES), unit[c], bad[c], k, None if floor is None else floor[c].copy()) for c in cuts]
 
 
-def _one_block(asked: DataFrame, query_cols: Sequence[str], query_bytes: int, dimensions: int) -> bool:
-    """Whether the queries' ids and vectors fit a broadcast of ``query_bytes``."""
+def _size(asked: DataFrame, query_cols: Sequence[str], dimensions: int) -> int:
+    """Bytes of the queries' ids and vectors."""
     width = F.lit(dimensions * 8).cast("bigint")
     for c in query_cols:
         width = width + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
-    return (asked.agg(F.sum(width)).first()[0] or 0) <= query_bytes
+    return asked.agg(F.sum(width)).first()[0] or 0
+
+
+def _score_grid(k: int, dimensions: int, id_cols: Sequence[str], query_cols: Sequence[str], columns: Sequence[str]):
+    """Rows sorted by place in the grid, queries (``kind`` 0) before vectors: the best ``k`` of each query in each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tiles = None, []
+        for batch in batches:
+            place, kind = batch.column("_place").to_numpy(), batch.column("_kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0)).tolist()
+            for i, j in zip(cuts, [*cuts[1:], len(place)]):
+                if place[i] != now:
+                    for tile in tiles:
+                        yield from tile.result(columns)
+                    now, tiles = place[i], []
+                rows = batch.slice(i, j - i)
+                if kind[i] == 0:
+                    matrix, where = _matrix(rows.column("_vector"), dimensions)
+                    tiles += _tiles(pa.Table.from_batches([rows.select(query_cols)]).take(pa.array(where)), matrix, k)
+                    continue
+                for start in range(0, rows.num_rows, TILE_ROWS) if tiles else ():
+                    part = rows.slice(start, TILE_ROWS)
+                    matrix, where = _matrix(part.column("_vector"), dimensions)
+                    if len(matrix):
+                        ids = pa.Table.from_batches([part.select(id_cols)]).take(pa.array(where))
+                        unit, bad = _unit(matrix)
+                        for tile in tiles:
+                            tile.add(ids, unit, bad)
+        for tile in tiles:
+            yield from tile.result(columns)
+
+    return run
+
+
+def _grid(narrow: DataFrame, asked: DataFrame, id_cols: Sequence[str], query_cols: Sequence[str], dimensions: int, k: int,
+          vector_col: str, query_vector_col: str, schema: T.StructType, size: int) -> DataFrame:
+    """Best ``k`` of every query in every share of the corpus; a row's ids and vector decide its block or share."""
+    blocks = math.ceil(size / BLOCK_BYTES)
+    shares = math.ceil(4 * narrow.sparkSession.sparkContext.defaultParallelism / blocks)
+
+    def rows(df: DataFrame, ids: Sequence[str], other: Sequence[str], vector: str, kind: int, place: Column) -> DataFrame:
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ids])
+        return df.where(known & F.col(vector).isNotNull()).select(
+            F.explode(place).alias("_place"), F.lit(kind).alias("_kind"), *ids, *[F.lit(None).cast(schema[c].dataType).alias(c) for c in other],
+            F.col(vector).alias("_vector"))
+
+    block = F.pmod(F.xxhash64(*query_cols, query_vector_col), F.lit(blocks)).cast("int")
+    share = F.pmod(F.xxhash64(*id_cols, vector_col), F.lit(shares)).cast("int")
+    met = rows(asked, query_cols, id_cols, query_vector_col, 0, F.sequence(block * shares, block * shares + (shares - 1))).unionByName(
+        rows(narrow, id_cols, query_cols, vector_col, 1, F.sequence(share, share + (blocks - 1) * shares, F.lit(shares))))
+    dealt = met.repartitionById(blocks * shares, F.col("_place")).sortWithinPartitions("_place", "_kind")
+    return dealt.mapInArrow(_score_grid(k, dimensions, list(id_cols), list(query_cols), schema.names), schema)
+
+
+def _one_pass(narrow: DataFrame, asked: DataFrame, id_cols: Sequence[str], query_cols: Sequence[str], dimensions: int, k: int,
+              vector_col: str, query_vector_col: str, schema: T.StructType) -> DataFrame:
+    """Best ``k`` of every query in every task of the corpus, with the queries in a broadcast."""
+    columns = schema.names
+    table = asked.toArrow()
+    matrix, where = _matrix(table.column(query_vector_col), dimensions)
+    # plain Arrow and numpy values: a broadcast is unpickled without the package
+    shared = narrow.sparkSession.sparkContext.broadcast((table.select(query_cols).take(pa.array(where)), matrix))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles = _tiles(*shared.value, k)
+        for batch in batches:
+            for start in range(0, batch.num_rows, TILE_ROWS):
+                part = batch.slice(start, TILE_ROWS)
+                rows, where = _matrix(part.column(vector_col), dimensions)
+                if len(rows):
+                    ids = pa.Table.from_batches([part.select(id_cols)]).take(pa.array(where))
+                    unit, bad = _unit(rows)
+                    for tile in tiles:
+                        tile.add(ids, unit, bad)
+        for tile in tiles:
+            yield from tile.result(columns)
+
+    return narrow.mapInArrow(score, schema)
 
 
 def search_batch(
@@ -152,11 +235,13 @@ def search_batch(
     vector_col: str = "embedding",
     query_vector_col: str = "query_vector",
     query_bytes: int = QUERY_BYTES,
+    pruned: bool = False,
 ) -> DataFrame:
     """``query ids, corpus ids, score, rank`` of the exact top ``k`` for every query.
 
     Id columns may be numbers or strings; query and corpus id names must differ.  Rows whose vector
-    is null, of another length or not finite are not searched, nor are rows with a null id.
+    is null, of another length or not finite are not searched, nor are rows with a null id.  ``pruned``: more queries
+    than ``query_bytes`` go to pivot cells.
     """
     check_k(k)
     id_cols, query_cols = list(id_cols), list(query_cols)
@@ -164,34 +249,16 @@ def search_batch(
     asked = queries.select(*query_cols, query_vector_col)
     types = {f.name: f for f in [*asked.schema, *narrow.schema]}
     schema = T.StructType([types[c] for c in (*query_cols, *id_cols)] + [T.StructField("score", T.FloatType())])
-    columns = [f.name for f in schema]
-    context = corpus.sparkSession.sparkContext
-
-    if not _one_block(asked, query_cols, query_bytes, dimensions):
+    size = _size(asked, query_cols, dimensions)
+    if size > query_bytes and pruned:
         from ragspark.operators.cells import build_cells, search_cells
 
         index = build_cells(narrow, id_cols, dimensions, vector_col)
         return search_cells(index, asked, id_cols, query_cols, dimensions, k, vector_col, query_vector_col)
-    table = asked.toArrow()
-    matrix, where = _matrix(table.column(query_vector_col), dimensions)
-    # plain Arrow and numpy values: a broadcast is unpickled without the package
-    shared = context.broadcast((table.select(query_cols).take(pa.array(where)), matrix))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiles = _tiles(*shared.value, k)
-        for batch in batches:
-            for start in range(0, batch.num_rows, TILE_ROWS):
-                part = batch.slice(start, TILE_ROWS)
-                rows, where = _matrix(part.column(vector_col), dimensions)
-                if len(rows):
-                    ids = pa.Table.from_batches([part.select(id_cols)]).take(pa.array(where))
-                    unit, bad = _unit(rows)
-                    for tile in tiles:
-                        tile.add(ids, unit, bad)
-        for tile in tiles:
-            yield from tile.result(columns)
-
-    partial = narrow.mapInArrow(score, schema)
+    if size > query_bytes:
+        partial = _grid(narrow, asked, id_cols, query_cols, dimensions, k, vector_col, query_vector_col, schema, size)
+    else:
+        partial = _one_pass(narrow, asked, id_cols, query_cols, dimensions, k, vector_col, query_vector_col, schema)
     # said here once, so that every use of the hits has the same exchange and the corpus is scored once
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*query_cols, *id_cols)])
     # the row limit is applied before the shuffle too

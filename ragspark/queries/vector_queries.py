@@ -99,8 +99,8 @@ def vector_knn_all(spark, folder):
 
 @query("vector_knn_grid", f"WITH {_KNN} SELECT query_id, vec_id, rank, round(CAST(score AS DOUBLE), 6) AS score FROM r")
 def vector_knn_grid(spark, folder):
-    """The same search with the queries in several blocks."""
-    return plain(_knn(spark, folder, query_bytes=DIM * 8 * 128))
+    """The same search with the queries in several blocks, over pivot cells."""
+    return plain(_knn(spark, folder, query_bytes=DIM * 8 * 128, pruned=True))
 
 
 @query("vector_keyset_page", "SELECT vec_id, CAST(label AS BIGINT) AS label FROM embeddings WHERE vec_id > 100 AND len(embedding) = 64 ORDER BY vec_id LIMIT 256")

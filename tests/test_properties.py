@@ -82,6 +82,38 @@ def test_tiles_are_bounded_and_the_corpus_is_not_shuffled(spark):
     assert all("Exchange" not in line for line in plan.splitlines()[scoring[0]:])
 
 
+def test_a_task_holds_one_block_of_many_queries(spark, monkeypatch):
+    build, most = S._tiles, 40
+    monkeypatch.setattr(S, "BLOCK_BYTES", 8 * 6 * 20)
+
+    def bounded(ids, matrix, k, floor=None):
+        if len(matrix) > most:
+            raise AssertionError(f"{len(matrix)} queries in one task")
+        return build(ids, matrix, k, floor)
+
+    monkeypatch.setattr(S, "_tiles", bounded)
+    rng = np.random.default_rng(9)
+    vectors = np.concatenate((rng.integers(-2, 3, (300, 6)), np.tile([1, 0, 2, 0, 0, 1], (50, 1)))).astype(np.float64)
+    names = [f"c{i:03d}" for i in rng.permutation(350)]
+    asked = [(i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-2, 3, (150, 6)) + 0.5)]
+    c = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in zip(names, vectors)] + [(None, [1.0] * 6)], "name string, embedding array<float>")
+    q = spark.createDataFrame([*asked, (None, [1.0] * 6), (900, None)], "q int, query_vector array<double>")
+    rows = S.search_batch(c.repartition(3), q, ["name"], ["q"], 6, 7, query_bytes=1).orderBy("q", "rank").collect()
+    assert len(rows) == 150 * 7
+    for i, v in asked:
+        assert [r.name for r in rows if r.q == i] == _brute_topk(names, vectors, np.array(v), 7)
+
+
+def test_many_queries_do_not_pass_through_the_driver(spark, monkeypatch):
+    c = spark.range(50).selectExpr("id", "transform(sequence(1, 64), x -> cast(id % x as float)) as embedding")
+    q = spark.range(40_000).selectExpr("id as q", "transform(sequence(1, 64), x -> cast(id % x as float)) as query_vector")
+    gathered = []
+    for name in ("toArrow", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(q), name, lambda self, *a, name=name: gathered.append(name))
+    S.search_batch(c, q, ["id"], ["q"], 64)
+    assert not gathered
+
+
 def test_search_leaves_null_ids_and_bad_vectors_out(spark):
     c = spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, None), (3, [1.0])], "id int, embedding array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0]), (None, [1.0, 0.0]), (8, None)], "q int, query_vector array<float>")
