@@ -2,9 +2,10 @@
 
 1. A task splits its texts into words by the tokenizer's pattern.  The distinct words of a block of documents leave
    pre-aggregated: one row for each bucket of word hashes, with the block's words of that bucket, packed.
-2. Words meet by bucket and are sorted there; each distinct word is encoded once and its ids are joined to its row of
-   every block.  A frequent word has one row a block, streamed; no table of all words is held anywhere.
-3. The ids go back to their blocks, packed, in the order of the block's words.
+2. Words meet by bucket.  The rows of a bucket are read in parts of at most ``PART`` bytes of words; each distinct word
+   of a part is encoded once, and every row gets the ids of its words, packed, in their order.  A bucket is one part unless
+   it is larger; no table of all words is held anywhere, and a task has one Python worker.
+3. The ids go back to their blocks, in the order of the block's words.
 4. The documents, split again, send the places of their words in that order; they meet the ids by block, and a
    document's ids are read off by the positions of its words.
 5. Decoding looks the ids up in the token-byte table, which the rank file bounds.
@@ -33,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +42,8 @@ from ragspark.llm.shared import opened, partitions, sent, text_or_null
 
 LONG = 48
 BLOCK = 16 << 20  # bytes of text whose words are numbered together
+PART = 4 << 20  # bytes of words of a bucket that are encoded together
+WORDS = 1 << 15  # distinct words encoded at a time
 NONE = np.int32(2**31 - 1)
 KINDS = (r"\p{L}", r"\p{N}", r"\s")
 SLICE = 1 << 18  # ids decoded at a time
@@ -377,57 +379,52 @@ def document_batches(words_in: tuple[str, dict[int, str], str | None], block: in
     return run
 
 
-def unpack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each word of a block."""
+def unpacked_rows(batches: Iterator[pa.RecordBatch]):
+    """(block, check sum, place, sizes, bytes of the words) of every row."""
     for batch in batches:
-        for block, check, place, sizes, words in zip(*(c.to_pylist() for c in batch.columns[1:])):
-            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(numbers(sizes), dtype=np.int64)))
-            raw, n = zlib.decompress(words), len(ends) - 1
-            column = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([
-                column.cast(pa.binary()), pa.array(np.full(n, block)), pa.array(np.full(n, check)), pa.array(np.arange(place, place + n, dtype=np.int32))],
-                names=["word", "block", "check", "place"])
+        for i in range(batch.num_rows):
+            _, block, check, place, sizes, words = (c[i].as_py() for c in batch.columns)
+            yield block, check, place, numbers(sizes), zlib.decompress(words)
+
+
+def parts_of(rows, most: int):
+    """Lists of neighbouring rows of at most ``most`` bytes of words together, or one row."""
+    part, size = [], 0
+    for row in rows:
+        if part and size + len(row[4]) > most:
+            yield part
+            part, size = [], 0
+        part.append(row)
+        size += len(row[4])
+    if part:
+        yield part
 
 
-def encode_words(shared):
-    """Rows sorted by word: each distinct word is encoded once, and its ids joined to all its rows."""
+def encode_words(shared, most: int):
+    """Rows of one bucket: each distinct word of a part is encoded once, and its ids joined to all rows of the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges: Merges = opened(shared)
-        last, last_ids = None, np.empty(0, np.int32)
-        for batch in batches:
-            runs = batch.column(0).dictionary_encode()
-            words = runs.dictionary.to_pylist()
-            again = bool(words) and words[0] == last
-            flat, counts = merges.encode_flat(words[again:])
-            if again:
-                flat, counts = np.concatenate((last_ids, flat)), np.append(len(last_ids), counts)
-            if words:
-                last, last_ids = words[-1], flat[len(flat) - counts[-1] :]
-            ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(4 * counts))).astype(np.int32)
-            ids = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype("<u4"))])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], ids.take(runs.indices)], names=["block", "check", "place", "ids"])
+        for part in parts_of(unpacked_rows(batches), most):
+            ends = np.concatenate((np.zeros(1, np.int64), *(sizes for _, _, _, sizes, _ in part))).cumsum(dtype=np.int64)
+            raw = b"".join([words for _, _, _, _, words in part])
+            column = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+            runs = column.dictionary_encode()
+            found = [merges.encode_flat(runs.dictionary.slice(i, WORDS).to_pylist()) for i in range(0, len(runs.dictionary), WORDS)]
+            flat, counts = (np.concatenate(x) for x in zip(*found))
+            starts, own = np.cumsum(counts) - counts, runs.indices.to_numpy()
+            rows, x = [], 0
+            for block, check, place, sizes, _ in part:
+                word = own[x : x + len(sizes)]
+                x += len(sizes)
+                ids = flat[kernel.ragged(starts[word], counts[word])]
+                rows.append((block, check, place, packed_numbers(counts[word]), packed_numbers(ids)))
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["block", "check", "place", "sizes", "packed"])
 
     return run
 
 
-def pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block and place: the ids of neighbouring places, packed together."""
-    for batch in batches:
-        block, place = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        cuts = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(place, prepend=-2) != 1)).tolist()
-        rows = []
-        for x, y in zip(cuts, [*cuts[1:], len(block)]):
-            ids = batch.column(3).slice(x, y - x)
-            flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
-            sizes = pc.binary_length(ids).to_numpy() // 4
-            rows.append((int(block[x]), batch.column(1)[x].as_py(), int(place[x]), packed_numbers(sizes), packed_numbers(flat)))
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["block", "check", "place", "sizes", "packed"])
-
-
 def reassemble(shared):
     """Rows sorted by block, documents after words: ids of every document, by the places of its words."""
 
@@ -503,9 +500,8 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, blo
     words = read.mapInArrow(
         word_batches(words_in, block, buckets), "bucket int, block long, check long, place int, sizes binary, words binary")
     ids = (
-        words.repartitionById(buckets, F.col("bucket")).mapInArrow(unpack_words, "word binary, block long, check long, place int")
-        .sortWithinPartitions("word").mapInArrow(encode_words(shared), "block long, check long, place int, ids binary")
-        .sortWithinPartitions("block", "place").mapInArrow(pack_ids, "block long, check long, place int, sizes binary, packed binary")
+        words.repartitionById(buckets, F.col("bucket"))
+        .mapInArrow(encode_words(shared, PART), "block long, check long, place int, sizes binary, packed binary")
     )
     documents = read.mapInArrow(
         document_batches(words_in, block, buckets), f"block long, check long, doc {kind}, place int, packed binary")

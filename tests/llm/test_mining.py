@@ -6,10 +6,12 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -165,6 +167,36 @@ def test_tasks_get_the_merge_tables_built(spark, make, monkeypatch, ranks, refer
     assert {bytes(r.decoded).decode() for r in rows} == {f"some words {i}" for i in range(9)}
 
 
+def test_a_bucket_is_encoded_in_bounded_parts_by_one_python_worker(spark, make, monkeypatch, ranks, reference):
+    texts = [t for t in odd_texts(random.Random(12), 10) if t]
+    merges, seen = bytebpe.Merges(ranks), []
+    whole = merges.encode_flat
+    merges.encode_flat = lambda words: seen.append(sum(map(len, words))) or whole(words)
+    # every text is a block of its own, all of one bucket; a row has one block's words of the bucket
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts), pa.int32()), pa.array(texts)], names=["doc", "part", "text"])
+    words_in = public_tokenizers.PATTERN, bytebpe.class_differences()
+    blocks = list(bytebpe.word_batches(words_in, 1, 1)(iter([batch])))
+    words = {number: list(dict.fromkeys(bytebpe.splitter(*words_in)(t))) for number, t in enumerate(texts)}
+    longest = max(sum(len(w.encode()) for w in x) for x in words.values())
+    for most in (1, 3 * longest, 1 << 20):
+        seen.clear()
+        with monkeypatch.context() as patch:
+            patch.setattr(bytebpe, "opened", lambda shared: merges)
+            got = [r for b in bytebpe.encode_words(None, most)(iter(blocks)) for r in b.to_pylist()]
+        assert max(seen) <= max(most, longest) and (len(seen) == 1) == (most == 1 << 20)
+        assert {r["block"]: bytebpe.numbers(r["packed"]).tolist() for r in got} == {
+            number: [i for w in x for i in reference.encode_ordinary(w)] for number, x in words.items()}
+        for r in got:
+            assert bytebpe.numbers(r["sizes"]).tolist() == [len(reference.encode_ordinary(w)) for w in words[r["block"]]]
+    # a task runs one Python step: words, ids, documents, results; each further one is a worker that keeps its memory
+    encoded = bytebpe.encode_documents(make(list(enumerate(texts))), ranks, public_tokenizers.PATTERN)
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?m)^\W*(?:\(\d+\) )?MapInArrow ", plan)) == 4
+    monkeypatch.setattr(bytebpe, "PART", 64)
+    encoded = bytebpe.encode_documents(make(list(enumerate(texts * 2))), ranks, public_tokenizers.PATTERN, 200)
+    assert {r.doc_id: list(r.ids) for r in encoded.collect()} == {i: reference.encode_ordinary(t) for i, t in enumerate(texts * 2)}
+
+
 # prefix trie -----------------------------------------------------------------------------------
 
 
